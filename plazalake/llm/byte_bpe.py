@@ -9,6 +9,7 @@ positions at once; only the pairs with the touched neighbours are looked up agai
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
 
 import numpy as np
@@ -233,12 +234,26 @@ def bpe_decode(rows: DataFrame, ranks_path: str, pattern: str, ids_col: str = "i
 
 
 def bpe_digest(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encode, then decode the ids: id, n_tokens, ids_sha256, decoded_sha256 per row of docs."""
-    rows = bpe_encode(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), ranks_path, pattern)
-    rows = bpe_decode(rows.select("id", "ids"), ranks_path, pattern)
-    return rows.select(
-        F.col("id").alias(id_col),
-        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
-        F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+    """Encode, then decode the ids: id, n_tokens, ids_sha256, decoded_sha256 per row of docs.
+
+    Both run in one pass, so that an executor holds one encoder per core and neither
+    texts nor ids go back to the JVM.
+    """
+    name, key = ship(docs.sparkSession, ranks_path), docs.schema[id_col].dataType.simpleString()
+
+    def digest(batches):
+        encoder = _encoder(name, pattern)
+        for batch in slices(batches, 1, 4 << 20):
+            ids = encoder.encode([t or "" for t in batch.column(1).to_pylist()])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0),
+                    pa.array([len(x) // 4 for x in ids], pa.int64()),
+                    pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()),
+                    pa.array([hashlib.sha256(encoder.decode(x)).hexdigest() for x in ids], pa.string()),
+                ],
+                names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"],
+            )
+
+    rows = docs.select(F.col(id_col), F.col(text_col).alias("_text"))
+    return rows.mapInArrow(digest, f"{id_col} {key}, n_tokens long, ids_sha256 string, decoded_sha256 string")
