@@ -4,9 +4,10 @@ Documents with the same set of shingles are one class from the start. Bands of
 minima give candidates; packed signatures that retain the low BITS bits of every
 minimum, compared by bit counts and corrected for chance collisions, weed them;
 full sets confirm links. Within a bucket all members are first held against the
-smallest one. Only buckets in which more than one component is left then compare
-members of different components, so that a large group of copies costs no pairs
-of copies, and no link between components is missed for want of a candidate.
+most central one. Only buckets in which more than one component is left then
+compare members of different components, block by block, so that a large group of
+copies costs no pairs of copies, and no link between components is missed for
+want of a candidate.
 """
 
 from __future__ import annotations
@@ -141,11 +142,8 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True)) if 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)) else 0
-                keep.append(100 * both >= percent * (len(x) + len(y) - both) and both > 0)
+            sides = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
+            keep = [_linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in sides]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
@@ -165,23 +163,59 @@ def _weed(pairs: DataFrame, signed: DataFrame, least: float) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _across(members: DataFrame, least: float) -> DataFrame:
-    """Pairs from different components in the same bucket with an estimate of at least `least`.
+def _centres(placed: DataFrame, signed: DataFrame) -> DataFrame:
+    """bucket, a: the member that the others are held against.
 
-    members: bucket, block, home (the member's own block), id, component, signature.
-    A block's rows meet all rows of the components that aren't the bucket's largest.
+    In buckets of over three, the one that agrees most with the majority bits of its
+    block, which in a group of copies is the original; in small ones the least id.
     """
 
     def run(key, table):
-        t = table.to_pydict()
-        ids, comp, home = np.array(t["id"]), np.array(t["component"]), np.array(t["home"])
-        signs, a, b = _unpack(t["signature"]), [], []
-        own = np.flatnonzero(home)
-        for i in np.flatnonzero(np.array(t["small"])):
+        ids, signs = table["id"].to_numpy(), _unpack(table["signature"].to_pylist())
+        bits = np.unpackbits(signs.view(np.uint8).reshape(len(ids), -1), axis=1)
+        majority = np.packbits(2 * bits.sum(0, dtype=np.int64) > len(ids)).view(np.uint64).reshape(BITS, LANES)
+        near = estimate(majority, signs)
+        best = int(np.lexsort((ids, -near))[0])
+        return pa.table({"bucket": [key[0].as_py()], "id": [int(ids[best])], "near": [float(near[best])]})
+
+    few = placed.where("n <= 3").groupBy("bucket").agg(F.min("id").alias("a"))
+    many = placed.where("n > 3").withColumn("block", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / BLOCK)))
+    many = many.join(signed.select("id", "signature"), "id").select("bucket", "block", "id", "signature")
+    best = many.groupBy("bucket", "block").applyInArrow(run, "bucket long, id long, near double")
+    return few.union(best.groupBy("bucket").agg(F.min(F.struct((-F.col("near")).alias("near"), "id"))["id"].alias("a")))
+
+
+def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both > 0 and 100 * both >= percent * (len(x) + len(y) - both)
+
+
+def _across(members: DataFrame, least: float, percent: int) -> DataFrame:
+    """Links between different components in the same bucket, confirmed on full sets.
+
+    members: bucket, block, home, small, id, component, signature, shingles. The rows
+    at home in a block meet those of all components that aren't the bucket's
+    largest. A component that has been linked isn't compared with its new part
+    again, so what comes out is at most a tree; every pair that stays apart has
+    been estimated, and confirmed to be none if the estimate was high.
+    """
+
+    def run(key, table):
+        ids, comp = table["id"].to_pylist(), table["component"].to_numpy().copy()
+        signs, sets = _unpack(table["signature"].to_pylist()), [np.frombuffer(x, np.uint64) for x in table["shingles"].to_pylist()]
+        own, a, b = np.flatnonzero(table["home"].to_numpy(zero_copy_only=False)), [], []
+        for i in np.flatnonzero(table["small"].to_numpy(zero_copy_only=False)).tolist():
             other = own[comp[own] != comp[i]]
-            other = other[estimate(signs[i], signs[other]) >= least] if len(other) else other
-            a += np.minimum(ids[other], ids[i]).tolist()
-            b += np.maximum(ids[other], ids[i]).tolist()
+            if not len(other):
+                continue
+            near = estimate(signs[i], signs[other])
+            for j in other[np.argsort(-near, kind="stable")][: int((near >= least).sum())].tolist():
+                if comp[j] != comp[i] and _linked(sets[i], sets[j], percent):
+                    a.append(min(ids[i], ids[j]))
+                    b.append(max(ids[i], ids[j]))
+                    comp[comp == comp[j]] = comp[i]
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return members.groupBy("bucket", "block").applyInArrow(run, "a long, b long").distinct()
@@ -202,10 +236,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = cut(rows.groupBy("same", "n_shingles").agg(F.min("id").alias("id")), "classes")
     signed = cut(rows.join(classes.select("id"), "id", "left_semi").select("id", "bands", "signature").dropDuplicates(["id"]), "signatures")
     placed = signed.select("id", F.posexplode("bands").alias("band", "value")).select("id", F.xxhash64("band", "value").alias("bucket"))
-    least = placed.groupBy("bucket").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    placed = cut(placed.join(least.select("bucket", "a", "n"), "bucket"), "buckets")
+    sizes = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    placed = cut(placed.join(sizes, "bucket"), "buckets")
     threshold = percent / 100 - SLACK
-    stars = placed.where("id <> a").select("a", F.col("id").alias("b")).distinct()
+    stars = placed.join(_centres(placed, signed), "bucket").where("id <> a").select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
     stars = cut(_weed(stars, signed, threshold), "stars")
     # sets of the members of buckets with more than one, and of no others
     need = placed.select("id").distinct()
@@ -223,11 +257,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     blocks = F.when(F.col("small"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(own))
     spread = members.withColumn("own", own).withColumn("block", F.explode(blocks)).withColumn("home", F.col("own") == F.col("block"))
-    spread = spread.join(signed.select("id", "signature"), "id").select("bucket", "block", "home", "small", "id", "component", "signature")
-    more = cut(_across(spread, threshold).join(stars, ["a", "b"], "left_anti"), "across")
+    spread = spread.join(signed.select("id", "signature").join(sets, "id"), "id")
+    more = cut(_across(spread.select("bucket", "block", "home", "small", "id", "component", "signature", "shingles"), threshold, percent), "across")
     if more.take(1):
-        edges = edges.union(cut(confirmed(more, sets, percent), "more-links"))
-        found = connected_components(edges)
+        found = connected_components(edges.union(more))
     roots = classes.join(found, classes["id"] == found["node"], "left").select("same", "n_shingles", F.coalesce("component", "id").alias("component_id"))
     return all_rows.join(roots, ["same", "n_shingles"], "left").select(
         F.col("id").alias(id_col),
