@@ -10,6 +10,7 @@ n_tokens, content), which Spark writes and reads wherever that folder is.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 
 import numpy as np
@@ -24,7 +25,10 @@ from .seekable import BundleReader, BundleWriter
 
 FRAME_BYTES = 256 << 10
 BUNDLE_BYTES = 4 << 20
-CACHE = 400_000
+#: Pieces whose ids a worker remembers between tasks.
+CACHE = 800_000
+#: Pieces that are encoded as the lines of one text.
+LINES = 5_000
 #: A document in the index. has_id 0: its id is null.
 ENTRY = np.dtype([("has_id", "u1"), ("id", "<i8"), ("frame", "<u4"), ("offset", "<u4"), ("n", "<u8")])
 
@@ -33,39 +37,78 @@ class PieceTokenizer:
     """Encodes with a byte-level tokenizer of the tokenizers library, each distinct piece of text once.
 
     A space before something that isn't white space always begins a word of the
-    byte-level pre-tokenizer, so pieces between such spaces are independent.
+    byte-level pre-tokenizer, and so does punctuation after letters, so pieces that
+    are cut there are independent. Pieces that came back are remembered longest.
     """
 
+    #: A space before another white space, or at the end: runs that must not be parted.
+    RUN = re.compile(r" \s| \Z")
+    #: White space other than what stands between lines of pieces.
+    ODD = re.compile(r"[^\S\n ]")
+    MARKS = ".,;:!?"
+
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True
+        self._feed = self._encode(["\n"])[0]
+        #: ids by piece, without the space before it; pieces that were met again
         self.known: dict[str, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        self.again: set[str] = set()
+
+    def _encode(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _alone(self, texts: list[str]) -> list[bytes]:
+        return [np.array(x, "<u4").tobytes() for x in self._encode(texts)]
+
+    def _lines(self, pieces: list[str]) -> None:
+        """Learn pieces without line feeds: each after a space, as the lines of one text."""
+        for begin in range(0, len(pieces), LINES):
+            part = pieces[begin : begin + LINES]
+            text = " " + "\n ".join(part)
+            ids = np.array(self._encode([text])[0], "<u4") if len(self._feed) == 1 and "" not in part and not self.ODD.search(text) else ()
+            ends = (np.flatnonzero(ids == self._feed[0]) * 4).tolist() if len(ids) else []
+            if len(ends) == len(part) - 1:
+                raw = ids.tobytes()
+                self.known.update((p, raw[a + 4 : b]) for p, a, b in zip(part, [-4, *ends], [*ends, len(raw)], strict=True))
+            else:
+                self.known.update(zip(part, self._alone([" " + p for p in part]), strict=True))
+
+    def _learn(self, new: set[str]) -> None:
+        marked, lines, alone = [], set(), []
+        for p in new:
+            word = p.rstrip(self.MARKS)
+            if "\n" in p:
+                alone.append(p)
+            elif len(word) < len(p) and word.isalpha():
+                marked.append((p, word, p[len(word) :]))
+                if word not in self.known:
+                    lines.add(word)
+            else:
+                lines.add(p)
+        self._lines(list(lines))
+        self.known.update(zip(alone, self._alone([" " + p for p in alone]), strict=True))
+        marks = list({m for *_, m in marked})
+        ids = dict(zip(marks, self._alone(marks), strict=True))
+        known = self.known
+        known.update([(p, known[word] + ids[m]) for p, word, m in marked])
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        from .byte_bpe import Encoder
-
-        parts: list = []
-        for text in texts:
-            if Encoder.RUN.search(text):
-                parts.append(None)
-            else:
-                first, *rest = text.split(" ")
-                parts.append([*([first] if first else []), *[" " + x for x in rest]])
-        new = {p for x in parts if x for p in x}.difference(self.known)
+        parts = [None if self.RUN.search(t) else t.split(" ") for t in texts]
+        starts = [t if x is None else x.pop(0) for t, x in zip(texts, parts, strict=True)]
+        seen = set().union(*[x for x in parts if x])
+        new = seen.difference(self.known)
         if len(self.known) + len(new) > CACHE:
-            self.known = {}
-            new = {p for x in parts if x for p in x}
-        order = list(new)
-        self.known.update(zip(order, self._ids(order) if order else (), strict=True))
-        whole = iter(self._ids([t for t, x in zip(texts, parts, strict=True) if x is None]))
+            self.known = {p: self.known[p] for p in self.again} if len(self.again) < CACHE // 2 else {}
+            self.again = set()
+            new = seen.difference(self.known)
+        self.again |= seen - new
+        self._learn(new)
         get = self.known.__getitem__
-        return [next(whole) if x is None else b"".join(map(get, x)) for x in parts]
+        return [a + b"".join(map(get, x)) if x else a for a, x in zip(self._alone(starts), parts, strict=True)]
 
 
 _tokenizers: dict[str, PieceTokenizer] = {}
@@ -119,11 +162,13 @@ BUNDLES = "shard int, bundle int, first_id long, last_id long, n_docs long, n_to
 def write_bundles(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", frame_bytes: int = FRAME_BYTES, bundle_bytes: int = BUNDLE_BYTES) -> DataFrame:
     """The table of bundles. A null text is empty, so it has the end id alone.
 
-    Order: ascending id, null ids first, equal ids by text. Ids must be integers.
+    Order: ascending id, null ids first, equal ids by a hash of the text. Ids must be integers.
     """
     name = ship(docs.sparkSession, tokenizer_path)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.repartitionByRange("id", "text").sortWithinPartitions("id", "text").withColumn("shard", F.spark_partition_id())
+    # the range is sampled by id and a hash, so that no text reaches the driver
+    rows = rows.withColumn("hash", F.xxhash64("text")).repartitionByRange("id", "hash").sortWithinPartitions("id", "hash", "text")
+    rows = rows.select("id", "text", F.spark_partition_id().alias("shard"))
     end = np.array([end_id], "<u4").tobytes()
 
     def encode(batches):
