@@ -1,8 +1,8 @@
 """Toxicity by a lexicon trie, Levenshtein automata and context windows.
 
-The lexicon is learned: prefixes and whole words whose document frequency is far
+The lexicon is learned: prefixes and whole words whose document frequency is
 higher in toxic training texts than in others, each grown as long as no support is
-lost. The trie of its terms, intersected with a Levenshtein automaton, is one
+lost; a longer term that tells more stands beside its prefix. The trie of its terms, intersected with a Levenshtein automaton, is one
 machine that is made deterministic as words drive it. Every hit is weighed by its
 context: in quotation marks, in a quoted line or next to a word of reporting it
 counts less, next to a second person more. A logistic regression on sums of
@@ -27,8 +27,10 @@ HELD_OUT, FOLDS = 2, 4
 SAMPLE = 30_000
 #: Terms of the lexicon, at most: the size of the model.
 TERMS = 2_000
-#: Documents that a term must occur in, and how much more likely in toxic ones.
-SUPPORT, RATIO = 5, 8.0
+#: Toxic documents that a term must occur in, how much more likely it is in them, and by how many standard errors.
+SUPPORT, RATIO, ERRORS = 5, 2.5, 3.0
+#: A longer term stands beside the prefix it has if its log odds are higher by this.
+STEP = 0.7
 SHORTEST, LONGEST = 3, 24
 #: Tokens before and after a hit that are its context; tokens in which hits add up.
 CONTEXT, SPAN = 4, 40
@@ -95,9 +97,9 @@ class Automaton:
             self._states[key] = len(self._sets)
             self._sets.append(key)
             self._next.append({})
-            hits = [(e, number) for node, e in key for number in self.ends[node] if e <= edits(len(self.terms[number][0]))]
-            self._prefix.append(min((h for h in hits if not self.terms[h[1]][1]), default=None))
-            self._whole.append(min((h for h in hits if self.terms[h[1]][1]), default=None))
+            hits = [(e, -len(self.terms[number][0]), number) for node, e in key for number in self.ends[node] if e <= edits(len(self.terms[number][0]))]
+            self._prefix.append(min((h for h in hits if not self.terms[h[2]][1]), default=None))
+            self._whole.append(min((h for h in hits if self.terms[h[2]][1]), default=None))
         return self._states[key]
 
     def _step(self, state: int, char: str) -> int:
@@ -110,7 +112,11 @@ class Automaton:
         return out
 
     def match(self, word: str):
-        """(edits, term) of the nearest term that the word is, or begins with."""
+        """(edits, term) of the nearest term that the word is, or begins with; the longest of equals."""
+        found = self._best(word)
+        return found and (found[0], found[2])
+
+    def _best(self, word: str):
         state, best = self.start, None
         for char in word[: LONGEST + 4]:
             following = self._next[state].get(char)
@@ -193,19 +199,23 @@ def _log_odds(toxic: float, clean: float, n_toxic: int, n_clean: int) -> float:
 
 def grow(found: dict[str, tuple[int, int]], n_toxic: int, n_clean: int) -> list[tuple[str, bool, float]]:
     """Terms from accepted keys; a key that ends in a space is a whole word."""
-    out, taken = [], set()
+    odds = {k: _log_odds(*n, n_toxic, n_clean) for k, n in found.items()}
     by_parent: dict[str, list[str]] = {}
     for key in found:
         by_parent.setdefault(key[:-1], []).append(key)
+    best: dict[str, float] = {}  # of a key and all between it and the term it became
+    out = {}
     for key in sorted(found, key=lambda k: (len(k), k)):
-        if any(key[:i] in taken for i in range(SHORTEST, len(key))):
+        above = max((best[key[:i]] for i in range(SHORTEST, len(key) + 1) if key[:i] in best), default=None)
+        if key in best or above is not None and odds[key] < above + STEP:
             continue
-        taken.add(key)
-        while longer := [k for k in by_parent.get(key, ()) if found[k][0] >= 0.97 * found[key][0]]:
-            key = max(longer, key=lambda k: (found[k][0], k))
-        whole = key.endswith(" ")
-        out.append((key.rstrip(" "), whole, _log_odds(*found[key], n_toxic, n_clean)))
-    return sorted(out, key=lambda t: (-t[2], t[0]))[:TERMS]
+        top = key
+        while longer := [k for k in by_parent.get(top, ()) if found[k][0] >= 0.97 * found[key][0]]:
+            top = max(longer, key=lambda k: (found[k][0], k))
+        for i in range(len(key), len(top) + 1):
+            best[top[:i]] = odds[top]
+        out[top] = odds[top]
+    return sorted(((k.rstrip(" "), k.endswith(" "), w) for k, w in out.items()), key=lambda t: (-t[2], t[0]))[:TERMS]
 
 
 def keys_of(text: str | None) -> set[str]:
@@ -271,7 +281,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     support = max(SUPPORT, int(0.002 * n_toxic))
     odds = ((F.col("toxic") + 0.5) / (n_toxic + 1)) / ((F.col("clean") + 0.5) / (n_clean + 1))
     found = rows.mapInArrow(count, "key string, toxic long, clean long").groupBy("key").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    found = found.where((F.col("toxic") >= support) & (odds >= RATIO)).orderBy(F.desc("toxic"), "key").limit(20 * TERMS)
+    error = F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
+    found = found.where((F.col("toxic") >= support) & (odds >= RATIO) & (F.log(odds) >= ERRORS * error)).orderBy(F.desc("toxic"), "key").limit(20 * TERMS)
     model["terms"] = terms = grow({r[0]: (r[1], r[2]) for r in found.collect()}, n_toxic, n_clean)
     shared = docs.sparkSession.sparkContext.broadcast(terms)
 
