@@ -344,7 +344,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # contexts of under BRANCH bytes by 255 nodes
     roots = _by_branch(grams, branch_roots, "node long, n0 double, n1 double, weighted double")
     above = roots.groupBy("node").agg(*[F.sum(c).alias(c) for c in ("n0", "n1", "weighted")]).toArrow()
-    upper = Upper(*[above[c].to_numpy() for c in ("node", "n0", "n1", "weighted")])
+    upper = Upper(*[above[c].to_numpy().astype(np.float64 if c != "node" else np.int64) for c in ("node", "n0", "n1", "weighted")])
     shared = docs.sparkSession.sparkContext.broadcast(upper)
 
     def logs(k, n):
