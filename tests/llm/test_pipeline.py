@@ -1,0 +1,30 @@
+import pytest
+
+import corpus_pipeline
+from plazalake.llm.registry import queries
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_pipeline_by_its_stages(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    columns = docs.columns
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        before, docs = docs, stage(spark, docs, SF)
+        assert docs.columns == columns
+        assert docs.join(before, "doc_id", "left_anti").count() == 0
+        assert docs.select("doc_id").distinct().count() == docs.count()
+    out = corpus_pipeline.run(spark, SF)
+    assert {r.doc_id for r in out.select("doc_id").collect()} == {r.doc_id for r in docs.select("doc_id").collect()}
+
+
+def test_all_numbered_queries_are_registered():
+    assert {n.split("_")[0] for n in queries()} == {f"op{i}" for i in range(1, 11)}
+
+
+@pytest.mark.parametrize("rows", [[], [(1, None, None, None, None), (2, "", "en", "s", 0), (3, "a b", "en", "s", 3), (3, "a b", "en", "s", 3), (None, "c d", None, "s", 3)]])
+def test_pipeline_edges(spark, rows):
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, SF)
+    assert sorted(str(r.doc_id) for r in docs.collect()) == (["3", "None"] if rows else [])
