@@ -7,7 +7,9 @@ Krichevsky-Trofimov estimates of the counts of the whole training corpus and are
 mixed over all depths by context-tree weighting.
 
 Counts are made per chunk of documents and summed by gram (DEPTH context bytes
-and the byte they lead to). A branch of the tree, all contexts with the same BRANCH
+and the byte they lead to). What a chunk has for a bucket of grams or words travels
+as one packed row; there are as many buckets as chunks, so neither grows with the
+corpus. A branch of the tree, all contexts with the same BRANCH
 newest bytes, holds 2^24 grams at most and is weighted in one group with others;
 the nodes above the branches are summed from theirs. The code lengths of grams then
 go back to the chunks in which those occur, so no task holds the model, and the
@@ -17,11 +19,12 @@ driver only the nodes of contexts shorter than BRANCH.
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +36,7 @@ BRANCH = 3
 #: Grams that are weighted together, in whole branches.
 GROUP_GRAMS = 1 << 20
 END = b"\n"
-#: Bytes of text per chunk, and per step within a chunk.
+#: Bytes of text per chunk, and per bucket of grams and words, and per step within a chunk.
 CHUNK_BYTES, STEP_BYTES = 16 << 20, 2 << 20
 _U = np.uint64
 
@@ -46,8 +49,8 @@ def words_of(text: str | None) -> list[bytes]:
 
 def _log_gamma(x: np.ndarray) -> np.ndarray:
     """Of x >= 0.5, by Stirling's series after seven steps up."""
-    shift = np.zeros_like(x)
-    y = x.copy()
+    y = x.astype(np.float64)
+    shift = np.zeros_like(y)
     for _ in range(7):
         shift += np.log(y)
         y += 1
@@ -240,8 +243,37 @@ def _steps(texts: list) -> list[tuple[int, int]]:
     return [*out, (begin, len(texts))] if len(texts) > begin else out
 
 
-def _count_chunk(table: pa.Table) -> pa.Table:
-    """(chunk, word, gram, n): a row for each distinct word or gram of the chunk, with its count in training texts.
+_zstd, _unzstd = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
+def _squeeze(values: np.ndarray) -> bytes:
+    """Of little-endian values first all lowest bytes, and so on."""
+    return _zstd.compress(np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes())
+
+
+def _expand(data: bytes, kind: str) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    raw = np.frombuffer(_unzstd.decompress(data), np.uint8).reshape(size, -1)
+    return np.ascontiguousarray(raw.T).reshape(-1).view(kind)
+
+
+def _pack_grams(key: np.ndarray) -> bytes:
+    return _squeeze(np.diff(key, prepend=_U(0)))
+
+
+def _unpack_grams(data: bytes) -> np.ndarray:
+    return _expand(data, "<u8").cumsum(dtype=_U)
+
+
+def _bucket(key: np.ndarray, buckets: int) -> np.ndarray:
+    return ((key * _U(0xD6E8FEB86659FD93) >> _U(32)) % _U(buckets)).astype(np.int32)
+
+
+PACKED = "chunk int, words boolean, bucket int, keys binary, counts binary"
+
+
+def _count_chunk(table: pa.Table, buckets: int) -> pa.Table:
+    """A PACKED row for each bucket of grams and of words in the chunk, with their counts in training texts.
 
     The end token is the empty word.
     """
@@ -267,27 +299,75 @@ def _count_chunk(table: pa.Table) -> pa.Table:
             keys.append(key[first])
             counts.append(np.diff(np.append(first, len(key))) if learn else np.zeros(len(first), np.int64))
     key, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-    n = np.bincount(inverse, np.concatenate(counts), len(key)).astype(np.int64)
+    n = np.bincount(inverse, np.concatenate(counts), len(key)).astype("<u4")
+    out = []
+    home = _bucket(key, buckets)
+    order = home.argsort(kind="stable")
+    for at in np.split(order, np.flatnonzero(np.diff(home[order])) + 1):
+        out.append((chunk, False, int(home[at[0]]), _pack_grams(key[at]), _squeeze(n[at])))
     for w in other.difference(words):
         words[w] = 0
-    return pa.table(
-        {
-            "chunk": pa.array(np.full(len(words) + len(key), chunk), pa.int32()),
-            "word": pa.array([*words, *[None] * len(key)], pa.binary()),
-            "gram": pa.array(np.append(np.zeros(len(words), np.int64), key.astype(np.int64)), mask=np.append(np.ones(len(words), bool), np.zeros(len(key), bool))),
-            "n": pa.array(np.append(np.fromiter(words.values(), np.int64, len(words)), n)),
-        }
-    )
+    by_bucket: dict[int, list[bytes]] = {}
+    for w in words:
+        by_bucket.setdefault(zlib.crc32(w) % buckets, []).append(w)
+    for bucket, found in by_bucket.items():
+        found.sort()
+        out.append((chunk, True, bucket, _zstd.compress(END.join(found)), _squeeze(np.array([words[w] for w in found], "<u4"))))
+    types = [pa.int32(), pa.bool_(), pa.int32(), pa.binary(), pa.binary()]
+    return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["chunk", "words", "bucket", "keys", "counts"])
+
+
+def _sum_grams(table: pa.Table) -> pa.Table:
+    """gram, n of a bucket."""
+    keys = [_unpack_grams(x) for x in table["keys"].to_pylist()]
+    counts = np.concatenate([_expand(x, "<u4") for x in table["counts"].to_pylist()])
+    key, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+    return pa.table({"gram": key.astype(np.int64), "n": np.bincount(inverse, counts, len(key)).astype(np.int64)})
+
+
+def _sum_words(table: pa.Table) -> tuple[list, Counter]:
+    """The words of each row of a bucket, and the sums of all."""
+    total: Counter = Counter()
+    each = [_unzstd.decompress(x).split(END) for x in table["keys"].to_pylist()]
+    for found, n in zip(each, table["counts"].to_pylist(), strict=True):
+        for w, c in zip(found, _expand(n, "<u4").tolist(), strict=True):
+            total[w] += c
+    return each, total
+
+
+def _word_totals(table: pa.Table) -> pa.Table:
+    total = _sum_words(table)[1]
+    return pa.table({"tokens": pa.array([sum(total.values())], pa.int64()), "kinds": pa.array([sum(c > 0 for c in total.values())], pa.int64())})
+
+
+def _return_words(table: pa.Table) -> pa.Table:
+    """The rows of a bucket with the counts of the whole corpus."""
+    each, total = _sum_words(table)
+    values = [_squeeze(np.array([total[w] for w in found], "<u8")) for found in each]
+    return pa.table([table["chunk"], table["words"], table["keys"], pa.array(values, pa.binary())], names=["chunk", "words", "keys", "values"])
+
+
+def _return_grams(table: pa.Table, logs: pa.Table) -> pa.Table:
+    """The rows of a bucket with log10 probabilities."""
+    gram, value = logs["gram"].to_numpy().astype(_U), logs["value"].to_numpy()
+    order = gram.argsort()
+    gram, value = gram[order], value[order].astype("<f8")
+    values = [_squeeze(value[gram.searchsorted(_unpack_grams(x))].astype("<f4")) for x in table["keys"].to_pylist()]
+    return pa.table([table["chunk"], table["words"], table["keys"], pa.array(values, pa.binary())], names=["chunk", "words", "keys", "values"])
 
 
 def _score_chunk(docs: pa.Table, model: pa.Table, tokens: int, distinct: int) -> pa.Table:
-    is_word = pa.compute.is_valid(model["word"])
-    words = model.filter(is_word)
-    count = dict(zip(words["word"].to_pylist(), words["value"].to_pylist(), strict=True))
-    below = tokens + 0.5 * (distinct + 1)
-    base = {w: (math.log10((c + 0.5) / below), c > 0) for w, c in count.items()}
-    grams = model.filter(pa.compute.invert(is_word))
-    table = GramTable(grams["gram"].to_numpy().astype(_U), grams["value"].to_numpy())
+    below = math.log10(tokens + 0.5 * (distinct + 1))
+    base: dict[bytes, tuple[float, bool]] = {}
+    keys, values = [], []
+    for words, key, value in zip(model["words"].to_pylist(), model["keys"].to_pylist(), model["values"].to_pylist(), strict=True):
+        if words:
+            n = _expand(value, "<u8")
+            base.update(zip(_unzstd.decompress(key).split(END), zip((np.log10(n + 0.5) - below).tolist(), (n > 0).tolist(), strict=True), strict=True))
+        else:
+            keys.append(_unpack_grams(key))
+            values.append(_expand(value, "<f4").astype(np.float64))
+    table = GramTable(np.concatenate(keys), np.concatenate(values))
     texts = docs["text"].to_pylist()
     n_tokens, n_known, base_score, score = [], [], [], []
     for begin, end in _steps(texts):
@@ -334,13 +414,13 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = max(1, math.ceil(size / chunk_bytes))
     rows = rows.withColumn("chunk", F.pmod(F.xxhash64("id", "text"), F.lit(chunks)).cast("int"))
-    counted = cut(rows.groupBy("chunk").applyInArrow(_count_chunk, "chunk int, word binary, gram long, n long"), "chunk-counts")
-    words = cut(counted.where("word is not null").groupBy("word").agg(F.sum("n").alias("n")), "words")
-    tokens, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.when(F.col("n") > 0, 1))).first()
-    grams = counted.where("gram is not null").groupBy("gram").agg(F.sum("n").alias("n"))
-    parts = max(1, math.ceil((counted.agg(F.approx_count_distinct("gram")).first()[0] or 0) / GROUP_GRAMS))
+    counted = cut(rows.groupBy("chunk").applyInArrow(lambda t: _count_chunk(t, chunks), PACKED), "chunk-counts")
+    packed_words, packed_grams = counted.where("words"), counted.where("not words")
+    tokens, distinct = packed_words.groupBy("bucket").applyInArrow(_word_totals, "tokens long, kinds long").agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
+    grams = cut(packed_grams.groupBy("bucket").applyInArrow(_sum_grams, "gram long, n long"), "grams")
+    parts = max(1, math.ceil(grams.count() / GROUP_GRAMS))
     branch = F.shiftright("gram", 8 * (DEPTH + 1 - BRANCH))
-    grams = cut(grams.withColumn("part", F.pmod(F.xxhash64(branch), F.lit(parts)).cast("int")), "grams")
+    grams = grams.withColumn("part", F.pmod(F.xxhash64(branch), F.lit(parts)).cast("int"))
     # contexts of under BRANCH bytes by 255 nodes
     roots = _by_branch(grams, branch_roots, "node long, n0 double, n1 double, weighted double")
     above = roots.groupBy("node").agg(*[F.sum(c).alias(c) for c in ("n0", "n1", "weighted")]).toArrow()
@@ -348,11 +428,12 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     shared = docs.sparkSession.sparkContext.broadcast(upper)
 
     def logs(k, n):
-        return pa.table({"gram": k.astype(np.int64), "value": gram_logs(k, n, shared.value)})
+        return pa.table({"gram": k.astype(np.int64), "value": gram_logs(k, n, shared.value), "bucket": _bucket(k, chunks)})
 
-    values = _by_branch(grams, logs, "gram long, value double")
-    back = counted.where("word is not null").select("chunk", "word").join(words, "word").select("chunk", "word", F.lit(None).cast("long").alias("gram"), F.col("n").cast("double").alias("value"))
-    back = back.unionByName(counted.where("gram is not null").select("chunk", "gram").join(values, "gram").select("chunk", F.lit(None).cast("binary").alias("word"), "gram", "value"))
+    values = _by_branch(grams, logs, "gram long, value double, bucket int")
+    back_schema = "chunk int, words boolean, keys binary, values binary"
+    back = packed_grams.groupBy("bucket").cogroup(values.groupBy("bucket")).applyInArrow(_return_grams, back_schema)
+    back = back.union(packed_words.groupBy("bucket").applyInArrow(_return_words, back_schema))
     schema = f"id {key}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     scored = rows.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(lambda d, m: _score_chunk(d, m, tokens, distinct), schema)
     return scored.withColumnRenamed("id", id_col)
