@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 from .common import cut, shared_dir
 from .token_rollup import KEYS, Rollup, count_tokens, deletes, inserts, revisions
 
-VERSIONS = {"byte_bpe_50k": "byte_bpe_50k.tiktoken", "byte_bpe_multi_50k": "byte_bpe_multi_50k.tiktoken"}
+VERSIONS = {"byte_bpe_50k": "byte_bpe_50k.tiktoken"}
 
 
 def op10_token_rollup(spark, sf_dir):
-    """All documents come under either version; their counts are then revised to trimmed texts.
+    """All documents come under every version; their counts are then revised to trimmed texts.
 
     Documents without a token left are deleted. Every batch is sent twice, which changes nothing.
     """
