@@ -31,6 +31,8 @@ TERMS = 2_000
 SUPPORT, RATIO, ERRORS = 5, 2.5, 3.0
 #: A longer term stands beside the prefix it has if its log odds are higher by this.
 STEP = 0.7
+#: Log odds from which a term is looked for with edits.
+FUZZY = 3.0
 SHORTEST, LONGEST = 3, 24
 #: Tokens before and after a hit that are its context; tokens in which hits add up.
 CONTEXT, SPAN = 4, 40
@@ -53,6 +55,11 @@ def edits(length: int) -> int:
     return 0 if length < 5 else 1 if length < 8 else 2
 
 
+def room_of(terms: list[tuple[str, bool, float]]) -> list[int]:
+    """Edits that each term allows: none below FUZZY log odds."""
+    return [edits(len(text)) if weight >= FUZZY else 0 for text, _, weight in terms]
+
+
 class Automaton:
     """The trie of terms (text, whole word?, weight) under edits, determinised lazily.
 
@@ -61,11 +68,13 @@ class Automaton:
 
     def __init__(self, terms: list[tuple[str, bool, float]], fuzzy: list[float] | None = None):
         self.terms, self.fuzzy = terms, fuzzy
+        # where a misspelling has no weight, it needn't be found
+        self.most = [n if fuzzy is None or w > 0 else 0 for n, w in zip(room_of(terms), fuzzy or [0.0] * len(terms), strict=True)]
         self.children: list[dict[str, int]] = [{}]
         self.ends: list[list[int]] = [[]]
         self.room = [0]
         for number, (text, _, _) in enumerate(terms):
-            node, most = 0, edits(len(text))
+            node, most = 0, self.most[number]
             self.room[0] = max(self.room[0], most)
             for char in text:
                 if char not in self.children[node]:
@@ -97,7 +106,7 @@ class Automaton:
             self._states[key] = len(self._sets)
             self._sets.append(key)
             self._next.append({})
-            hits = [(e, -len(self.terms[number][0]), number) for node, e in key for number in self.ends[node] if e <= edits(len(self.terms[number][0]))]
+            hits = [(e, -len(self.terms[number][0]), number) for node, e in key for number in self.ends[node] if e <= self.most[number]]
             self._prefix.append(min((h for h in hits if not self.terms[h[2]][1]), default=None))
             self._whole.append(min((h for h in hits if self.terms[h[2]][1]), default=None))
         return self._states[key]
@@ -316,7 +325,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return model
 
 
-_machines: dict[int, Automaton] = {}
+_held: list = []
+
+
+def _machine(model: dict) -> Automaton:
+    """The machine of a broadcast value, made once in a worker; holding the value keeps its identity."""
+    if not _held or _held[0] is not model:
+        _held[:] = [model, Automaton(model["terms"], model["fuzzy"])]
+    return _held[1]
 
 
 def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text", folds: int = FOLDS, held_out: int = HELD_OUT, threshold: float = THRESHOLD) -> DataFrame:
@@ -330,10 +346,7 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
 
     def run(batches):
         m = shared.value
-        if id(m) not in _machines:
-            _machines.clear()
-            _machines[id(m)] = Automaton(m["terms"], m["fuzzy"])
-        machine = _machines[id(m)]
+        machine = _machine(m)
         for batch in slices(batches, 1):
             ids = batch.column(0).to_pylist()
             if m["weights"] is None:
