@@ -155,7 +155,14 @@ class Model:
         return share
 
 
-_models: dict[int, Model] = {}
+_held: list = []
+
+
+def _model(counts: dict) -> Model:
+    """The model of a broadcast value, made once in a worker; holding the value keeps its identity."""
+    if not _held or _held[0] is not counts:
+        _held[:] = [counts, Model(counts)]
+    return _held[1]
 
 
 def identify(docs: DataFrame, counts: dict, id_col: str = "doc_id", text_col: str = "text", folds: int = FOLDS, held_out: int = HELD_OUT) -> DataFrame:
@@ -169,10 +176,7 @@ def identify(docs: DataFrame, counts: dict, id_col: str = "doc_id", text_col: st
     shared = docs.sparkSession.sparkContext.broadcast(counts)
 
     def predict(batches):
-        if id(shared.value) not in _models:
-            _models.clear()
-            _models[id(shared.value)] = Model(shared.value)
-        model = _models[id(shared.value)]
+        model = _model(shared.value)
         for batch in slices(batches, 1, 4 << 20):
             ids, words = batch.column(0).to_pylist(), [words_of(t) for t in batch.column(1).to_pylist()]
             some = [i for i, x in enumerate(words) if x and model.langs]

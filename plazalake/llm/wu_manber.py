@@ -114,8 +114,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumns(
         {"n_words": F.lit(0), "spans": F.lit(None).cast(spans), "item_ids": F.lit(None).cast("array<string>")}
     )
-    blocks = list(_blocks(benchmark, item_col, item_text_col))
-    for block in blocks:
+    blocks = 0
+    for block in _blocks(benchmark, item_col, item_text_col):
+        blocks += 1
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def search(batches, shared=shared):
@@ -134,7 +135,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
         rows = rows.mapInArrow(search, f"id {key}, text string, n_words int, spans {spans}, item_ids array<string>")
     merged = F.col("spans")
-    if len(blocks) > 1:  # spans of several blocks may touch
+    if blocks > 1:  # spans of several blocks may touch
         acc = F.array().cast(spans)
         merged = F.aggregate(
             F.array_sort("spans"),
