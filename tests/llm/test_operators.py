@@ -325,7 +325,7 @@ def test_language_edges(spark, edge, empty):
 
 
 def test_automaton_brute_force():
-    terms = [("idiot", True, 5.0), ("pathetic", True, 5.0), ("lowei", False, 4.0), ("ass", True, 3.0)]
+    terms = [("idiot", True, 5.0), ("pathetic", True, 5.0), ("lowei", False, 4.0), ("ass", True, 3.5)]
     machine = toxicity.Automaton(terms, [1.0] * 4)
 
     def distance(a, b):
