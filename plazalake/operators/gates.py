@@ -71,3 +71,27 @@ def primary_link(links: Column, hosts: list[str]) -> Column:
     """The first link to a host of the list; arXiv PDF paths become abstract pages."""
     ok = F.filter(links, lambda u: F.coalesce(F.lower(F.try_parse_url(u, F.lit("HOST"))).isin(hosts), F.lit(False)))
     return F.regexp_replace(F.get(ok, F.lit(0)), r"(arxiv\.org)/pdf/([^?#]+?)(\.pdf)?$", "$1/abs/$2")
+
+
+def glossary(answer: Column, signs: str = "一-鿿", most: int = 3) -> Column:
+    """Terms of 2 to 40 characters with explanations of 10 and more that hold one of `signs`; the first ones, cut to 120."""
+    rows = F.try_variant_get(F.try_parse_json(answer), "$.glossary", "array<struct<term:string,expl:string>>")
+    clean = F.transform(rows, lambda g: F.struct(F.trim(g["term"]).alias("term"), F.trim(g["expl"]).alias("expl")))
+    good = F.filter(clean, lambda g: F.char_length(g["term"]).between(2, 40) & (F.char_length(g["expl"]) >= 10) & g["expl"].rlike(f"[{signs}]"))
+    cut = F.transform(good, lambda g: F.struct(g["term"].alias("term"), F.substring(g["expl"], 1, 120).alias("expl")))
+    return F.coalesce(F.slice(cut, 1, most), F.array().cast("array<struct<term:string,expl:string>>"))
+
+
+def qualified(kind: Column, purpose: Column, kinds: list[str], score: Column, floor: Column) -> Column:
+    """A known article type made for knowledge, 7 or more, with no dimension below its floor."""
+    return F.coalesce(kind.isin(kinds) & (purpose == "knowledge") & (score >= 7) & floor, F.lit(False))
+
+
+def body_issues(markdown: Column, most: int = 20_000) -> Column:
+    """Codes of a body that wouldn't survive publication unchanged."""
+    checks = {
+        "empty_markdown": F.coalesce(F.trim(markdown), F.lit("")) == "",
+        "publication_body_not_normalized": F.coalesce(markdown != F.regexp_replace(markdown, r"^\s+|\s+\z", ""), F.lit(False)),
+        "publication_body_too_long": F.coalesce(F.char_length(markdown) > most, F.lit(False)),
+    }
+    return F.array_compact(F.array(*[F.when(c, k) for k, c in checks.items()]))
