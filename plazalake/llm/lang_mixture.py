@@ -34,7 +34,10 @@ WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else
 
 def words_of(text: str | None) -> list[bytes]:
     """Words of a text with letters; none if it has no letter."""
-    return text.lower().encode().translate(WORDS).split() if text and LETTER.search(text) else []
+    # the pattern also takes letter-like numbers, which are no letters
+    if not text or not any(m.group().isalpha() for m in LETTER.finditer(text)):
+        return []
+    return text.lower().encode().translate(WORDS).split()
 
 
 def _grams(words: list[bytes]):
