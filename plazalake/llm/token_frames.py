@@ -25,6 +25,8 @@ from .seekable import BundleReader, BundleWriter
 
 FRAME_BYTES = 256 << 10
 BUNDLE_BYTES = 4 << 20
+#: Up to so many bundles their starts, 24 bytes each, are broadcast.
+BROADCAST_BUNDLES = 500_000
 #: Pieces whose ids a worker remembers between tasks.
 CACHE = 800_000
 #: Pieces that are encoded as the lines of one text.
@@ -210,6 +212,8 @@ def read_bundles(bundles: DataFrame, id_col: str = "doc_id") -> DataFrame:
     shards = shards.select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     inside = Window.partitionBy("shard").orderBy("bundle").rowsBetween(Window.unboundedPreceding, -1)
     starts = bundles.select("shard", "bundle", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)).alias("inside")).join(shards, "shard")
+    if bundles.count() <= BROADCAST_BUNDLES:  # then the contents needn't be shuffled
+        starts = F.broadcast(starts)
     rows = bundles.select("shard", "bundle", "content").join(starts, ["shard", "bundle"]).select(F.col("base") + F.col("inside"), "content")
 
     def decode(batches):
