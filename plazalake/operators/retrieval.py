@@ -46,14 +46,20 @@ def norm(a: str) -> Column:
 def nearest(points: DataFrame, queries: DataFrame, k: int, threshold: float) -> DataFrame:
     """query_id, vec_id, label, score: of each query the k points of the highest cosine, at least threshold.
 
-    queries (query_id, q) is a stated set of up to QUERY_BLOCK rows that meets every
-    point once; each task keeps k rows of a query before they are shuffled.
+    queries (query_id, q) is a stated set that meets every point once, in blocks of
+    about QUERY_BLOCK; each task keeps k rows of a query before they are shuffled.
     """
-    unit = queries.limit(QUERY_BLOCK).select("query_id", "q", norm("q").alias("qn"))
+    blocks = -(-queries.count() // QUERY_BLOCK) or 1
+    unit = queries.select("query_id", "q", norm("q").alias("qn"))
     own = points.select("vec_id", "label", "embedding", norm("embedding").alias("n"))
-    scored = own.join(F.broadcast(unit), F.lit(True)).select("query_id", "vec_id", "label", (dot("embedding", "q") / (F.col("n") * F.col("qn"))).alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return scored.where(F.col("score") >= threshold).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    out = None
+    for block in range(blocks):
+        part = unit if blocks == 1 else unit.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
+        scored = own.join(F.broadcast(part), F.lit(True)).select("query_id", "vec_id", "label", (dot("embedding", "q") / (F.col("n") * F.col("qn"))).alias("score"))
+        near = scored.where(F.col("score") >= threshold).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+        out = near if out is None else out.union(near)
+    return out
 
 
 def best_per_post(hits: DataFrame) -> DataFrame:
