@@ -254,6 +254,16 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.02, rounds: int
     return w, scale
 
 
+_held: list = []
+
+
+def _machine(terms: list, fuzzy: list | None) -> Automaton:
+    """The machine of these terms, kept in a worker for as long as they are asked for."""
+    if not _held or _held[0] != (terms, fuzzy):
+        _held[:] = [(terms, fuzzy), Automaton(terms, fuzzy)]
+    return _held[1]
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, folds: int = FOLDS, held_out: int = HELD_OUT) -> dict:
     """The model. Fitted on at most `sample` labelled rows that aren't held out, broadcast by id.
 
@@ -296,7 +306,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     shared = docs.sparkSession.sparkContext.broadcast(terms)
 
     def fuzzy(batches):
-        machine, total = Automaton(shared.value), {0: Counter(), 1: Counter()}
+        machine, total = _machine(shared.value, None), {0: Counter(), 1: Counter()}
         for batch in batches:
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 hits = machine.lookup(set(words_of(text))).values()
@@ -314,7 +324,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     weighed = docs.sparkSession.sparkContext.broadcast(model["fuzzy"])
 
     def measure(batches):
-        machine = Automaton(shared.value, weighed.value)
+        machine = _machine(shared.value, weighed.value)
         for batch in batches:
             x = [features(t, machine) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column(1)], names=["x", "toxic"])
@@ -325,16 +335,6 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return model
 
 
-_held: list = []
-
-
-def _machine(model: dict) -> Automaton:
-    """The machine of a broadcast value, made once in a worker; holding the value keeps its identity."""
-    if not _held or _held[0] is not model:
-        _held[:] = [model, Automaton(model["terms"], model["fuzzy"])]
-    return _held[1]
-
-
 def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text", folds: int = FOLDS, held_out: int = HELD_OUT, threshold: float = THRESHOLD) -> DataFrame:
     """One row per row of docs: id, held_out, score, predicted.
 
@@ -346,7 +346,7 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
 
     def run(batches):
         m = shared.value
-        machine = _machine(m)
+        machine = _machine(m["terms"], m["fuzzy"])
         for batch in slices(batches, 1):
             ids = batch.column(0).to_pylist()
             if m["weights"] is None:
