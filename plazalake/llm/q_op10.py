@@ -4,9 +4,9 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from .common import cut, shared_dir
-from .token_rollup import KEYS, Rollup, count_tokens, deletes, inserts, revisions
+from .token_rollup import KEYS, Rollup, count_versions, deletes, inserts, revisions
 
-VERSIONS = {"byte_bpe_50k": "byte_bpe_50k.tiktoken"}
+VERSIONS = {"byte_bpe_50k": "byte_bpe_50k.tiktoken", "byte_bpe_multi_50k": "byte_bpe_multi_50k.tiktoken"}
 
 
 def op10_token_rollup(spark, sf_dir):
@@ -16,21 +16,20 @@ def op10_token_rollup(spark, sf_dir):
     """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rollup = Rollup(spark, f"{shared_dir(spark)}/plazalake-rollup-{uuid.uuid4().hex}")
-    for version, file in VERSIONS.items():
-        counts = count_tokens(docs, public_tokenizers.path(file), public_tokenizers.PATTERN, version)
-        # one row per key and pair of counts is enough for all three batches
-        counts = cut(counts.groupBy(*KEYS, "n_tokens", "revised_tokens").agg(F.count(F.lit(1)).alias("times")), "token-counts")
-        each = counts.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
-        changed = each.where("n_tokens <> revised_tokens and revised_tokens > 0")
-        gone = each.where("revised_tokens = 0")
-        batches = {
-            "load": inserts(each),
-            "trim": revisions(changed.withColumnsRenamed({"n_tokens": "old_tokens", "revised_tokens": "new_tokens"})),
-            "drop": deletes(gone),
-        }
-        for name, deltas in batches.items():
-            rollup.commit(f"{version}-{name}", deltas)
-            rollup.commit(f"{version}-{name}", deltas)
+    counts = count_versions(docs, {version: public_tokenizers.path(file) for version, file in VERSIONS.items()}, public_tokenizers.PATTERN)
+    # one row per key and pair of counts is enough for all three batches
+    counts = cut(counts.groupBy(*KEYS, "n_tokens", "revised_tokens").agg(F.count(F.lit(1)).alias("times")), "token-counts")
+    each = counts.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
+    changed = each.where("n_tokens <> revised_tokens and revised_tokens > 0")
+    gone = each.where("revised_tokens = 0")
+    batches = {
+        "load": inserts(each),
+        "trim": revisions(changed.withColumnsRenamed({"n_tokens": "old_tokens", "revised_tokens": "new_tokens"})),
+        "drop": deletes(gone),
+    }
+    for name, deltas in batches.items():
+        rollup.commit(name, deltas)
+        rollup.commit(name, deltas)
     rollup.compact()
     return rollup.totals()
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .byte_bpe import _encoder, ship
+from .byte_bpe import CACHE, Encoder, _encoder, ship
 from .common import slices
 
 KEYS = ["source", "lang", "version"]
@@ -111,24 +111,71 @@ class Rollup:
             self._fs.delete(self._path(f"{self.path}/{base}"), True)
 
 
-def count_tokens(docs: DataFrame, ranks_path: str, pattern: str, version: str, text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
-    """source, lang, version, n_tokens and revised_tokens per row of docs.
+class Counter:
+    """Numbers of tokens under several vocabularies; texts are split once, and a piece seen before is looked up once."""
+
+    #: Bits that the count of one vocabulary takes in the packed sum of a text.
+    BITS = 40
+
+    def __init__(self, encoders: list[Encoder]):
+        self.encoders, self.pattern = encoders, encoders[0].pattern
+        self.known: dict[str, int] = {}
+
+    def count(self, texts: list[str]) -> np.ndarray:
+        """One row per vocabulary, one column per text."""
+        parts = [self.encoders[0].pieces(t) for t in texts]
+        new = {p for x in parts for p in x}.difference(self.known)
+        if len(self.known) + len(new) > CACHE:
+            self.known = {}
+            new = {p for x in parts for p in x}
+        split = {p: self.pattern.findall(p) for p in new}
+        words = list({w for x in split.values() for w in x})
+        raw, packed = [w.encode() for w in words], [0] * len(words)
+        for i, encoder in enumerate(self.encoders):
+            packed = [n + (len(ids) // 4 << i * self.BITS) for n, ids in zip(packed, encoder.replay.encode(raw), strict=True)]
+        sizes = dict(zip(words, packed, strict=True))
+        self.known.update((p, sum(map(sizes.__getitem__, x))) for p, x in split.items())
+        get, mask = self.known.__getitem__, (1 << self.BITS) - 1
+        sums = [sum(map(get, x)) for x in parts]
+        return np.array([[n >> i * self.BITS & mask for n in sums] for i in range(len(self.encoders))], np.int64)
+
+
+_counters: dict[tuple, Counter] = {}
+
 
-    revised_tokens counts the text without white space at its ends. A null text has
-    no tokens; null sources and languages are keys of their own.
+def _counter(names: tuple[str, ...], pattern: str) -> Counter:
+    if (names, pattern) not in _counters:
+        _counters[names, pattern] = Counter([_encoder(n, pattern) for n in names])
+    return _counters[names, pattern]
+
+
+def count_versions(docs: DataFrame, versions: dict[str, str], pattern: str, text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
+    """source, lang, version, n_tokens and revised_tokens per row of docs and version; texts are read once.
+
+    versions: the vocabulary file of each version. revised_tokens counts the text
+    without white space at its ends. A null text has no tokens; null sources and
+    languages are keys of their own.
     """
-    name = ship(docs.sparkSession, ranks_path)
+    names = tuple(ship(docs.sparkSession, path) for path in versions.values())
 
     def count(batches):
-        encoder = _encoder(name, pattern)
+        counter = _counter(names, pattern)
         for batch in slices(batches, 0, 4 << 20):
             texts = [t or "" for t in batch.column(0).to_pylist()]
-            n = [len(x) // 4 for x in encoder.encode(texts)]
+            n = counter.count(texts)
             short = [i for i, t in enumerate(texts) if t != t.strip()]
-            revised = np.array(n, np.int64)
-            revised[short] = [len(x) // 4 for x in encoder.encode([texts[i].strip() for i in short])]
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(n, pa.int64()), pa.array(revised)], names=["source", "lang", "n_tokens", "revised_tokens"])
+            revised = n.copy()
+            revised[:, short] = counter.count([texts[i].strip() for i in short])
+            for i, version in enumerate(versions):
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(1), batch.column(2), pa.array([version] * len(texts), pa.string()), pa.array(n[i]), pa.array(revised[i])],
+                    names=["source", "lang", "version", "n_tokens", "revised_tokens"],
+                )
 
     rows = docs.select(F.col(text_col).alias("_text"), F.col(source_col).cast("string").alias("source"), F.col(lang_col).cast("string").alias("lang"))
-    counted = rows.mapInArrow(count, "source string, lang string, n_tokens long, revised_tokens long")
-    return counted.select("source", "lang", F.lit(version).alias("version"), "n_tokens", "revised_tokens")
+    return rows.mapInArrow(count, "source string, lang string, version string, n_tokens long, revised_tokens long")
+
+
+def count_tokens(docs: DataFrame, ranks_path: str, pattern: str, version: str, text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
+    """count_versions of one version."""
+    return count_versions(docs, {version: ranks_path}, pattern, text_col, source_col, lang_col)

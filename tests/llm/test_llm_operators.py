@@ -16,6 +16,7 @@ import pytest
 
 from plazalake.llm import byte_bpe, context_tree, exact_dedup, lang_mixture, minhash, seekable, token_frames, token_rollup, toxicity, warc_bundles, wu_manber
 from plazalake.llm.common import cut
+from plazalake.llm.registry import queries
 
 RANKS = P.path("byte_bpe_50k.tiktoken")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -477,3 +478,16 @@ def test_rollup(spark, tmp_path, edge):
     assert rollup.totals().count() == len(want)
     rollup.commit("undo", token_rollup.deletes(cut(rollup.totals().where("n_docs = 1"), "undo")))
     assert all(r.n_docs > 1 for r in rollup.totals().collect())
+
+
+def test_rollup_query_counts_every_version(spark, tmp_path):
+    docs = [(i, "übermäßig viele Wörter, " * (i % 5) + " " * (i % 3), "de", "a", 1) for i in range(20)] + [(90, None, None, None, None)]
+    spark.createDataFrame(docs, DOCS).write.parquet(f"file://{tmp_path}/documents.parquet")
+    want = {}
+    for version in ("byte_bpe_50k", "byte_bpe_multi_50k"):
+        encoder = byte_bpe.Encoder(byte_bpe.read_ranks(P.path(f"{version}.tiktoken")), P.PATTERN)
+        n = [len(encoder.encode([(d[1] or "").strip()])[0]) // 4 for d in docs]
+        want["a", "de", version] = (sum(x > 0 for x in n), sum(n))
+    assert len(set(want.values())) == 2
+    found = queries()["op10_token_rollup"](spark, f"file://{tmp_path}")
+    assert {(r.source, r.lang, r.version): (r.n_docs, r.n_tokens) for r in found.collect()} == want
