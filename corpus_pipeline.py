@@ -37,8 +37,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
-    return _without(docs, near_duplicates(docs).where(~F.col("kept")))
+    """One document of each group of near-duplicates, similar by 0.8 or more, stays."""
+    return _without(docs, near_duplicates(docs, percent=80).where(~F.col("kept")))
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

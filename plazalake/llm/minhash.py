@@ -12,6 +12,9 @@ want of a candidate.
 
 from __future__ import annotations
 
+import functools
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -22,23 +25,37 @@ from .common import LOWER, cut, slices
 from .components import connected_components
 
 SHINGLE = 5
-#: A pair at the threshold of 0.85 shares no band with probability (1 - 0.85^6)^28 < 2e-6.
-BANDS, ROWS = 28, 6
-MINIMA = BANDS * ROWS
+ROWS = 6
+#: A pair at the threshold shares no band with this probability at most.
+MISSED = 2e-6
+
+
+def bands_of(percent: int) -> int:
+    """Bands of ROWS minima for a threshold: 28 at 85, 44 at 80."""
+    return 1 if percent >= 100 else math.ceil(math.log(MISSED) / math.log1p(-((percent / 100) ** ROWS)))
+
+
+#: Of the usual threshold.
+PERCENT = 85
+MINIMA = bands_of(PERCENT) * ROWS
 #: Low bits kept of each minimum; chance collisions 1/16.
 BITS = 4
-LANES = -(-MINIMA // 64)
 #: How far below the threshold an estimate may be; five standard errors of 168 minima and more.
 SLACK = 0.16
 #: Members of a bucket that are compared at once.
 BLOCK = 2048
 CACHE = 500_000
-_rng = np.random.default_rng(20240501)
-_MULTIPLY = _rng.integers(1, 1 << 63, MINIMA, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
-_ADD = _rng.integers(0, 1 << 63, MINIMA, dtype=np.uint64)
 _PLACES = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 
 
+@functools.cache
+def _hashes(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Factors and summands of n hash functions."""
+    rng = np.random.default_rng(20240501)
+    multiply = rng.integers(1, 1 << 63, n, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
+    return multiply, rng.integers(0, 1 << 63, n, dtype=np.uint64)
+
+
 class _Words(dict):
     def __missing__(self, word):
         found = self[word] = xxhash.xxh64_intdigest(word)
@@ -71,34 +88,36 @@ def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
     return np.unique(out)
 
 
-def minima(h: np.ndarray) -> np.ndarray:
-    """MINIMA minima of a set that isn't empty."""
-    low = np.full(MINIMA, np.iinfo(np.uint64).max)
+def minima(h: np.ndarray, n: int = MINIMA) -> np.ndarray:
+    """n minima of a set that isn't empty."""
+    multiply, add = _hashes(n)
+    low = np.full(n, np.iinfo(np.uint64).max)
     for i in range(0, len(h), 512):
-        low = np.minimum(low, (h[i : i + 512, None] * _MULTIPLY + _ADD).min(0))
+        low = np.minimum(low, (h[i : i + 512, None] * multiply + add).min(0))
     return _mix(low)
 
 
 def pack(low: np.ndarray) -> bytes:
-    """BITS planes of LANES 64-bit words."""
-    bits = np.zeros((BITS, LANES * 64), np.uint8)
-    bits[:, :MINIMA] = low >> np.arange(BITS, dtype=np.uint64)[:, None] & np.uint64(1)
+    """BITS planes of as many 64-bit words as the minima take."""
+    bits = np.zeros((BITS, -(-len(low) // 64) * 64), np.uint8)
+    bits[:, : len(low)] = low >> np.arange(BITS, dtype=np.uint64)[:, None] & np.uint64(1)
     return np.packbits(bits, axis=1, bitorder="little").tobytes()
 
 
-def estimate(one: np.ndarray, many: np.ndarray) -> np.ndarray:
-    """Collision-corrected similarity of signature one to each of many, as (BITS, LANES) words."""
+def estimate(one: np.ndarray, many: np.ndarray, n: int = MINIMA) -> np.ndarray:
+    """Collision-corrected similarity of signature one to each of many, of n minima, as (BITS, lanes) words."""
     differ = np.bitwise_or.reduce(one ^ many, axis=-2)
-    agree = 1 - np.bitwise_count(differ).sum(-1) / MINIMA
+    agree = 1 - np.bitwise_count(differ).sum(-1) / n
     chance = 2.0**-BITS
     return (agree - chance) / (1 - chance)
 
 
 def _unpack(signatures: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(signatures), np.uint64).reshape(-1, BITS, LANES)
+    lanes = len(signatures[0]) // (8 * BITS) if signatures else 1
+    return np.frombuffer(b"".join(signatures), np.uint64).reshape(-1, BITS, lanes)
 
 
-def sketch(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def sketch(docs: DataFrame, id_col: str, text_col: str, n_bands: int) -> DataFrame:
     """id, n_shingles, and of sets that aren't empty: same (what stands for the set), bands, signature."""
 
     def run(batches):
@@ -108,8 +127,8 @@ def sketch(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 h = shingles(text)
                 n.append(len(h))
                 if len(h):
-                    low = minima(h)
-                    raw = low.reshape(BANDS, ROWS)
+                    low = minima(h, n_bands * ROWS)
+                    raw = low.reshape(n_bands, ROWS)
                     same.append(xxhash.xxh3_128_digest(h.tobytes()))
                     bands.append([xxhash.xxh64_intdigest(x.tobytes(), seed=i) - (1 << 63) for i, x in enumerate(raw)])
                     packed.append(pack(low))
@@ -150,20 +169,20 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.mapInArrow(run, "a long, b long")
 
 
-def _weed(pairs: DataFrame, signed: DataFrame, least: float) -> DataFrame:
+def _weed(pairs: DataFrame, signed: DataFrame, least: float, n: int) -> DataFrame:
     """Pairs whose estimated similarity is at least `least`."""
     left, right = signed.select(F.col("id").alias("a"), F.col("signature").alias("x")), signed.select(F.col("id").alias("b"), F.col("signature").alias("y"))
 
     def run(batches):
         for batch in batches:
             if batch.num_rows:
-                near = estimate(_unpack(batch.column(2).to_pylist()), _unpack(batch.column(3).to_pylist()))
+                near = estimate(_unpack(batch.column(2).to_pylist()), _unpack(batch.column(3).to_pylist()), n)
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(near >= least))
 
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _centres(placed: DataFrame, signed: DataFrame) -> DataFrame:
+def _centres(placed: DataFrame, signed: DataFrame, n: int) -> DataFrame:
     """bucket, a: the member that the others are held against.
 
     In buckets of over three, the one that agrees most with the majority bits of its
@@ -173,8 +192,8 @@ def _centres(placed: DataFrame, signed: DataFrame) -> DataFrame:
     def run(key, table):
         ids, signs = table["id"].to_numpy(), _unpack(table["signature"].to_pylist())
         bits = np.unpackbits(signs.view(np.uint8).reshape(len(ids), -1), axis=1)
-        majority = np.packbits(2 * bits.sum(0, dtype=np.int64) > len(ids)).view(np.uint64).reshape(BITS, LANES)
-        near = estimate(majority, signs)
+        majority = np.packbits(2 * bits.sum(0, dtype=np.int64) > len(ids)).view(np.uint64).reshape(signs.shape[1:])
+        near = estimate(majority, signs, n)
         best = int(np.lexsort((ids, -near))[0])
         return pa.table({"bucket": [key[0].as_py()], "id": [int(ids[best])], "near": [float(near[best])]})
 
@@ -192,7 +211,7 @@ def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return both > 0 and 100 * both >= percent * (len(x) + len(y) - both)
 
 
-def _across(members: DataFrame, least: float, percent: int) -> DataFrame:
+def _across(members: DataFrame, least: float, percent: int, n: int) -> DataFrame:
     """Links between different components in the same bucket, confirmed on full sets.
 
     members: bucket, block, home, small, id, component, signature, shingles. The rows
@@ -210,7 +229,7 @@ def _across(members: DataFrame, least: float, percent: int) -> DataFrame:
             other = own[comp[own] != comp[i]]
             if not len(other):
                 continue
-            near = estimate(signs[i], signs[other])
+            near = estimate(signs[i], signs[other], n)
             for j in other[np.argsort(-near, kind="stable")][: int((near >= least).sum())].tolist():
                 if comp[j] != comp[i] and _linked(sets[i], sets[j], percent):
                     a.append(min(ids[i], ids[j]))
@@ -221,7 +240,7 @@ def _across(members: DataFrame, least: float, percent: int) -> DataFrame:
     return members.groupBy("bucket", "block").applyInArrow(run, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """One row per row of docs: id, n_shingles, component_id, kept.
 
     A set: distinct shingles of SHINGLE lower-cased words (A-Z only); with fewer
@@ -230,7 +249,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component is its own id. Rows that repeat an id are one document if their
     texts agree; ids must be unique otherwise. No rows for no documents.
     """
-    all_rows = cut(sketch(docs, id_col, text_col), "sketches")
+    n_bands = bands_of(percent)
+    n = n_bands * ROWS
+    all_rows = cut(sketch(docs, id_col, text_col, n_bands), "sketches")
     rows = all_rows.where("id is not null and same is not null")
     # a class: all documents with the same set
     classes = cut(rows.groupBy("same", "n_shingles").agg(F.min("id").alias("id")), "classes")
@@ -239,8 +260,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sizes = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     placed = cut(placed.join(sizes, "bucket"), "buckets")
     threshold = percent / 100 - SLACK
-    stars = placed.join(_centres(placed, signed), "bucket").where("id <> a").select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
-    stars = cut(_weed(stars, signed, threshold), "stars")
+    stars = placed.join(_centres(placed, signed, n), "bucket").where("id <> a").select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
+    stars = cut(_weed(stars, signed, threshold, n), "stars")
     # sets of the members of buckets with more than one, and of no others
     need = placed.select("id").distinct()
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(need, "id", "left_semi").dropDuplicates(["id"])
@@ -258,7 +279,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     blocks = F.when(F.col("small"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(own))
     spread = members.withColumn("own", own).withColumn("block", F.explode(blocks)).withColumn("home", F.col("own") == F.col("block"))
     spread = spread.join(signed.select("id", "signature").join(sets, "id"), "id")
-    more = cut(_across(spread.select("bucket", "block", "home", "small", "id", "component", "signature", "shingles"), threshold, percent), "across")
+    more = cut(_across(spread.select("bucket", "block", "home", "small", "id", "component", "signature", "shingles"), threshold, percent, n), "across")
     if more.take(1):
         found = connected_components(edges.union(more))
     roots = classes.join(found, classes["id"] == found["node"], "left").select("same", "n_shingles", F.coalesce("component", "id").alias("component_id"))

@@ -1,6 +1,7 @@
 import pytest
 
 import corpus_pipeline
+from plazalake.llm import minhash
 from plazalake.llm.registry import queries
 
 SF = "/root/testdata/sf0.001"
@@ -28,3 +29,19 @@ def test_pipeline_edges(spark, rows):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SF)
     assert sorted(str(r.doc_id) for r in docs.collect()) == (["3", "None"] if rows else [])
+
+
+def test_near_stage_links_from_0_8(spark):
+    words = [f"w{i}x" for i in range(200)]
+    other = [f"changed{i}" if i in (20, 70, 120, 170) else w for i, w in enumerate(words)]
+    x, y = (minhash.shingles(" ".join(w)) for w in (words, other))
+    both = len(set(x.tolist()) & set(y.tolist()))
+    assert 80 <= 100 * both / (len(x) + len(y) - both) < 85
+    rows = [(1, " ".join(words), "en", "s", 1), (2, " ".join(other), "en", "s", 1), (3, "another text of other words altogether", "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in corpus_pipeline.near(spark, docs, SF).collect()) == [1, 3]
+
+
+def test_bands_miss_few_at_any_threshold():
+    assert (minhash.bands_of(85), minhash.bands_of(80)) == (28, 44)
+    assert all((1 - (p / 100) ** minhash.ROWS) ** minhash.bands_of(p) <= 2e-6 for p in range(50, 101))
