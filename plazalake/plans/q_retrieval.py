@@ -13,8 +13,10 @@ from plazalake.sources.tables import table
 QUERIES, ORACLES = {}, {}
 WORDS = ["the", "und", "eau", "ción"]
 _VALUES = ", ".join(f"('{w}')" for w in WORDS)
-#: Query vectors: the points of the lowest ids.
+#: One question of three vectors, the points of the lowest ids: what is best per post, and fusion.
 N_QUERIES, K, THRESHOLD = 3, 12, 0.2
+#: A search: every point whose id is divisible by this is a query.
+EVERY = 20
 
 
 def query(name, oracle=None):
@@ -33,21 +35,39 @@ _KEYWORD = f"""k(w) AS (VALUES {_VALUES}),
     r2 AS (SELECT r.post_id, w, count(*) AS n FROM subreplies s JOIN replies r USING (reply_id) JOIN posts p ON p.post_id = r.post_id AND NOT p.is_private, k WHERE contains(lower(s.body), w) GROUP BY ALL),
     kw AS (SELECT post_id, least(6.0::DOUBLE, sum(s)) AS keyword FROM (SELECT post_id, s FROM own UNION ALL SELECT post_id, least(2.0::DOUBLE, n * 0.5::DOUBLE) FROM r1
         UNION ALL SELECT post_id, least(1.5::DOUBLE, n * 0.5::DOUBLE) FROM r2) GROUP BY 1 HAVING sum(s) > 0)"""
-_VECTOR = f"""v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e, sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))) AS n FROM embeddings),
-    q AS (SELECT vec_id AS query_id, e AS qe, n AS qn FROM v ORDER BY vec_id LIMIT {N_QUERIES}),
+
+
+def _vector_sql(queries: str) -> str:
+    return f"""v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e, sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))) AS n FROM embeddings),
+    q AS (SELECT vec_id AS query_id, e AS qe, n AS qn FROM v {queries}),
     sc AS (SELECT query_id, vec_id, label, list_inner_product(e, qe) / (n * qn) AS score FROM v, q),
     vt AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM sc WHERE score >= {THRESHOLD}) WHERE rank <= {K}),
     vb AS (SELECT vec_id AS post_id, max(score) AS vector, count(*) AS hits FROM vt GROUP BY 1)"""
 
 
+_VECTOR, _SEARCH = _vector_sql(f"ORDER BY vec_id LIMIT {N_QUERIES}"), _vector_sql(f"WHERE vec_id % {EVERY} = 0")
+
+
 def _keyword(spark, sf):
     return V.keyword_score(posts(spark, sf), replies(spark, sf), subreplies(spark, sf), WORDS)
 
 
+def _nearest(points, queries):
+    return V.nearest(points, queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), K, THRESHOLD)
+
+
 def _vector(spark, sf):
     e = table(spark, sf, "embeddings")
-    q = e.orderBy("vec_id").limit(N_QUERIES).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    return V.nearest(e, q, K, THRESHOLD)
+    return _nearest(e, e.orderBy("vec_id").limit(N_QUERIES))
+
+
+def _asked(points):
+    return points.where(F.col("vec_id") % EVERY == 0)
+
+
+def _search(spark, sf):
+    e = table(spark, sf, "embeddings")
+    return _nearest(e, _asked(e))
 
 
 @query("keyword_score", sql("posts replies subreplies", f"WITH {_KEYWORD} SELECT post_id, keyword FROM kw"))
@@ -55,9 +75,9 @@ def _(spark, sf):
     return _keyword(spark, sf)
 
 
-@query("vector_topk", f"WITH {_VECTOR} SELECT query_id, vec_id, label, round(score, 9) AS score, rank FROM vt")
+@query("vector_topk", f"WITH {_SEARCH} SELECT query_id, vec_id, label, round(score, 9) AS score, rank FROM vt")
 def _(spark, sf):
-    return _vector(spark, sf).select("query_id", "vec_id", "label", F.round("score", 9).alias("score"), F.col("rank").cast("long").alias("rank"))
+    return _search(spark, sf).select("query_id", "vec_id", "label", F.round("score", 9).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 @query("vector_best_per_post", f"WITH {_VECTOR} SELECT post_id, round(vector, 9) AS vector, hits FROM vb")
@@ -127,10 +147,10 @@ def _(spark, sf):
     return r.select("post_id", "reply_id", F.round(1 / F.col("rank"), 4).alias("score"))
 
 
-@query("weak_retrieval_flag", f"WITH {_VECTOR} SELECT q.query_id, coalesce(max(vt.score), 0) < 0.5 OR count(vt.vec_id) = 0 AS weak FROM q LEFT JOIN vt ON vt.query_id = q.query_id AND vt.vec_id <> q.query_id GROUP BY 1")
+@query("weak_retrieval_flag", f"WITH {_SEARCH} SELECT q.query_id, coalesce(max(vt.score), 0) < 0.5 OR count(vt.vec_id) = 0 AS weak FROM q LEFT JOIN vt ON vt.query_id = q.query_id AND vt.vec_id <> q.query_id GROUP BY 1")
 def _(spark, sf):
-    hits = _vector(spark, sf).where("vec_id <> query_id").groupBy("query_id").agg(F.max("score").alias("top"))
-    asked = table(spark, sf, "embeddings").select(F.col("vec_id").alias("query_id")).orderBy("query_id").limit(N_QUERIES)
+    hits = _search(spark, sf).where("vec_id <> query_id").groupBy("query_id").agg(F.max("score").alias("top"))
+    asked = _asked(table(spark, sf, "embeddings")).select(F.col("vec_id").alias("query_id"))
     return asked.join(hits, "query_id", "left").select("query_id", (F.coalesce("top", F.lit(0.0)) < 0.5).alias("weak"))
 
 
