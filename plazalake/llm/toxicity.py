@@ -38,17 +38,28 @@ SHORTEST, LONGEST = 3, 24
 CONTEXT, SPAN = 4, 40
 CACHE = 400_000
 THRESHOLD = 0.3
-#: Letters, digits and signs that stand for letters; the rest parts words.
-WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 or c in b"@$" else 32 for c in range(256))
-TOKEN = re.compile(r"[^\W_@$]+(?:[@$]+[^\W_@$]+)*|[\"“”„«»]|^\s*>|\n", re.M)
+#: A word: letters, digits and signs that stand for letters; the rest parts words.
+WORD = r"[\w@$]+"
+WORDS = re.compile(WORD)
+TOKEN = re.compile(WORD + r"|[\"“”„«»]|^\s*>|\n", re.M)
 MARKS = frozenset('"“”„«»')
 REPORTING = frozenset("said says called calls quote quoted quotes wrote writes word term phrase sagte nannte zitat schrieb wort dit disait cite citation mot dijo llamó cita palabra".split())
 SECOND = frozenset("you your youre u ur du dich dir ihr dein deine tu toi te ton ta vous votre tú usted tus vosotros".split())
 FEATURES = 6
 
 
-def words_of(text: str | None) -> list[bytes]:
-    return text.lower().encode().translate(WORDS).split() if text else []
+def _plain(text: str) -> str:
+    """In lower case; an underscore parts words, too."""
+    return text.lower().replace("_", "\0")
+
+
+def words_of(text: str | None) -> list[str]:
+    return WORDS.findall(_plain(text)) if text else []
+
+
+def tokens_of(text: str) -> list[str]:
+    """The same words, quotation marks, beginnings of quoted lines and line ends."""
+    return TOKEN.findall(_plain(text))
 
 
 def edits(length: int) -> int:
@@ -91,7 +102,7 @@ class Automaton:
         self._prefix: list[tuple | None] = []
         self._whole: list[tuple | None] = []
         self.start = self._state({(0, 0)})
-        self._known: dict[bytes, tuple | None] = {}
+        self._known: dict[str, tuple | None] = {}
 
     def _state(self, found: set) -> int:
         todo, least = list(found), {}
@@ -138,7 +149,7 @@ class Automaton:
             best = hit
         return best
 
-    def lookup(self, words: set[bytes]) -> dict[bytes, tuple]:
+    def lookup(self, words: set[str]) -> dict[str, tuple]:
         """Of these words, the hits."""
         known = self._known
         if len(known) > CACHE:
@@ -147,7 +158,7 @@ class Automaton:
         for w in words:
             hit = known.get(w, 0)
             if hit == 0:
-                hit = known[w] = self.match(w.decode()) if self.terms else None
+                hit = known[w] = self.match(w) if self.terms else None
             if hit is not None:
                 out[w] = hit
         return out
@@ -165,10 +176,9 @@ def features(text: str | None, machine: Automaton) -> list[float]:
     hits = machine.lookup(set(words)) if words else {}
     if not any(machine.weight(h) for h in hits.values()):
         return [0.0] * FEATURES
-    tokens = TOKEN.findall(text.lower())
     inside, line, n, marks = False, False, 0, []
     stream: list[tuple[str, bool]] = []
-    for t in tokens:
+    for t in tokens_of(text):
         if t in MARKS:
             inside = not inside
         elif t == "\n":
@@ -179,7 +189,7 @@ def features(text: str | None, machine: Automaton) -> list[float]:
             stream.append((t, inside or line))
     total = in_context = edited = quoted = 0.0
     for i, (t, is_quoted) in enumerate(stream):
-        hit = hits.get(t.encode())
+        hit = hits.get(t)
         weight = machine.weight(hit) if hit else 0.0
         if not weight:
             continue
@@ -231,7 +241,6 @@ def keys_of(text: str | None) -> set[str]:
     """Prefixes of the words, and whole words with a space after them."""
     out = set()
     for w in set(words_of(text)):
-        w = w.decode()
         if len(w) <= LONGEST:
             out.update(w[:k] for k in range(SHORTEST, len(w) + 1))
             if len(w) >= SHORTEST:

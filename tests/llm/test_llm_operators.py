@@ -491,3 +491,14 @@ def test_rollup_query_counts_every_version(spark, tmp_path):
     assert len(set(want.values())) == 2
     found = queries()["op10_token_rollup"](spark, f"file://{tmp_path}")
     assert {(r.source, r.lang, r.version): (r.n_docs, r.n_tokens) for r in found.collect()} == want
+
+
+def test_words_are_the_tokens_that_are_scored():
+    machine = toxicity.Automaton([("idiot", True, 5.0), ("scum", True, 4.0), ("stupid", False, 4.0), ("¡scum", True, 9.0)], [2.0] * 4)
+    for text in ("“idiot”", "„idiot“", "«idiot»", "¡idiot!", "idiot…", "worthless—scum", "scum_idiot", "stupid$$$", "$tupid", "@idiot"):
+        words = toxicity.words_of(text)
+        assert words == [t for t in toxicity.tokens_of(text) if t not in toxicity.MARKS], text
+        assert toxicity.features(text, machine)[0] > 0, text
+    assert toxicity.words_of("“Idiot” ¡idiota! a$$ @ss x_y Über") == ["idiot", "idiota", "a$$", "@ss", "x", "y", "über"]
+    quoted, bare = (toxicity.features(t, machine)[1] for t in ("such an “idiot” here", "such an idiot here"))
+    assert 0 < quoted < bare
