@@ -188,10 +188,20 @@ def _(spark, sf):
     return table(spark, sf, "documents").select("doc_id", X.mostly_signs(F.col("text"), "à-ÿ").alias("mostly"))
 
 
-@query("content_related", sql("posts", r"""SELECT post_id, len(list_intersect(list_distinct(regexp_extract_all(lower(title), '[a-z]{3,}')), list_distinct(regexp_extract_all(lower(substring(body, 50, 300)), '[a-z]{3,}')))) > 0 AS related FROM posts"""))
+def _bigrams(text: str) -> str:
+    return f"list_distinct(flatten(list_transform(regexp_extract_all({text}, '[一-鿿]+'), lambda r: list_transform(generate_series(1, length(r) - 1), lambda i: substring(r, i, 2)))))"
+
+
+_COMMON = ", ".join(f"'{w}'" for w in X.COMMON_WORDS)
+
+
+@query("content_related", sql("posts", rf"""WITH w AS (SELECT post_id, title, substring(body, 1, 200) AS summary, body FROM posts),
+    k AS (SELECT *, list_concat(list_filter(regexp_extract_all(lower(title), '[a-z0-9]+'), lambda x: length(x) >= 4),
+        list_transform(list_filter(regexp_extract_all(title, '[\p{{L}}\p{{N}}_]+'), lambda x: regexp_full_match(x, '[A-Z]{{2,3}}')), lambda x: lower(x))) AS keys FROM w)
+    SELECT post_id, len(list_intersect(list_filter(keys, lambda x: x NOT IN ({_COMMON})), regexp_extract_all(lower(body), '[\p{{L}}\p{{N}}_]+'))) > 0
+        OR len(list_intersect({_bigrams("title")}, {_bigrams("body")})) >= 2 OR len(list_intersect({_bigrams("summary")}, {_bigrams("body")})) >= 2 AS related FROM k"""))
 def _(spark, sf):
-    words = lambda c: F.regexp_extract_all(F.lower(c), F.lit("[a-z]{3,}"), F.lit(0))
-    return posts(spark, sf).select("post_id", F.arrays_overlap(words(F.col("title")), words(F.substring("body", 50, 300))).alias("related"))
+    return posts(spark, sf).select("post_id", X.content_related(F.col("title"), F.substring("body", 1, 200), F.col("body")).alias("related"))
 
 
 @query("translation_intact", r"""WITH t AS (SELECT doc_id, text AS o, CASE WHEN doc_id % 3 = 0 THEN substring(text, 1, length(text) // 2) ELSE text END AS t FROM documents),

@@ -64,6 +64,24 @@ def test_title_functions(spark):
     assert value(spark, X.title_issue(F.col("t"), F.array(F.lit("x"))), t="一周盘点") == "banned"
 
 
+@pytest.mark.parametrize(
+    "title,summary,text,want",
+    [
+        ("Rust 1.80 released", "", "all about " + "x " * 400 + "rust", True),
+        ("About the new", "", "the new about", False),
+        ("An AI gate", "", "what ai does", True),
+        ("ai gat", "", "what ai does", False),
+        ("rusty", "", "rustyness über_rusty", False),
+        ("数据库引擎", "", "这个数据库很快", True),
+        ("数据", "", "数据", False),
+        ("无关", "开源数据库引擎发布", "新的数据库", True),
+        (None, None, None, False),
+    ],
+)
+def test_content_related(spark, title, summary, text, want):
+    assert value(spark, X.content_related(*[F.lit(x).cast("string") for x in (title, summary, text)])) is want
+
+
 def test_error_signatures_merge(spark):
     a = value(spark, X.error_signature(F.col("t")), t="2026-09-20 05:48:28 user 12 deadbeefdeadbeef failed")
     b = value(spark, X.error_signature(F.col("t")), t="2026-09-21 06:00:01 user 7  0123456789abcdef failed")
