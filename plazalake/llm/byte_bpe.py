@@ -18,12 +18,12 @@ import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, StructField, StructType
+from pyspark.sql.types import BinaryType, BooleanType, StructField, StructType
 
-from .common import slices
+from .common import hold, slices
 
-#: Pieces whose ids a worker remembers between tasks.
-CACHE = 500_000
+#: Bytes that a worker's memory of pieces and their ids may take, and what an entry takes beside its piece.
+CACHE_BYTES, ENTRY_BYTES = 96 << 20, 200
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -153,6 +153,7 @@ class Encoder:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.replay, self.pattern = MergeReplay(ranks), regex.compile(pattern)
         self.known: dict[str, bytes] = {}
+        self.held = 0
 
     #: A space before another white space, or at the end: runs that must not be parted.
     RUN = regex.compile(r" \s| \Z")
@@ -170,9 +171,11 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         parts = [self.pieces(t) for t in texts]
         new = {p for x in parts for p in x}.difference(self.known)
-        if len(self.known) + len(new) > CACHE:
+        self.held += sum(map(len, new)) + ENTRY_BYTES * len(new)
+        if self.held > CACHE_BYTES and self.known:
             self.known = {}
             new = {p for x in parts for p in x}
+            self.held = sum(map(len, new)) + ENTRY_BYTES * len(new)
         split = {p: self.pattern.findall(p) for p in new}
         words = list({w for x in split.values() for w in x})
         ids = dict(zip(words, self.replay.encode([w.encode() for w in words]), strict=True))
@@ -184,13 +187,8 @@ class Encoder:
         return b"".join(map(self.replay.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-_encoders: dict[tuple, Encoder] = {}
-
-
 def _encoder(name: str, pattern: str) -> Encoder:
-    if (name, pattern) not in _encoders:
-        _encoders[name, pattern] = Encoder(read_ranks(SparkFiles.get(name)), pattern)
-    return _encoders[name, pattern]
+    return hold(("byte_bpe", name, pattern), lambda: Encoder(read_ranks(SparkFiles.get(name)), pattern))
 
 
 def ship(spark, path: str) -> str:
@@ -233,6 +231,26 @@ def bpe_decode(rows: DataFrame, ranks_path: str, pattern: str, ids_col: str = "i
     return kept.mapInArrow(decode, StructType([*kept.schema.fields, StructField(out_col, BinaryType())]))
 
 
+def bpe_encode_decode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", out_col: str = "ids", exact_col: str = "exact") -> DataFrame:
+    """docs with out_col as bpe_encode has it, and exact_col: whether the ids decode to the text's bytes.
+
+    Columns of docs that are named like either are replaced.
+    """
+    name = ship(docs.sparkSession, ranks_path)
+    kept = docs.drop(out_col, exact_col)
+    at = kept.columns.index(text_col)
+
+    def encode(batches):
+        encoder = _encoder(name, pattern)
+        for batch in slices(batches, at, 4 << 20):
+            texts = [t or "" for t in batch.column(at).to_pylist()]
+            ids = encoder.encode(texts)
+            exact = [encoder.decode(x) == t.encode() for x, t in zip(ids, texts, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.binary()), pa.array(exact, pa.bool_())], names=[*batch.schema.names, out_col, exact_col])
+
+    return kept.mapInArrow(encode, StructType([*kept.schema.fields, StructField(out_col, BinaryType()), StructField(exact_col, BooleanType())]))
+
+
 def bpe_digest(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode, then decode the ids: id, n_tokens, ids_sha256, decoded_sha256 per row of docs.
 

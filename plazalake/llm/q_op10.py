@@ -1,9 +1,7 @@
-import uuid
-
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from .common import cut, shared_dir
+from .common import cut, new_path
 from .token_rollup import KEYS, Rollup, count_versions, deletes, inserts, revisions
 
 VERSIONS = {"byte_bpe_50k": "byte_bpe_50k.tiktoken", "byte_bpe_multi_50k": "byte_bpe_multi_50k.tiktoken"}
@@ -15,7 +13,7 @@ def op10_token_rollup(spark, sf_dir):
     Documents without a token left are deleted. Every batch is sent twice, which changes nothing.
     """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    rollup = Rollup(spark, f"{shared_dir(spark)}/plazalake-rollup-{uuid.uuid4().hex}")
+    rollup = Rollup(spark, new_path(spark, "rollup"))
     counts = count_versions(docs, {version: public_tokenizers.path(file) for version, file in VERSIONS.items()}, public_tokenizers.PATTERN)
     # one row per key and pair of counts is enough for all three batches
     counts = cut(counts.groupBy(*KEYS, "n_tokens", "revised_tokens").agg(F.count(F.lit(1)).alias("times")), "token-counts")

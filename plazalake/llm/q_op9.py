@@ -2,7 +2,7 @@ from .exact_dedup import exact_dedup
 
 
 def op9_exact_dedup(spark, sf_dir):
-    return exact_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return exact_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("text_hash")
 
 
 QUERIES = {"op9_exact_dedup": op9_exact_dedup}

@@ -13,11 +13,12 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .byte_bpe import CACHE, Encoder, _encoder, ship
-from .common import slices
+from .byte_bpe import CACHE_BYTES, ENTRY_BYTES, Encoder, read_ranks, ship
+from .common import hold, slices
 
 KEYS = ["source", "lang", "version"]
 DELTAS = "source string, lang string, version string, n_docs long, n_tokens long"
@@ -120,14 +121,17 @@ class Counter:
     def __init__(self, encoders: list[Encoder]):
         self.encoders, self.pattern = encoders, encoders[0].pattern
         self.known: dict[str, int] = {}
+        self.held = 0
 
     def count(self, texts: list[str]) -> np.ndarray:
         """One row per vocabulary, one column per text."""
         parts = [self.encoders[0].pieces(t) for t in texts]
         new = {p for x in parts for p in x}.difference(self.known)
-        if len(self.known) + len(new) > CACHE:
+        self.held += sum(map(len, new)) + ENTRY_BYTES * len(new)
+        if self.held > CACHE_BYTES and self.known:
             self.known = {}
             new = {p for x in parts for p in x}
+            self.held = sum(map(len, new)) + ENTRY_BYTES * len(new)
         split = {p: self.pattern.findall(p) for p in new}
         words = list({w for x in split.values() for w in x})
         raw, packed = [w.encode() for w in words], [0] * len(words)
@@ -140,13 +144,8 @@ class Counter:
         return np.array([[n >> i * self.BITS & mask for n in sums] for i in range(len(self.encoders))], np.int64)
 
 
-_counters: dict[tuple, Counter] = {}
-
-
 def _counter(names: tuple[str, ...], pattern: str) -> Counter:
-    if (names, pattern) not in _counters:
-        _counters[names, pattern] = Counter([_encoder(n, pattern) for n in names])
-    return _counters[names, pattern]
+    return hold(("token_rollup", names, pattern), lambda: Counter([Encoder(read_ranks(SparkFiles.get(n)), pattern) for n in names]))
 
 
 def count_versions(docs: DataFrame, versions: dict[str, str], pattern: str, text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:

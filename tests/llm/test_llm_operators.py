@@ -14,7 +14,7 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 
-from plazalake.llm import byte_bpe, context_tree, exact_dedup, lang_mixture, minhash, seekable, token_frames, token_rollup, toxicity, warc_bundles, wu_manber
+from plazalake.llm import byte_bpe, common, context_tree, exact_dedup, lang_mixture, minhash, seekable, token_frames, token_rollup, toxicity, warc_bundles, wu_manber
 from plazalake.llm.common import cut
 from plazalake.llm.registry import queries
 
@@ -66,6 +66,13 @@ def test_exact_dedup_brute_force(spark, edge):
             assert (r.keep_id, r.group_size, r.kept, r.text_sha256) == (keep, len(members), i == keep, hashlib.sha256(norm.encode()).hexdigest())
 
 
+def test_exact_dedup_of_repeated_ids(spark):
+    rows = [(3, "short text"), (3, "short text  "), (3, "short  text "), (4, "other"), (4, "more"), (None, "x"), (None, "x ")]
+    got = exact_dedup.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert [r.group_size for r in got.where("kept and doc_id = 3").collect()] == [3]
+    assert got.where("kept and doc_id = 4").count() == 2 and got.where("kept and doc_id is null").count() == 1
+
+
 def test_exact_dedup_edges(edge, empty):
     got = exact_dedup.exact_dedup(edge).collect()
     assert len(got) == len(EDGE)
@@ -120,6 +127,7 @@ def test_near_duplicates_brute_force(spark, seed, groups, size, edits):
 
 def test_near_duplicates_blocks(spark, monkeypatch):
     monkeypatch.setattr(minhash, "BLOCK", 8)
+    monkeypatch.setattr(common, "HOT", 5)
     rows = near_rows(9, 2, 40, 5)
     got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == components_by_force(rows)
@@ -134,6 +142,13 @@ def test_near_duplicates_edges(edge, empty):
     assert minhash.near_duplicates(empty).count() == 0
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    one, two = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
+    rows = [(3, one), (3, two), (1, two + " end"), (3, one), (None, one), (None, "c d"), (4, None)]
+    got = sorted((str(r.doc_id), r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == sorted([("3", 36, 3, True), ("3", 36, 3, True), ("3", 36, 1, False), ("1", 37, 1, True), ("None", 36, 3, False), ("None", 1, None, True), ("4", 0, 4, True)])
+
+
 def test_estimate_is_close():
     random.seed(4)
     a = minhash.shingles(" ".join(random.choices("abcdefghijklmnop", k=4000)))
@@ -303,16 +318,85 @@ def test_languages_of_held_out_texts(spark):
     assert sum(r.lang == r.lang_pred for r in rows) >= 0.95 * len(rows)
 
 
-def test_mixture_proportions():
-    counts = {}
-    for lang, word in (("aa", b"abab"), ("bb", b"xyxy")):
-        counts[lang] = np.zeros(lang_mixture.SLOTS + 65536 + 256)
-        three, two, one, _ = lang_mixture._grams([word] * 100)
-        for at, offset in ((three, 0), (two, lang_mixture.SLOTS), (one, lang_mixture.SLOTS + 65536)):
-            np.add.at(counts[lang], at + offset, 1)
-    model = lang_mixture.Model(counts)
-    share = model.mixtures([[b"abab"] * 30 + [b"xyxy"] * 10, [b"abab"] * 5])
-    assert abs(share[0][0] - 0.75) < 0.05 and share[1].tolist() == [1, 0]
+def trigrams(word):
+    """Of a padded word, by definition."""
+    w = b"  " + word + b" "
+    return [(w[i] << 16) | (w[i + 1] << 8) | w[i + 2] for i in range(len(w) - 2)]
+
+
+def counted(words):
+    n = Counter(g for w in words for g in trigrams(w))
+    return np.array(sorted(n)), np.array([n[g] for g in sorted(n)])
+
+
+def test_next_byte_sums_to_one():
+    model = lang_mixture.Model({"aa": counted([b"abab", b"ba", b"a"] * 20)})
+    grams, n, pairs, n_pair, last = model._tables[0]
+    for pair in pairs[:-1].tolist():
+        total = sum((dict(zip(grams.tolist(), n.tolist())).get(pair << 8 | c, 0) + lang_mixture.PRIOR * last[c]) for c in range(256))
+        assert abs(total / (n_pair[pairs.tolist().index(pair)] + lang_mixture.PRIOR) - 1) < 1e-9
+
+
+def test_mixture_by_definition():
+    """Word likelihoods, expectation maximisation and the penalised choice, word by word."""
+    random.seed(12)
+    learn = {lang: ["".join(random.choice(signs) for _ in range(random.randint(1, 6))).encode() for _ in range(80)] for lang, signs in (("aa", "abcd"), ("bb", "cdxy"), ("cc", "xyzé"))}
+    model = lang_mixture.Model({lang: counted(w) for lang, w in learn.items()})
+    langs = sorted(learn)
+
+    def likelihood(word, lang):
+        n = Counter(g for w in learn[lang] for g in trigrams(w))
+        two, one = Counter(), Counter()
+        for g, c in n.items():
+            two[g >> 8] += c
+            one[g & 255] += c
+        p, total = 0.0, sum(one.values())
+        for g in trigrams(word):
+            p += math.log((n[g] + lang_mixture.PRIOR * (one[g & 255] + 0.5) / (total + 128)) / (two[g >> 8] + lang_mixture.PRIOR))
+        return p
+
+    def mixture(words):
+        like = [[likelihood(w, x) for x in langs] for w in words]
+        like = [[math.exp(p - max(row)) for p in row] for row in like]
+
+        def run(share, rounds):
+            for _ in range(rounds):
+                held = [0.0] * len(langs)
+                for row in like:
+                    total = sum(a * b for a, b in zip(row, share, strict=True))
+                    held = [h + a * b / total for h, a, b in zip(held, row, share, strict=True)]
+                share = [h / len(words) for h in held]
+            return share, sum(math.log(sum(a * b for a, b in zip(row, share, strict=True))) for row in like)
+
+        def value(share, fit):
+            return fit - 0.5 * math.log(len(words) + 1) * sum(x > 0 for x in share)
+
+        share, fit = run([1 / len(langs)] * len(langs), lang_mixture.FIRST_ROUNDS)
+        while sum(x > 0 for x in share) > 1:
+            low = min(reversed(range(len(langs))), key=lambda i: share[i] if share[i] > 0 else math.inf)
+            fewer = [0.0 if i == low or (x * len(words) < 0.5 and x < max(share)) else x for i, x in enumerate(share)]
+            following = run([x / sum(fewer) for x in fewer], lang_mixture.NEXT_ROUNDS)
+            if value(*following) < value(share, fit):
+                break
+            share, fit = following
+        return share
+
+    docs = [[random.choice(learn[random.choice(langs[:k])]) for _ in range(n)] for k in (1, 2, 3) for n in (1, 3, 20, 60)]
+    for got, words in zip(model.mixtures([Counter(w) for w in docs]), docs, strict=True):
+        assert np.abs(got - mixture(words)).max() < 1e-9
+
+
+def test_mixture_proportions(monkeypatch):
+    model = lang_mixture.Model({"aa": counted([b"abab"] * 100), "bb": counted([b"xyxy"] * 100)})
+    docs = ["abab " * 30 + "xyxy " * 10, "abab " * 5, None, "1 2"]
+    best, score, shares = model.predict(docs)
+    assert best == ["aa", "aa", "und", "und"] and abs(score[0] - 0.75) < 0.05 and shares[1] == [("aa", 1.0)]
+    monkeypatch.setattr(lang_mixture, "CELLS", 1)
+    model._most = 1  # nothing can be remembered
+    model._reset()
+    assert model.predict(docs) == (best, score, shares)
+    # equal models: a tie goes to the first language by name
+    assert lang_mixture.Model({x: counted([b"abab"]) for x in ("zz", "aa")}).predict(["abab", "abab xyxy"])[0] == ["aa", "aa"]
 
 
 def test_language_edges(spark, edge, empty):
