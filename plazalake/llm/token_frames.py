@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 import re
+import string
 import zlib
 
 import numpy as np
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .byte_bpe import ship
-from .common import cut, slices
+from .common import cut, hold, slices
 from .seekable import BundleReader, BundleWriter
 
 FRAME_BYTES = 256 << 10
@@ -39,25 +40,30 @@ class PieceTokenizer:
     """Encodes with a byte-level tokenizer of the tokenizers library, each distinct piece of text once.
 
     A space before something that isn't white space always begins a word of the
-    byte-level pre-tokenizer, and so does punctuation after letters, so pieces that
-    are cut there are independent. Pieces that came back are remembered longest.
+    byte-level pre-tokenizer, a single line feed is one of its own, and so are signs
+    after letters, so pieces that are cut there are independent. A text with other
+    white space together, or with an added token of the vocabulary, goes to the library
+    as it is. Pieces that came back are remembered longest.
     """
 
-    #: A space before another white space, or at the end: runs that must not be parted.
-    RUN = re.compile(r" \s| \Z")
+    #: White space together that mustn't be parted.
+    RUN = re.compile(r"[ \n](?:(?<= )(?:\s|\Z)|(?<=\n)[^\S ]|(?<=[^\S \n]\n))")
     #: White space other than what stands between lines of pieces.
     ODD = re.compile(r"[^\S\n ]")
-    MARKS = ".,;:!?"
+    #: Signs that may follow letters; the apostrophe, which may begin a word, isn't one.
+    MARKS = string.punctuation.replace("'", "")
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True
+        added = [re.escape(t.content) for t in self._tokenizer.get_added_tokens_decoder().values()]
+        self._added = re.compile("|".join(added)) if added else None
         self._feed = self._encode(["\n"])[0]
-        #: ids by piece, without the space before it; pieces that were met again
-        self.known: dict[str, bytes] = {}
+        #: ids by piece: after a line feed, which it begins with, or without the space before it
+        self.known: dict[str, bytes] = {"": b""}
+        #: pieces that were met again
         self.again: set[str] = set()
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
@@ -66,60 +72,59 @@ class PieceTokenizer:
     def _alone(self, texts: list[str]) -> list[bytes]:
         return [np.array(x, "<u4").tobytes() for x in self._encode(texts)]
 
-    def _lines(self, pieces: list[str]) -> None:
-        """Learn pieces without line feeds: each after a space, as the lines of one text."""
+    def _lines(self, pieces: list[str], space: str) -> None:
+        """Learn pieces as the lines of one text: each after a space, or beginning with a line feed."""
         for begin in range(0, len(pieces), LINES):
             part = pieces[begin : begin + LINES]
-            text = " " + "\n ".join(part)
-            ids = np.array(self._encode([text])[0], "<u4") if len(self._feed) == 1 and "" not in part and not self.ODD.search(text) else ()
-            ends = (np.flatnonzero(ids == self._feed[0]) * 4).tolist() if len(ids) else []
-            if len(ends) == len(part) - 1:
-                raw = ids.tobytes()
-                self.known.update((p, raw[a + 4 : b]) for p, a, b in zip(part, [-4, *ends], [*ends, len(raw)], strict=True))
+            text = "".join(part) if not space else "\n" + space + ("\n" + space).join(part)
+            ids = np.array(self._encode([text])[0], "<u4") if not self.ODD.search(text) else np.zeros(0, "<u4")
+            starts = (np.flatnonzero(ids == self._feed[0]) * 4).tolist()
+            if len(starts) == len(part):
+                raw, skip = ids.tobytes(), 4 if space else 0
+                self.known.update((p, raw[a + skip : b]) for p, a, b in zip(part, starts, [*starts[1:], len(raw)], strict=True))
             else:
-                self.known.update(zip(part, self._alone([" " + p for p in part]), strict=True))
+                self.known.update(zip(part, self._alone([space + p for p in part]), strict=True))
 
     def _learn(self, new: set[str]) -> None:
-        marked, lines, alone = [], set(), []
-        for p in new:
-            word = p.rstrip(self.MARKS)
-            if "\n" in p:
-                alone.append(p)
-            elif len(word) < len(p) and word.isalpha():
-                marked.append((p, word, p[len(word) :]))
-                if word not in self.known:
-                    lines.add(word)
-            else:
-                lines.add(p)
-        self._lines(list(lines))
-        self.known.update(zip(alone, self._alone([" " + p for p in alone]), strict=True))
+        known, order = self.known, list(new)
+        words = [p.rstrip(self.MARKS) for p in order]
+        whole = {p for p, word in zip(order, words, strict=True) if len(p) == len(word)}
+        marked = []
+        for p, word in zip(order, words, strict=True):
+            if len(word) < len(p):
+                if word.isalpha() or word[:1] == "\n" and word[1:].isalpha():
+                    marked.append((p, word, p[len(word) :]))
+                    if word not in known:
+                        whole.add(word)
+                else:
+                    whole.add(p)
+        begin = [p for p in whole if p[0] == "\n"]
+        after = [p for p in whole if p[0] != "\n"]
+        self._lines(after, " ")
+        self._lines(begin, "")
         marks = list({m for *_, m in marked})
         ids = dict(zip(marks, self._alone(marks), strict=True))
-        known = self.known
         known.update([(p, known[word] + ids[m]) for p, word, m in marked])
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        parts = [None if self.RUN.search(t) else t.split(" ") for t in texts]
-        starts = [t if x is None else x.pop(0) for t, x in zip(texts, parts, strict=True)]
-        seen = set().union(*[x for x in parts if x])
+        whole = [len(self._feed) > 1 or bool(self.RUN.search(t) or self._added and self._added.search(t)) for t in texts]
+        # as if after a line feed, whose id is taken off again
+        parts = [[] if w else ("\n" + t).replace("\n", " \n").split(" ") for t, w in zip(texts, whole, strict=True)]
+        seen = set().union(*parts)
         new = seen.difference(self.known)
         if len(self.known) + len(new) > CACHE:
             self.known = {p: self.known[p] for p in self.again} if len(self.again) < CACHE // 2 else {}
+            self.known[""] = b""
             self.again = set()
             new = seen.difference(self.known)
         self.again |= seen - new
         self._learn(new)
-        get = self.known.__getitem__
-        return [a + b"".join(map(get, x)) if x else a for a, x in zip(self._alone(starts), parts, strict=True)]
-
-
-_tokenizers: dict[str, PieceTokenizer] = {}
+        get, rest = self.known.__getitem__, iter(self._alone([t for t, w in zip(texts, whole, strict=True) if w]))
+        return [next(rest) if w else b"".join(map(get, x))[4:] for x, w in zip(parts, whole, strict=True)]
 
 
 def _tokenizer(name: str) -> PieceTokenizer:
-    if name not in _tokenizers:
-        _tokenizers[name] = PieceTokenizer(SparkFiles.get(name))
-    return _tokenizers[name]
+    return hold(("token_frames", name), lambda: PieceTokenizer(SparkFiles.get(name)))
 
 
 class _Shard:
@@ -185,7 +190,7 @@ def write_bundles(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str
             yield to_batch(full)
 
     schema = pa.schema([("shard", pa.int32()), ("bundle", pa.int32()), ("first_id", pa.int64()), ("last_id", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("content", pa.binary())])
-    return cut(rows.mapInArrow(encode, BUNDLES), "token-bundles")
+    return cut(rows.mapInArrow(encode, BUNDLES), "token-bundles", "uncompressed")
 
 
 def documents_in(bundle: bytes, wanted: set | None = None):
@@ -201,6 +206,28 @@ def documents_in(bundle: bytes, wanted: set | None = None):
         yield doc_id, content[offset : offset + 4 * n]
 
 
+def find_documents(bundles: DataFrame, ids: list[int], id_col: str = "doc_id") -> DataFrame:
+    """id, ids (as bytes) of the documents with these ids, a stated query set.
+
+    first_id and last_id prune the bundles by the statistics of the files; of a
+    bundle that is left, only the frames that hold a wanted document are decompressed.
+    """
+    wanted = sorted(set(ids))
+    if not wanted:
+        return bundles.select(F.col("first_id").alias(id_col), F.col("content").alias("ids")).where("false")
+    inside = F.exists(F.array(*map(F.lit, wanted)), lambda i: (i >= F.col("first_id")) & (i <= F.col("last_id")))
+    rows = bundles.where((F.col("last_id") >= wanted[0]) & (F.col("first_id") <= wanted[-1])).where(inside)
+
+    def find(batches):
+        look = set(wanted)
+        for batch in batches:
+            for bundle in batch.column(0).to_pylist():
+                found = list(documents_in(bundle, look))
+                yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in found], pa.int64()), pa.array([x for _, x in found], pa.binary())], names=[id_col, "ids"])
+
+    return rows.select("content").mapInArrow(find, f"{id_col} long, ids binary")
+
+
 def read_bundles(bundles: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """One row per document from the files: id, start, n_tokens, ids_crc32.
 

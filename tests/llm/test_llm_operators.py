@@ -244,9 +244,9 @@ def test_token_frames_round_trip(spark, edge, empty):
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    library.encode_special_tokens = True
     random.seed(6)
-    texts = [("".join(random.choice("ab c.,\nd's é🙂  ") for _ in range(random.randint(0, 300)))) for _ in range(200)]
+    texts = [("".join(random.choice("ab c.,\nd's é🙂  ") for _ in range(random.randint(0, 300)))) for _ in range(180)]
+    texts += ["<|endoftext|>", "a <|endoftext|> b", "a.\n<|endoftext|>b c", "x.\nWas it,\n\nso\n y$$$ z'&& w's\n", "\n", "a\n", "\na b", "long " * 50_000, "a\tb c\u00a0d", "one\ntwo\nthree four"] + ["".join(random.choice("ab.$'s\n ") for _ in range(40)) for _ in range(10)]
     docs = spark.createDataFrame([(i * 3 % 401, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(5)
     bundles = token_frames.write_bundles(docs, P.path("byte_bpe_50k.json"), 0, frame_bytes=2000, bundle_bytes=4000)
     got = {r.doc_id: r for r in token_frames.read_bundles(bundles).collect()}
@@ -255,6 +255,9 @@ def test_token_frames_round_trip(spark, edge, empty):
         ids = np.array([*library.encode(text, add_special_tokens=False).ids, 0], "<u4").tobytes()
         assert (got[i].start, got[i].n_tokens, got[i].ids_crc32) == (start, len(ids) // 4, zlib.crc32(ids))
         start += len(ids) // 4
+    found = token_frames.find_documents(bundles, [3, 9, 999]).collect()
+    assert {r.doc_id: zlib.crc32(r.ids) for r in found} == {i: got[i].ids_crc32 for i in (3, 9)}
+    assert token_frames.find_documents(bundles, []).count() == 0
     rows = token_frames.read_bundles(token_frames.write_bundles(edge, P.path("byte_bpe_50k.json"), 0)).collect()
     assert len(rows) == len(EDGE) and {r.start for r in rows if r.doc_id is None} == {0}
     assert token_frames.read_bundles(token_frames.write_bundles(empty, P.path("byte_bpe_50k.json"), 0)).count() == 0
