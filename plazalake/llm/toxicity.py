@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import Counter
 
 import numpy as np
@@ -20,20 +21,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_fold, cut, fold, slices
+from .common import crc_fold, cut, fold, hold, slices
 
 HELD_OUT, FOLDS = 2, 4
 #: Labelled rows that the model is fitted on, at most; chosen by a hash of the id.
 SAMPLE = 30_000
-#: Terms of the lexicon, at most: the size of the model.
-TERMS = 2_000
 #: Toxic documents that a term must occur in, how much more likely it is in them, and by how many standard errors.
 SUPPORT, RATIO, ERRORS = 5, 2.5, 3.0
 #: A longer term stands beside the prefix it has if its log odds are higher by this.
 STEP = 0.7
-#: Log odds from which a term is looked for with edits.
-FUZZY = 3.0
+#: Letters of a prefix that is a term; words that are terms have no upper bound.
 SHORTEST, LONGEST = 3, 24
+#: States of the machine that are kept; it starts anew beyond that.
+STATES = 60_000
 #: Tokens before and after a hit that are its context; tokens in which hits add up.
 CONTEXT, SPAN = 4, 40
 CACHE = 400_000
@@ -66,11 +66,6 @@ def edits(length: int) -> int:
     return 0 if length < 5 else 1 if length < 8 else 2
 
 
-def room_of(terms: list[tuple[str, bool, float]]) -> list[int]:
-    """Edits that each term allows: none below FUZZY log odds."""
-    return [edits(len(text)) if weight >= FUZZY else 0 for text, _, weight in terms]
-
-
 class Automaton:
     """The trie of terms (text, whole word?, weight) under edits, determinised lazily.
 
@@ -80,7 +75,7 @@ class Automaton:
     def __init__(self, terms: list[tuple[str, bool, float]], fuzzy: list[float] | None = None):
         self.terms, self.fuzzy = terms, fuzzy
         # where a misspelling has no weight, it needn't be found
-        self.most = [n if fuzzy is None or w > 0 else 0 for n, w in zip(room_of(terms), fuzzy or [0.0] * len(terms), strict=True)]
+        self.most = [edits(len(text)) if fuzzy is None or fuzzy[i] > 0 else 0 for i, (text, _, _) in enumerate(terms)]
         self.children: list[dict[str, int]] = [{}]
         self.ends: list[list[int]] = [[]]
         self.room = [0]
@@ -96,22 +91,29 @@ class Automaton:
                 node = self.children[node][char]
                 self.room[node] = max(self.room[node], most)
             self.ends[node].append(number)
+        self._known: dict[str, tuple | None] = {}
+        self._begin()
+
+    def _begin(self) -> None:
         self._states: dict[frozenset, int] = {}
         self._sets: list[frozenset] = []
         self._next: list[dict[str, int]] = []
         self._prefix: list[tuple | None] = []
         self._whole: list[tuple | None] = []
-        self.start = self._state({(0, 0)})
-        self._known: dict[str, tuple | None] = {}
+        self.start = self._state({0: 0})
 
-    def _state(self, found: set) -> int:
-        todo, least = list(found), {}
-        while todo:  # deletions
+    def _state(self, least: dict[int, int]) -> int:
+        """The number of the state with these nodes, and all that deletions lead to."""
+        room, children, todo = self.room, self.children, list(least.items())
+        while todo:
             node, e = todo.pop()
-            if e > self.room[node] or least.get(node, 99) <= e:
+            if least[node] < e:
                 continue
-            least[node] = e
-            todo += [(child, e + 1) for child in self.children[node].values()]
+            e += 1
+            for child in children[node].values():
+                if e <= room[child] and least.get(child, 99) > e:
+                    least[child] = e
+                    todo.append((child, e))
         key = frozenset(least.items())
         if key not in self._states:
             self._states[key] = len(self._sets)
@@ -123,12 +125,18 @@ class Automaton:
         return self._states[key]
 
     def _step(self, state: int, char: str) -> int:
-        found = set()
+        room, children, least = self.room, self.children, {}
         for node, e in self._sets[state]:
-            found.add((node, e + 1))
-            for c, child in self.children[node].items():
-                found.add((child, e if c == char else e + 1))
-        self._next[state][char] = out = self._state(found)
+            below = children[node]
+            if (child := below.get(char)) is not None and e <= room[child] and least.get(child, 99) > e:
+                least[child] = e
+            e += 1
+            if e <= room[node] and least.get(node, 99) > e:  # an insertion
+                least[node] = e
+            for child in below.values():  # a substitution
+                if e <= room[child] and least.get(child, 99) > e:
+                    least[child] = e
+        self._next[state][char] = out = self._state(least)
         return out
 
     def match(self, word: str):
@@ -137,15 +145,17 @@ class Automaton:
         return found and (found[0], found[2])
 
     def _best(self, word: str):
+        if len(self._sets) > STATES:
+            self._begin()
         state, best = self.start, None
-        for char in word[: LONGEST + 4]:
+        for char in word:
             following = self._next[state].get(char)
             state = self._step(state, char) if following is None else following
             if not self._sets[state]:
                 return best
             if (hit := self._prefix[state]) is not None and (best is None or hit < best):
                 best = hit
-        if len(word) <= LONGEST + 4 and (hit := self._whole[state]) is not None and (best is None or hit < best):
+        if (hit := self._whole[state]) is not None and (best is None or hit < best):
             best = hit
         return best
 
@@ -234,17 +244,16 @@ def grow(found: dict[str, tuple[int, int]], n_toxic: int, n_clean: int) -> list[
         for i in range(len(key), len(top) + 1):
             best[top[:i]] = odds[top]
         out[top] = odds[top]
-    return sorted(((k.rstrip(" "), k.endswith(" "), w) for k, w in out.items()), key=lambda t: (-t[2], t[0]))[:TERMS]
+    return sorted(((k.rstrip(" "), k.endswith(" "), w) for k, w in out.items()), key=lambda t: (-t[2], t[0]))
 
 
 def keys_of(text: str | None) -> set[str]:
-    """Prefixes of the words, and whole words with a space after them."""
+    """Prefixes of the words, up to LONGEST letters, and whole words with a space after them."""
     out = set()
     for w in set(words_of(text)):
-        if len(w) <= LONGEST:
-            out.update(w[:k] for k in range(SHORTEST, len(w) + 1))
-            if len(w) >= SHORTEST:
-                out.add(w + " ")
+        out.update([w[:k] for k in range(SHORTEST, min(len(w), LONGEST) + 1)])
+        if len(w) >= SHORTEST:
+            out.add(w + " ")
     return out
 
 
@@ -263,14 +272,8 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.02, rounds: int
     return w, scale
 
 
-_held: list = []
-
-
-def _machine(terms: list, fuzzy: list | None) -> Automaton:
-    """The machine of these terms, kept in a worker for as long as they are asked for."""
-    if not _held or _held[0] != (terms, fuzzy):
-        _held[:] = [(terms, fuzzy), Automaton(terms, fuzzy)]
-    return _held[1]
+def _machine(token: str, terms: list, fuzzy: list | None) -> Automaton:
+    return hold(("toxicity", token, fuzzy is None), lambda: Automaton(terms, fuzzy))
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, folds: int = FOLDS, held_out: int = HELD_OUT) -> dict:
@@ -310,12 +313,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     odds = ((F.col("toxic") + 0.5) / (n_toxic + 1)) / ((F.col("clean") + 0.5) / (n_clean + 1))
     found = rows.mapInArrow(count, "key string, toxic long, clean long").groupBy("key").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     error = F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
-    found = found.where((F.col("toxic") >= support) & (odds >= RATIO) & (F.log(odds) >= ERRORS * error)).orderBy(F.desc("toxic"), "key").limit(20 * TERMS)
+    found = found.where((F.col("toxic") >= support) & (odds >= RATIO) & (F.log(odds) >= ERRORS * error))
     model["terms"] = terms = grow({r[0]: (r[1], r[2]) for r in found.collect()}, n_toxic, n_clean)
-    shared = docs.sparkSession.sparkContext.broadcast(terms)
+    shared, token = docs.sparkSession.sparkContext.broadcast(terms), uuid.uuid4().hex
 
     def fuzzy(batches):
-        machine, total = _machine(shared.value, None), {0: Counter(), 1: Counter()}
+        machine, total = _machine(token, shared.value, None), {0: Counter(), 1: Counter()}
         for batch in batches:
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 hits = machine.lookup(set(words_of(text))).values()
@@ -333,7 +336,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     weighed = docs.sparkSession.sparkContext.broadcast(model["fuzzy"])
 
     def measure(batches):
-        machine = _machine(shared.value, weighed.value)
+        machine = _machine(token, shared.value, weighed.value)
         for batch in batches:
             x = [features(t, machine) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column(1)], names=["x", "toxic"])
@@ -351,11 +354,11 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
     learned, every score is that label; if none, 0.
     """
     key = docs.schema[id_col].dataType.simpleString()
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared, token = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def run(batches):
         m = shared.value
-        machine = _machine(m["terms"], m["fuzzy"])
+        machine = _machine(token, m["terms"], m["fuzzy"])
         for batch in slices(batches, 1):
             ids = batch.column(0).to_pylist()
             if m["weights"] is None:
