@@ -8,12 +8,13 @@ mixed over all depths by context-tree weighting.
 
 Counts are made per chunk of documents and summed by gram (DEPTH context bytes
 and the byte they lead to). What a chunk has for a bucket of grams or words travels
-as one packed row; there are as many buckets as chunks, so neither grows with the
-corpus. A branch of the tree, all contexts with the same BRANCH
-newest bytes, holds 2^24 grams at most and is weighted in one group with others;
-the nodes above the branches are summed from theirs. The code lengths of grams then
-go back to the chunks in which those occur, so no task holds the model, and the
-driver only the nodes of contexts shorter than BRANCH.
+as one packed row; the number of buckets follows from the number of different grams
+and words, so rows grow with the chunks alone. They are summed in a tree, FAN chunks
+at a time. A branch of the tree of contexts, all with the same BRANCH newest bytes,
+holds 2^24 grams at the very most and is weighted in one group with others; the
+nodes above the branches are summed from theirs. The code lengths of grams then go
+back, FAN chunks at a time, to those in which the grams occur, so no task holds the
+model, and the driver only the nodes of contexts shorter than BRANCH.
 """
 
 from __future__ import annotations
@@ -24,11 +25,12 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, cut, fold
+from .common import LOWER, cut, discard, fold
 
 HELD_OUT, FOLDS = 1, 5
 DEPTH = 5
@@ -36,8 +38,12 @@ BRANCH = 3
 #: Grams that are weighted together, in whole branches.
 GROUP_GRAMS = 1 << 20
 END = b"\n"
-#: Bytes of text per chunk, and per bucket of grams and words, and per step within a chunk.
+#: Bytes of text per chunk, and per step within a chunk.
 CHUNK_BYTES, STEP_BYTES = 16 << 20, 2 << 20
+#: Different grams, or words, per bucket; hashes by which their number is estimated.
+BUCKET_GRAMS, BUCKET_WORDS, LOWEST = 1 << 18, 1 << 17, 256
+#: Chunks whose rows for a bucket meet in one group.
+FAN = 32
 _U = np.uint64
 
 _LN_PI = math.log(math.pi)
@@ -138,7 +144,7 @@ def branch_levels(key: np.ndarray, n: np.ndarray) -> dict[int, Level]:
     return levels
 
 
-def _sums(node: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
+def _total(node: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
     own, at = np.unique(node, return_inverse=True)
     return [own, *[np.bincount(at, v, len(own)) for v in values]]
 
@@ -155,7 +161,7 @@ def branch_roots(key: np.ndarray, n: np.ndarray) -> pa.Table:
         n0.append(top.counts[bit][0])
         n1.append(top.counts[bit][1])
         w.append(top.weighted[bit])
-    return pa.table(dict(zip(("node", "n0", "n1", "weighted"), _sums(*map(np.concatenate, (node, n0, n1, w))), strict=True)))
+    return pa.table(dict(zip(("node", "n0", "n1", "weighted"), _total(*map(np.concatenate, (node, n0, n1, w))), strict=True)))
 
 
 class Upper:
@@ -168,7 +174,7 @@ class Upper:
         for depth in range(BRANCH - 1, -1, -1):
             own = kt_log(n0, n1)
             self.depths[depth] = (node, n0, n1, own - below)
-            node, n0, n1, below = _sums(node >> 16 << 8 | node & 255, n0, n1, np.logaddexp(own, below) - math.log(2))
+            node, n0, n1, below = _total(node >> 16 << 8 | node & 255, n0, n1, np.logaddexp(own, below) - math.log(2))
 
     def mix(self, depth: int, context: np.ndarray, prefix: np.ndarray, deeper, one):
         node, n0, n1, log_beta = self.depths[depth]
@@ -269,11 +275,17 @@ def _bucket(key: np.ndarray, buckets: int) -> np.ndarray:
     return ((key * _U(0xD6E8FEB86659FD93) >> _U(32)) % _U(buckets)).astype(np.int32)
 
 
+def _lowest(hashes: np.ndarray) -> bytes:
+    return np.sort(np.partition(hashes, LOWEST)[:LOWEST] if len(hashes) > LOWEST else hashes).astype("<i8").tobytes()
+
+
+CHUNKS = "chunk int, words boolean, keys binary, counts binary, low binary"
 PACKED = "chunk int, words boolean, bucket int, keys binary, counts binary"
+SUMS = "words boolean, bucket int, chunks int, keys binary, counts binary"
 
 
-def _count_chunk(table: pa.Table, buckets: int) -> pa.Table:
-    """A PACKED row for each bucket of grams and of words in the chunk, with their counts in training texts.
+def _count_chunk(table: pa.Table) -> pa.Table:
+    """Two rows, of the grams and the words of the chunk with their counts in training texts, and their lowest hashes.
 
     The end token is the empty word.
     """
@@ -300,60 +312,112 @@ def _count_chunk(table: pa.Table, buckets: int) -> pa.Table:
             counts.append(np.diff(np.append(first, len(key))) if learn else np.zeros(len(first), np.int64))
     key, inverse = np.unique(np.concatenate(keys), return_inverse=True)
     n = np.bincount(inverse, np.concatenate(counts), len(key)).astype("<u4")
-    out = []
-    home = _bucket(key, buckets)
-    order = home.argsort(kind="stable")
-    for at in np.split(order, np.flatnonzero(np.diff(home[order])) + 1):
-        out.append((chunk, False, int(home[at[0]]), _pack_grams(key[at]), _squeeze(n[at])))
     for w in other.difference(words):
         words[w] = 0
-    by_bucket: dict[int, list[bytes]] = {}
-    for w in words:
-        by_bucket.setdefault(zlib.crc32(w) % buckets, []).append(w)
-    for bucket, found in by_bucket.items():
-        found.sort()
-        out.append((chunk, True, bucket, _zstd.compress(END.join(found)), _squeeze(np.array([words[w] for w in found], "<u4"))))
-    types = [pa.int32(), pa.bool_(), pa.int32(), pa.binary(), pa.binary()]
-    return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["chunk", "words", "bucket", "keys", "counts"])
+    order = sorted(words)
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, order), _U, len(order))
+    return pa.table(
+        {
+            "chunk": pa.array([chunk] * 2, pa.int32()),
+            "words": [False, True],
+            "keys": [_pack_grams(key), _zstd.compress(END.join(order))],
+            "counts": [_squeeze(n), _squeeze(np.array([words[w] for w in order], "<u4"))],
+            "low": [_lowest((key * _U(0x9E3779B97F4A7C15) ^ key >> _U(29)).view(np.int64)), _lowest(hashes.view(np.int64))],
+        }
+    )
 
 
-def _sum_grams(table: pa.Table) -> pa.Table:
-    """gram, n of a bucket."""
-    keys = [_unpack_grams(x) for x in table["keys"].to_pylist()]
-    counts = np.concatenate([_expand(x, "<u4") for x in table["counts"].to_pylist()])
-    key, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-    return pa.table({"gram": key.astype(np.int64), "n": np.bincount(inverse, counts, len(key)).astype(np.int64)})
+def _distinct(counted: DataFrame, words: bool) -> float:
+    """How many different grams, or words, there are in all chunks, by the LOWEST lowest of their hashes."""
+
+    def spread(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"h": np.frombuffer(b"".join(batch.column(0).to_pylist()), "<i8")})
+
+    rows = counted.where(F.col("words") == words).select("low").mapInArrow(spread, "h long").distinct().orderBy("h").limit(LOWEST).collect()
+    return len(rows) if len(rows) < LOWEST else (LOWEST - 1) / ((rows[-1][0] + 2.0**63) / 2.0**64)
+
+
+def _split(batches, buckets: int):
+    """PACKED rows of the rows of chunks."""
+    types = [pa.int32(), pa.bool_(), pa.int32(), pa.binary(), pa.binary()]
+    for batch in batches:
+        for chunk, words, keys, counts in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            n, out = _expand(counts, "<u4"), []
+            if words:
+                key = _unzstd.decompress(keys).split(END)
+                home = np.fromiter(map(zlib.crc32, key), np.int64, len(key)) % buckets
+            else:
+                key = _unpack_grams(keys)
+                home = _bucket(key, buckets)
+            order = home.argsort(kind="stable")
+            for at in np.split(order, np.flatnonzero(np.diff(home[order])) + 1):
+                packed = _zstd.compress(END.join([key[i] for i in at.tolist()])) if words else _pack_grams(key[at])
+                out.append((chunk, words, int(home[at[0]]), packed, _squeeze(n[at].astype("<u8"))))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["chunk", "words", "bucket", "keys", "counts"])
+
+
+def _merge(key: tuple, table: pa.Table) -> pa.Table:
+    """One row of the sums of a bucket's rows."""
+    words, bucket, chunks = (k.as_py() for k in key)
+    counts = [_expand(x, "<u8") for x in table["counts"].to_pylist()]
+    if words:
+        total: Counter = Counter()
+        for keys, n in zip(table["keys"].to_pylist(), counts, strict=True):
+            for w, c in zip(_unzstd.decompress(keys).split(END), n.tolist(), strict=True):
+                total[w] += c
+        order = sorted(total)
+        packed, sums = _zstd.compress(END.join(order)), np.fromiter(map(total.__getitem__, order), "<u8", len(order))
+    else:
+        own, inverse = np.unique(np.concatenate([_unpack_grams(x) for x in table["keys"].to_pylist()]), return_inverse=True)
+        packed, sums = _pack_grams(own), np.bincount(inverse, np.concatenate(counts), len(own)).astype("<u8")
+    columns = {"words": pa.array([words]), "bucket": pa.array([bucket], pa.int32()), "chunks": pa.array([chunks], pa.int32()), "keys": [packed], "counts": [_squeeze(sums)]}
+    return pa.table(columns)
 
 
-def _sum_words(table: pa.Table) -> tuple[list, Counter]:
-    """The words of each row of a bucket, and the sums of all."""
-    total: Counter = Counter()
-    each = [_unzstd.decompress(x).split(END) for x in table["keys"].to_pylist()]
-    for found, n in zip(each, table["counts"].to_pylist(), strict=True):
-        for w, c in zip(found, _expand(n, "<u4").tolist(), strict=True):
-            total[w] += c
-    return each, total
+def _sums(packed: DataFrame, chunks: int) -> DataFrame:
+    """The sums of all chunks: a row for each bucket of grams and of words."""
+    rows = packed.withColumnRenamed("chunk", "chunks")
+    while True:
+        rows = rows.withColumn("chunks", F.floor(F.col("chunks") / FAN).cast("int"))
+        rows = cut(rows.groupBy("words", "bucket", "chunks").applyInArrow(_merge, SUMS), "sums", "uncompressed")
+        chunks = -(-chunks // FAN)
+        if chunks <= 1:
+            return rows
 
 
-def _word_totals(table: pa.Table) -> pa.Table:
-    total = _sum_words(table)[1]
-    return pa.table({"tokens": pa.array([sum(total.values())], pa.int64()), "kinds": pa.array([sum(c > 0 for c in total.values())], pa.int64())})
+def _word_totals(batches):
+    for batch in batches:
+        n = [_expand(x, "<u8") for x in batch.column(0).to_pylist()]
+        yield pa.RecordBatch.from_pydict({"tokens": pa.array([int(x.sum()) for x in n], pa.int64()), "kinds": pa.array([int((x > 0).sum()) for x in n], pa.int64())})
 
 
-def _return_words(table: pa.Table) -> pa.Table:
-    """The rows of a bucket with the counts of the whole corpus."""
-    each, total = _sum_words(table)
-    values = [_squeeze(np.array([total[w] for w in found], "<u8")) for found in each]
-    return pa.table([table["chunk"], table["words"], table["keys"], pa.array(values, pa.binary())], names=["chunk", "words", "keys", "values"])
+def _open_grams(batches):
+    """gram, n of packed sums."""
+    for batch in batches:
+        for keys, counts in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            yield pa.RecordBatch.from_pydict({"gram": _unpack_grams(keys).astype(np.int64), "n": _expand(counts, "<u8").astype(np.int64)})
 
 
-def _return_grams(table: pa.Table, logs: pa.Table) -> pa.Table:
-    """The rows of a bucket with log10 probabilities."""
-    gram, value = logs["gram"].to_numpy().astype(_U), logs["value"].to_numpy()
+def _pack_logs(key: tuple, table: pa.Table) -> pa.Table:
+    """The log10 probabilities of a bucket's grams as one row."""
+    gram, value = table["gram"].to_numpy().astype(_U), table["value"].to_numpy()
     order = gram.argsort()
-    gram, value = gram[order], value[order].astype("<f8")
-    values = [_squeeze(value[gram.searchsorted(_unpack_grams(x))].astype("<f4")) for x in table["keys"].to_pylist()]
-    return pa.table([table["chunk"], table["words"], table["keys"], pa.array(values, pa.binary())], names=["chunk", "words", "keys", "values"])
+    return pa.table({"words": [False], "bucket": pa.array([key[0].as_py()], pa.int32()), "keys": [_pack_grams(gram[order])], "counts": [_squeeze(value[order].astype("<f4"))]})
+
+
+def _give_back(rows: pa.Table, found: pa.Table) -> pa.Table:
+    """The rows of some chunks for a bucket with the values of the whole corpus: counts of words, logs of grams."""
+    if not rows.num_rows:
+        return rows.select(["chunk", "words", "keys"]).append_column("values", pa.array([], pa.binary()))
+    keys, counts = found["keys"][0].as_py(), found["counts"][0].as_py()
+    if rows["words"][0].as_py():
+        total = dict(zip(_unzstd.decompress(keys).split(END), _expand(counts, "<u8").tolist(), strict=True))
+        values = [_squeeze(np.array([total[w] for w in _unzstd.decompress(x).split(END)], "<u8")) for x in rows["keys"].to_pylist()]
+    else:
+        gram, value = _unpack_grams(keys), _expand(counts, "<f4")
+        values = [_squeeze(value[gram.searchsorted(_unpack_grams(x))]) for x in rows["keys"].to_pylist()]
+    return pa.table([rows["chunk"], rows["words"], rows["keys"], pa.array(values, pa.binary())], names=["chunk", "words", "keys", "values"])
 
 
 def _score_chunk(docs: pa.Table, model: pa.Table, tokens: int, distinct: int) -> pa.Table:
@@ -414,10 +478,15 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = max(1, math.ceil(size / chunk_bytes))
     rows = rows.withColumn("chunk", F.pmod(F.xxhash64("id", "text"), F.lit(chunks)).cast("int"))
-    counted = cut(rows.groupBy("chunk").applyInArrow(lambda t: _count_chunk(t, chunks), PACKED), "chunk-counts")
-    packed_words, packed_grams = counted.where("words"), counted.where("not words")
-    tokens, distinct = packed_words.groupBy("bucket").applyInArrow(_word_totals, "tokens long, kinds long").agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
-    grams = cut(packed_grams.groupBy("bucket").applyInArrow(_sum_grams, "gram long, n long"), "grams")
+    counted = cut(rows.groupBy("chunk").applyInArrow(_count_chunk, CHUNKS), "chunk-counts", "uncompressed")
+    buckets = max(1, math.ceil(max(_distinct(counted, False) / BUCKET_GRAMS, _distinct(counted, True) / BUCKET_WORDS)))
+    packed = counted.select("chunk", "words", "keys", "counts").mapInArrow(lambda batches: _split(batches, buckets), PACKED)
+    packed = cut(packed, "packed", "uncompressed")
+    discard(counted)
+    sums = _sums(packed, chunks)
+    totals = sums.where("words").select("counts").mapInArrow(_word_totals, "tokens long, kinds long")
+    tokens, distinct = totals.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
+    grams = cut(sums.where("not words").select("keys", "counts").mapInArrow(_open_grams, "gram long, n long"), "grams")
     parts = max(1, math.ceil(grams.count() / GROUP_GRAMS))
     branch = F.shiftright("gram", 8 * (DEPTH + 1 - BRANCH))
     grams = grams.withColumn("part", F.pmod(F.xxhash64(branch), F.lit(parts)).cast("int"))
@@ -428,12 +497,14 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     shared = docs.sparkSession.sparkContext.broadcast(upper)
 
     def logs(k, n):
-        return pa.table({"gram": k.astype(np.int64), "value": gram_logs(k, n, shared.value), "bucket": _bucket(k, chunks)})
-
-    values = _by_branch(grams, logs, "gram long, value double, bucket int")
-    back_schema = "chunk int, words boolean, keys binary, values binary"
-    back = packed_grams.groupBy("bucket").cogroup(values.groupBy("bucket")).applyInArrow(_return_grams, back_schema)
-    back = back.union(packed_words.groupBy("bucket").applyInArrow(_return_words, back_schema))
+        return pa.table({"gram": k.astype(np.int64), "value": gram_logs(k, n, shared.value), "bucket": _bucket(k, buckets)})
+
+    values = _by_branch(grams, logs, "gram long, value double, bucket int").groupBy("bucket").applyInArrow(_pack_logs, "words boolean, bucket int, keys binary, counts binary")
+    values = sums.where("words").select("words", "bucket", "keys", "counts").union(values)
+    values = values.withColumn("chunks", F.explode(F.sequence(F.lit(0), F.lit((chunks - 1) // FAN))))
+    at = ["words", "bucket", "chunks"]
+    mine = packed.withColumn("chunks", F.floor(F.col("chunk") / FAN).cast("int"))
+    back = mine.groupBy(*at).cogroup(values.groupBy(*at)).applyInArrow(_give_back, "chunk int, words boolean, keys binary, values binary")
     schema = f"id {key}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     scored = rows.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(lambda d, m: _score_chunk(d, m, tokens, distinct), schema)
     return scored.withColumnRenamed("id", id_col)
