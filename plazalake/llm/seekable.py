@@ -27,6 +27,9 @@ class BundleWriter:
         self._table: list[bytes] = []
         self.size = 0
 
+    def __len__(self) -> int:
+        return len(self._parts)
+
     def add(self, content: bytes) -> int:
         """Write content as a frame of its own; returns the frame's number."""
         frame = self._zstd.compress(content)

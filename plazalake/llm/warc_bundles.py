@@ -1,9 +1,10 @@
-"""WARC archives as seekable zstandard bundles: a frame per record.
+"""WARC archives as seekable zstandard bundles: records in groups, a frame each.
 
 Every page becomes a response record, or a revisit of the page with the largest
-id among those with the same payload. The footer's seek table and an index from
-record id to frame let a reader open one record alone. Bundles are rows of a
-table in the shared folder, which Spark writes and reads wherever that is.
+id among those with the same payload. A frame holds records up to FRAME_BYTES; the
+footer's seek table and an index from record id to frame, offset in it and length
+let a reader decompress one frame for one record. Bundles are rows of a table in the
+shared folder, which Spark writes and reads wherever that is.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import cut, slices
 from .seekable import BundleReader, BundleWriter
 
-BUNDLE_BYTES = 4 << 20
+FRAME_BYTES, BUNDLE_BYTES = 256 << 10, 4 << 20
 #: Record ids are made of the page id, so that equal input gives equal archives.
 RECORD_ID = "<urn:page:%s>"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -89,32 +90,77 @@ def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     return rows.join(small, ["id", "digest"], "left").select("id", "url", "html", "refers_to")
 
 
-def write_archives(records: DataFrame, bundle_bytes: int = BUNDLE_BYTES, date: str = DATE) -> DataFrame:
-    """The table of bundles, (n_records, content), from what plan_records gives."""
+class _Writer:
+    """Collects records in frames and gives out bundles."""
+
+    def __init__(self, frame_bytes: int, bundle_bytes: int):
+        self.frame_bytes, self.bundle_bytes = frame_bytes, bundle_bytes
+        self._begin()
+
+    def _begin(self):
+        self.bundle, self.index, self.frame, self.held = BundleWriter(), [], [], 0
+
+    def _flush(self):
+        if self.frame:
+            self.bundle.add(b"".join(self.frame))
+            self.frame, self.held = [], 0
+
+    def add(self, name: str, content: bytes):
+        """Returns a bundle if one is full; a record of over frame_bytes has a frame of its own."""
+        if self.held and self.held + len(content) > self.frame_bytes:
+            self._flush()
+        self.index.append([name, len(self.bundle), self.held, len(content)])
+        self.frame.append(content)
+        self.held += len(content)
+        return self.close() if self.bundle.size + self.held // 4 >= self.bundle_bytes else None
+
+    def close(self):
+        if not self.index:
+            return None
+        self._flush()
+        row = len(self.index), self.bundle.finish(json.dumps(self.index).encode())
+        self._begin()
+        return row
+
+
+def write_archives(records: DataFrame, bundle_bytes: int = BUNDLE_BYTES, date: str = DATE, frame_bytes: int = FRAME_BYTES) -> DataFrame:
+    """The table of bundles, (n_records, content), from what plan_records gives.
+
+    Pages that repeat an id give records that repeat it.
+    """
 
     def pack(batches):
-        writer, index = BundleWriter(), []
-        row = lambda: pa.RecordBatch.from_arrays([pa.array([len(index)], pa.int64()), pa.array([writer.finish(json.dumps(index).encode())], pa.binary())], names=["n_records", "content"])
+        writer = _Writer(frame_bytes, bundle_bytes)
+        row = lambda full: pa.RecordBatch.from_arrays([pa.array([full[0]], pa.int64()), pa.array([full[1]], pa.binary())], names=["n_records", "content"])
         for batch in slices(batches, 2):
             for page_id, url, html, refers_to in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                frame = writer.add(record(page_id, url, html.encode(), refers_to, refers_to is not None, date))
-                index.append([RECORD_ID % page_id, frame])
-                if writer.size >= bundle_bytes:
-                    yield row()
-                    writer, index = BundleWriter(), []
-        if index:
-            yield row()
+                if full := writer.add(RECORD_ID % page_id, record(page_id, url, html.encode(), refers_to, refers_to is not None, date)):
+                    yield row(full)
+        if full := writer.close():
+            yield row(full)
 
-    return cut(records.mapInArrow(pack, "n_records long, content binary"), "warc-bundles")
+    return cut(records.mapInArrow(pack, "n_records long, content binary"), "warc-bundles", "uncompressed")
 
 
-def find_record(bundle: bytes, record_id: str) -> tuple[dict[str, str], bytes] | None:
-    """One record by its id; no other frame is decompressed."""
+def find_records(bundle: bytes, record_id: str) -> list[tuple[dict[str, str], bytes]]:
+    """The records with an id, one unless pages repeat it; only the frames that hold them are decompressed."""
     reader = BundleReader(bundle)
-    for name, frame in json.loads(reader.index):
-        if name == record_id:
-            return parse(reader.frame(frame))
-    return None
+    return [parse(reader.frame(frame)[offset : offset + size]) for name, frame, offset, size in json.loads(reader.index) if name == record_id]
+
+
+def record_index(bundles: DataFrame) -> DataFrame:
+    """bundle (a hash of its content), record_id, frame, offset and length of every record; payloads stay compressed."""
+
+    def read(batches):
+        for batch in batches:
+            for key, bundle in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                rows = json.loads(BundleReader(bundle).index)
+                name, frame, offset, size = zip(*rows, strict=True)
+                columns = [pa.array([key] * len(rows), pa.int64()), pa.array(name, pa.string()), *[pa.array(c, pa.int64()) for c in (frame, offset, size)]]
+                yield pa.RecordBatch.from_arrays(columns, names=["bundle", "record_id", "frame", "offset", "length"])
+
+    rows = bundles.select(F.xxhash64("content").alias("bundle"), "content")
+    return rows.mapInArrow(read, "bundle long, record_id string, frame long, offset long, length long")
 
 
 def read_archives(bundles: DataFrame, id_col: str = "page_id") -> DataFrame:
@@ -124,9 +170,11 @@ def read_archives(bundles: DataFrame, id_col: str = "page_id") -> DataFrame:
     def unpack(batches):
         for batch in batches:
             for bundle in batch.column(0).to_pylist():
-                reader, rows = BundleReader(bundle), []
-                for _, frame in json.loads(reader.index):
-                    head, payload = parse(reader.frame(frame))
+                reader, rows, number, content = BundleReader(bundle), [], -1, b""
+                for _, frame, offset, size in json.loads(reader.index):
+                    if frame != number:
+                        number, content = frame, reader.frame(frame)
+                    head, payload = parse(content[offset : offset + size])
                     digest = head["warc-payload-digest"].removeprefix("sha1:")
                     if head["warc-type"] == "response" and sha1_base32(payload) != digest:
                         raise ValueError(f"{head['warc-record-id']}: the payload isn't what its digest says")
