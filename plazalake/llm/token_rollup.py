@@ -48,68 +48,73 @@ class Rollup:
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
+    def _state(self) -> tuple[str | None, set[str], list[str]]:
+        """The newest compaction, the ids folded into it, and the ids of batches beside it; one listing of the folder."""
+        found = [s.getPath().getName() for s in self._fs.listStatus(self._path(self.path))] if self._fs.exists(self._path(self.path)) else []
+        base = max((x for x in found if x.startswith("base=")), key=lambda x: int(x.removeprefix("base=")), default=None)
+        folded = {r[0] for r in self.spark.read.schema("id string").parquet(f"{self.path}/{base}/ids").collect()} if base else set()
+        return base, folded, [x for x in sorted(y.removeprefix("batch=") for y in found if y.startswith("batch=")) if x not in folded]
+
     def committed(self) -> list[str]:
         """Ids of all batches, compacted ones too."""
-        if not self._fs.exists(self._path(self.path)):
-            return []
-        found = [s.getPath().getName() for s in self._fs.listStatus(self._path(self.path))]
-        ids = {x.removeprefix("batch=") for x in found if x.startswith("batch=")}
-        base = self._base(found)
-        if base:
-            ids |= {r[0] for r in self.spark.read.schema("id string").parquet(f"{self.path}/{base}/ids").collect()}
-        return sorted(ids)
-
-    def _base(self, found: list[str] | None = None) -> str | None:
-        """The newest compaction."""
-        if found is None:
-            found = [s.getPath().getName() for s in self._fs.listStatus(self._path(self.path))] if self._fs.exists(self._path(self.path)) else []
-        return max((x for x in found if x.startswith("base=")), key=lambda x: int(x.removeprefix("base=")), default=None)
+        _, folded, beside = self._state()
+        return sorted(folded.union(beside))
+
+    def _place(self, aside: str, target: str) -> bool:
+        """Rename a folder into place. False, and it goes, if another writer was first.
+
+        Some file systems move a folder into one that is there; a mark inside tells.
+        """
+        mark = f"_mark-{uuid.uuid4().hex}"
+        self._fs.create(self._path(f"{aside}/{mark}")).close()
+        done = not self._fs.exists(self._path(target)) and self._fs.rename(self._path(aside), self._path(target))
+        if done and self._fs.exists(self._path(f"{target}/{mark}")):
+            return True
+        for left in (aside, f"{target}/{aside.rsplit('/', 1)[-1]}"):
+            self._fs.delete(self._path(left), True)
+        return False
 
     def commit(self, batch_id: str, deltas: DataFrame) -> bool:
         """Add a batch once. False, without running anything, if that id is there.
 
         Written aside and renamed, so that a batch is seen whole or not at all; of two
-        writers with the same id the second one's rename fails, and its rows go.
+        writers with the same id the second one's rows go.
         """
         if batch_id in self.committed():
             return False
         aside = f"{self.path}/_aside-{uuid.uuid4().hex}"
         sums = deltas.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
         sums.where("n_docs <> 0 or n_tokens <> 0").write.parquet(aside)
-        target = self._path(f"{self.path}/batch={batch_id}")
-        done = not self._fs.exists(target) and self._fs.rename(self._path(aside), target)
-        if not done:
-            self._fs.delete(self._path(aside), True)
-        return bool(done)
+        return self._place(aside, f"{self.path}/batch={batch_id}")
 
-    def _deltas(self) -> DataFrame:
-        found = [s.getPath().getName() for s in self._fs.listStatus(self._path(self.path))] if self._fs.exists(self._path(self.path)) else []
-        base, gone = self._base(found), set()
-        if base:
-            gone = {r[0] for r in self.spark.read.schema("id string").parquet(f"{self.path}/{base}/ids").collect()}
-        paths = [f"{self.path}/{x}" for x in found if x.startswith("batch=") and x.removeprefix("batch=") not in gone]
-        paths += [f"{self.path}/{base}/sums"] if base else []
-        if not paths:
-            return self.spark.createDataFrame([], DELTAS)
-        return self.spark.read.schema(DELTAS).parquet(*paths)
+    def _totals(self, base: str | None, beside: list[str]) -> DataFrame:
+        paths = [f"{self.path}/batch={x}" for x in beside] + ([f"{self.path}/{base}/sums"] if base else [])
+        rows = self.spark.read.schema(DELTAS).parquet(*paths) if paths else self.spark.createDataFrame([], DELTAS)
+        sums = rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
+        return sums.where("n_docs <> 0 or n_tokens <> 0")
 
     def totals(self) -> DataFrame:
         """source, lang, version, n_docs, n_tokens; keys with neither documents nor tokens are left out."""
-        sums = self._deltas().groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
-        return sums.where("n_docs <> 0 or n_tokens <> 0")
+        base, _, beside = self._state()
+        return self._totals(base, beside)
+
+    def compact(self) -> bool:
+        """Fold all batches into a new base; their ids stay known, then their files go.
 
-    def compact(self) -> None:
-        """Fold all batches into a new base; their ids stay known, their files go."""
-        ids, base = self.committed(), self._base()
+        What is folded is what one listing found, so a batch that is committed meanwhile
+        stays beside the base. False, with nothing deleted, if the base couldn't be
+        placed. A reader that began before must read again.
+        """
+        base, folded, beside = self._state()
         number = int(base.removeprefix("base=")) + 1 if base else 0
         aside = f"{self.path}/_aside-{uuid.uuid4().hex}"
-        self.totals().coalesce(1).write.parquet(f"{aside}/sums")
-        self.spark.createDataFrame([(x,) for x in ids], "id string").coalesce(1).write.parquet(f"{aside}/ids")
-        self._fs.rename(self._path(aside), self._path(f"{self.path}/base={number}"))
-        for x in ids:
-            self._fs.delete(self._path(f"{self.path}/batch={x}"), True)
-        if base:
-            self._fs.delete(self._path(f"{self.path}/{base}"), True)
+        self._totals(base, beside).coalesce(1).write.parquet(f"{aside}/sums")
+        self.spark.createDataFrame([(x,) for x in sorted(folded.union(beside))], "id string").coalesce(1).write.parquet(f"{aside}/ids")
+        if not self._place(aside, f"{self.path}/base={number}"):
+            return False
+        for x in [f"batch={x}" for x in beside] + ([base] if base else []):
+            self._fs.delete(self._path(f"{self.path}/{x}"), True)
+        return True
 
 
 class Counter:
