@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import json
 import math
 import random
 import re
@@ -305,9 +306,19 @@ def test_warc_round_trip(spark):
         assert (r.payload_bytes, r.payload_digest) == (len(html.encode()), digest)
         assert (r.record_type, r.refers_to) == (("response", None) if r.page_id == top else ("revisit", top))
     assert [r.record_type for r in got if r.page_id is None] == ["response"]
-    bundle = bundles.select("content").first()[0]
-    name = warc_bundles.RECORD_ID % warc_bundles.read_archives(bundles.limit(1)).first().page_id
-    assert warc_bundles.find_record(bundle, name)[0]["warc-record-id"] == name
+    index = warc_bundles.record_index(bundles).collect()
+    assert len(index) == len(rows) and {r.record_id for r in index} == {warc_bundles.RECORD_ID % x[0] for x in rows}
+    for bundle in [r[0] for r in bundles.select("content").collect()]:
+        for name in {x[0] for x in json.loads(seekable.BundleReader(bundle).index)}:
+            found = warc_bundles.find_records(bundle, name)
+            assert found and all(head["warc-record-id"] == name for head, _ in found)
+    assert warc_bundles.find_records(bundle, "none") == []
+    # frames hold several records; a long one stands alone; columns may clash
+    more = spark.createDataFrame([(i, "u", "t" * (100 if i else 300_000)) for i in range(20)], "page_id long, url string, html string").selectExpr("*", "1 as id", "2 as digest", "3 as refers_to", "4 as content").coalesce(1)
+    bundles = warc_bundles.write_archives(warc_bundles.plan_records(more), frame_bytes=4000)
+    frames = Counter(r.frame for r in warc_bundles.record_index(bundles).collect())
+    assert sum(frames.values()) == 20 and 1 in frames.values() and max(frames.values()) > 3
+    assert {(r.page_id, r.payload_bytes, r.refers_to) for r in warc_bundles.read_archives(bundles).collect()} == {(i, 100 if i else 300_000, None if i in (0, 19) else 19) for i in range(20)}
     nothing = pages.where("false")
     assert warc_bundles.read_archives(warc_bundles.write_archives(warc_bundles.plan_records(nothing))).count() == 0
 
@@ -438,6 +449,71 @@ def test_automaton_brute_force():
         assert (got and got[0]) == best
 
 
+def test_machine_that_starts_anew(monkeypatch):
+    terms = [("idiot", True, 5.0), ("pathetic", True, 5.0), ("lowei", False, 4.0)]
+    words = {"idi0t", "pathetlc", "loweifest", "x" * 5000, "patheticc", "lowe", "idiots"}
+    whole = toxicity.Automaton(terms, [1.0] * 3).lookup(words)
+    monkeypatch.setattr(toxicity, "STATES", 3)
+    assert toxicity.Automaton(terms, [1.0] * 3).lookup(words) == whole and len(whole) == 6
+
+
+def test_features_by_definition():
+    """Hits by plain edit distances, and their sums, on random texts."""
+    terms, fuzzy = [("idiot", True, 5.0), ("scumbag", True, 4.0), ("patheti", False, 3.0), ("ass", True, 2.0)], [2.0, 1.5, 0.0, 1.0]
+    machine = toxicity.Automaton(terms, fuzzy)
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a):
+            following = [i + 1]
+            for j, y in enumerate(b):
+                following.append(min(row[j] + (x != y), row[j + 1] + 1, following[j] + 1))
+            row = following
+        return row[-1]
+
+    def weight(word):
+        best = None
+        for number, (t, whole, w) in enumerate(terms):
+            e = distance(word, t) if whole else min(distance(word[:i], t) for i in range(len(word) + 1))
+            if e <= (toxicity.edits(len(t)) if fuzzy[number] > 0 else 0):
+                best = min(x for x in (best, (e, -len(t), number)) if x is not None)
+        return (0, 0.0) if best is None else (best[0], terms[best[2]][2] if best[0] == 0 else fuzzy[best[2]] / best[0])
+
+    random.seed(11)
+    for _ in range(200):
+        tokens = random.choices(["idiot", "idi0t", "scumbags", "pathetically", "ass", "you", "said", "other", "plain", '"', "\n"], k=random.randint(0, 60))
+        words, inside = [], False
+        for t in tokens:
+            inside = not inside if t == '"' else False if t == "\n" else inside
+            if t not in '"\n':
+                words.append((t, inside))
+        total = context = edited = quoted = best = 0.0
+        marks = []
+        for i, (w, q) in enumerate(words):
+            e, x = weight(w)
+            near = {v for v, _ in words[max(0, i - toxicity.CONTEXT) : i + toxicity.CONTEXT + 1]}
+            said = q or "said" in near
+            y = x * (0.25 if said else 1) * (1.25 if "you" in near else 1)
+            total, context, edited, quoted = total + x, context + y, edited + x * (e > 0), quoted + x * said
+            marks.append((i, y))
+        for i, _ in marks:
+            best = max(best, sum(y for k, y in marks if i - toxicity.SPAN < k <= i))
+        want = [math.log1p(total), math.log1p(context), 100 * context / max(1, len(words)), math.log1p(best), math.log1p(edited), math.log1p(quoted)]
+        assert np.abs(np.array(toxicity.features(" ".join(tokens), machine)) - (want if total else 0)).max() < 1e-9
+
+
+def test_score_by_definition(spark):
+    """The score is the logistic function of the scaled features; words of any length are learned."""
+    model = {"terms": [("idiot", True, 5.0)], "fuzzy": [2.0], "weights": np.array([1.0, 0.5, 0.1, 0.2, -0.3, -0.4, -2.0]), "scale": np.full(6, 2.0)}
+    rows = [(1, "you idiot"), (2, "idi0t"), (3, None), (4, "“idiot” " * 3)]
+    got = {r.doc_id: r for r in toxicity.score(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    machine = toxicity.Automaton(model["terms"], model["fuzzy"])
+    for i, text in rows:
+        z = sum(w * x / 2 for w, x in zip(model["weights"], toxicity.features(text, machine), strict=False)) - 2
+        assert abs(got[i].score - 1 / (1 + math.exp(-z))) < 1e-12 and got[i].predicted == (got[i].score >= 0.3)
+    assert "x" * 40 + " " in toxicity.keys_of("x" * 40) and "x" * 24 in toxicity.keys_of("x" * 40)
+
+
 def test_quotation_counts_less():
     machine = toxicity.Automaton([("idiot", True, 5.0)], [2.0])
     plain, quoted, aimed, edited = (toxicity.features(t, machine)[1] for t in ("such an idiot here", 'he said "idiot" here', "you idiot there", "such an idi0t here"))
@@ -515,6 +591,21 @@ def test_weighting_by_definition():
         assert abs(total - got[k]) < 1e-9
 
 
+def test_chunks_and_buckets_change_nothing(spark, edge, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    whole = {r.doc_id: r for r in context_tree.score_texts(docs).collect()}
+    for name, value in (("BUCKET_GRAMS", 5000), ("BUCKET_WORDS", 3000), ("FAN", 2), ("GROUP_GRAMS", 4000), ("STEP_BYTES", 10_000)):
+        monkeypatch.setattr(context_tree, name, value)
+    for r in context_tree.score_texts(docs, chunk_bytes=60_000).collect():
+        assert abs(r.score - whole[r.doc_id].score) < 1e-4 * abs(r.score) + 1e-3 and r[:6] == whole[r.doc_id][:6]
+
+
+def test_number_of_different_grams(spark):
+    keys = np.unique(np.random.default_rng(1).integers(0, 1 << 48, 40_000, dtype=np.uint64))
+    low = [(False, context_tree._lowest((k * np.uint64(0x9E3779B97F4A7C15) ^ k >> np.uint64(29)).view(np.int64))) for k in (keys[:30_000], keys[10_000:])]
+    assert 0.7 * len(keys) < context_tree._distinct(spark.createDataFrame(low, "words boolean, low binary"), False) < 1.4 * len(keys)
+
+
 def test_base_score_and_better_than_it(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     got = {r.doc_id: r for r in context_tree.score_texts(docs, chunk_bytes=100_000).collect()}
@@ -567,6 +658,29 @@ def test_rollup(spark, tmp_path, edge):
     assert all(r.n_docs > 1 for r in rollup.totals().collect())
 
 
+def test_compaction_loses_nothing(spark, tmp_path):
+    rows = lambda n: spark.createDataFrame([("s", None, "v", n)], "source string, lang string, version string, n_tokens long")
+    rollup = token_rollup.Rollup(spark, f"file://{tmp_path}/r")
+    total = lambda: [(r.n_docs, r.n_tokens) for r in rollup.totals().collect()]
+    rollup.commit("a", token_rollup.inserts(rows(5)))
+    # a rename that fails
+    place, rollup._place = rollup._place, lambda aside, target: False
+    assert not rollup.compact() and total() == [(1, 5)]
+    rollup._place = place
+    # a batch that comes between the listing and the folding
+    before, state = rollup._state(), rollup._state
+    rollup.commit("b", token_rollup.inserts(rows(7)))
+    rollup._state = lambda: before
+    assert rollup.compact()
+    rollup._state = state
+    assert rollup.committed() == ["a", "b"] and total() == [(2, 12)]
+    # a folder that is there already isn't moved into
+    aside = f"{rollup.path}/_aside-x"
+    rows(1).write.parquet(aside)
+    assert not rollup._place(aside, f"{rollup.path}/batch=b") and total() == [(2, 12)]
+    assert rollup.compact() and not rollup.commit("b", token_rollup.inserts(rows(7))) and total() == [(2, 12)]
+
+
 def test_rollup_query_counts_every_version(spark, tmp_path):
     docs = [(i, "übermäßig viele Wörter, " * (i % 5) + " " * (i % 3), "de", "a", 1) for i in range(20)] + [(90, None, None, None, None)]
     spark.createDataFrame(docs, DOCS).write.parquet(f"file://{tmp_path}/documents.parquet")
