@@ -12,16 +12,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Tags and names that hold no article text.
-SKIP = frozenset("head script style nav footer header aside noscript form button svg iframe select template".split())
+SKIP = frozenset(("head", "script", "style", "nav", "footer", "header", "aside", "noscript", "form", "button", "svg", "iframe", "select", "template"))
 JUNK_CLASS = re.compile(
     r"comment|sidebar|newsletter|subscribe|share|footer|popover|promo|banner|copyright|related|recommend|toolbar|breadcrumb|author-card|"
     r"article__important|article__charge|article__header|advertisement|(?:^|[\s_-])ads?(?:$|[\s_-])",
     re.I,
 )
 JUNK_ID = re.compile(r"comment|sidebar|newsletter|subscribe", re.I)
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"))
 KINDS = {"p": "paragraph", "li": "list_item", "pre": "code", "table": "table", "figcaption": "caption", "math": "formula", **{f"h{i}": "heading" for i in range(1, 7)}}
-LOOSE = frozenset("div section blockquote td th tr ul ol figure article main body".split())
+LOOSE = frozenset(("div", "section", "blockquote", "td", "th", "tr", "ul", "ol", "figure", "article", "main", "body"))
 BODIES = {"article": 3, "main": 2, "body": 1}
 NAMED_BODIES = frozenset(("post-content", "gh-content", "article__main__content", "crayons-article__body"))
 

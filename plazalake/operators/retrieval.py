@@ -35,6 +35,16 @@ def keyword_score(posts: DataFrame, replies: DataFrame, subs: DataFrame, words:
     return own.union(below).groupBy("post_id").agg(F.least(F.lit(KEYWORD_CAP), F.sum("s")).alias("keyword")).where("keyword > 0")
 
 
+def keyword_posts(posts: DataFrame, words: list[str], n: int = 30) -> DataFrame:
+    """word, post_id, score, rank: of each word the n visible posts that hold it, 2 for the title and 1 for the body, then by heat, then by id."""
+    title, body = F.lower("title"), F.lower("body")
+    score = F.when(F.contains(title, F.col("word")), 2).otherwise(0) + F.when(F.contains(body, F.col("word")), 1).otherwise(0)
+    either = F.array_distinct(F.concat(_keywords(F.coalesce(title, F.lit("")), words), _keywords(F.coalesce(body, F.lit("")), words)))
+    hits = visible(posts).select("post_id", "heat", "title", "body", F.explode(either).alias("word")).withColumn("score", score)
+    best = Window.partitionBy("word").orderBy(F.desc("score"), F.desc("heat"), "post_id")
+    return hits.select("word", "post_id", "score", "heat").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= n).drop("heat")
+
+
 def dot(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(F.col(a), F.col(b), lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plazalake.functions import python as Y
+from plazalake.functions import text as X
 from plazalake.operators import dedup as D
 from plazalake.plans.roles import pool
 from plazalake.sources.tables import table
@@ -33,6 +34,14 @@ def pool_upsert_fuzzy(spark, sf):
 QUERIES["pool_upsert_fuzzy"] = pool_upsert_fuzzy
 QUERIES["lenient_json"] = lambda spark, sf: table(spark, sf, "events").select("event_id", Y.lenient_json(F.concat(F.lit("Answer: "), "props", F.lit(" }. Done"))).alias("json"))
 ORACLES["lenient_json"] = "SELECT event_id, props AS json FROM events"
-QUERIES["paragraph_cut"] = lambda spark, sf: table(spark, sf, "documents").select("doc_id", Y.paragraph_cut(F.col("text"), F.lit(1000)).alias("text"))
+QUERIES["paragraph_cut"] = lambda spark, sf: table(spark, sf, "documents").select("doc_id", X.paragraph_cut(F.col("text"), 1000).alias("text"))
+ORACLES["paragraph_cut"] = r"""
+    WITH h AS (SELECT doc_id, coalesce(text, '') AS text, left(coalesce(text, ''), 1000) AS head FROM documents),
+    p AS (SELECT *, regexp_extract(head, '(?s)\A(.*)\n\n', 1) AS whole FROM h),
+    c AS (SELECT doc_id, text, CASE WHEN length(whole) > 500 THEN whole ELSE head END AS head FROM p)
+    SELECT doc_id, CASE WHEN length(text) <= 1000 THEN text
+        WHEN (length(head) - length(replace(head, '```', ''))) // 3 % 2 = 1 THEN regexp_replace(regexp_extract(head, '(?s)\A(.*)```', 1), '\s+\z', '')
+        ELSE head END AS text FROM c"""
 QUERIES["markdown_lint"] = lambda spark, sf: table(spark, sf, "pages").select("page_id", Y.markdown_issues("html").alias("issues"))
-QUERIES["metadata_hash"] = lambda spark, sf: table(spark, sf, "events").select("event_id", Y.canonical_hash(F.map_from_arrays(F.array(F.lit("type"), F.lit("props")), F.array("event_type", "props"))).alias("digest"))
+QUERIES["metadata_hash"] = lambda spark, sf: table(spark, sf, "events").select("event_id", X.canonical_hash(F.map_from_arrays(F.array(F.lit("type"), F.lit("props")), F.array("event_type", "props"))).alias("digest"))
+ORACLES["metadata_hash"] = """SELECT event_id, sha256('{"props":' || coalesce(CAST(to_json(props) AS VARCHAR), 'null') || ',"type":' || coalesce(CAST(to_json(event_type) AS VARCHAR), 'null') || '}') AS digest FROM events"""

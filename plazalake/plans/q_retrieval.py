@@ -158,3 +158,11 @@ def _(spark, sf):
 def _(spark, sf):
     p = posts(spark, sf).select("post_id", "partition")
     return R.use_fallback(p.where("partition = 'none'"), p)
+
+
+@query("keyword_posts", sql("posts", f"""WITH k(word) AS (VALUES {_VALUES}),
+    s AS (SELECT word, post_id, heat, 2 * coalesce(contains(lower(title), word), false)::BIGINT + coalesce(contains(lower(body), word), false)::BIGINT AS score FROM posts, k WHERE NOT is_private)
+    SELECT word, post_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY score DESC, heat DESC, post_id) AS rank FROM s WHERE score > 0) WHERE rank <= 30"""))
+def _(spark, sf):
+    found = V.keyword_posts(posts(spark, sf), WORDS)
+    return found.select("word", "post_id", F.col("score").cast("long").alias("score"), F.col("rank").cast("long").alias("rank"))

@@ -225,7 +225,20 @@ def test_lenient_json_and_markdown():
     assert json.loads(Y.first_object('say {"a": {"b": 1}} end }')) == {"a": {"b": 1}}
     assert Y.first_object('```json\n{"a": 1}\n```') == '{"a": 1}' and Y.first_object("[1]") is None and Y.first_object("{x}") is None
     assert Y.lint("```\ncode") == ["unclosed_code_fence"] and Y.lint("TODO <b>x</b>") == ["unsupported_markup", "editorial_placeholder"] and Y.lint("`<b>` ok") == []
-    assert Y.cut_at_paragraph("a" * 60 + "\n\n" + "b" * 60, 100) == "a" * 60
+    assert Y.lint("````\n```\ncode <b>\n````\nrest") == [] and Y.lint("~~~\n```\n") == ["unclosed_code_fence"] and Y.lint(" \n") == Y.lint(None) == ["empty_markdown"]
+    assert Y.lint("```a\n<b>\n```\n</i> ``<u>``\n[x]( javascript:y)") == ["unsupported_markup"]
+    assert Y.first_object("x } {\"a\": 1") is None and Y.first_object(None) is None and Y.first_object("``` JSON") is None
+
+
+def test_paragraph_cut_and_hash(spark):
+    import hashlib
+
+    texts = ["a" * 60 + "\n\n" + "b" * 60, "a" * 30 + "\n\n" + "b" * 90, "a" * 60 + " \n```\n" + "b" * 90, "short", None, "é" * 101, "```x``` " * 13 + "end"]
+    want = ["a" * 60, ("a" * 30 + "\n\n" + "b" * 90)[:100], "a" * 60, "short", "", "é" * 100, ("```x``` " * 12 + "```x")[:96].rstrip()]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    assert [r[0] for r in rows.orderBy("i").select(X.paragraph_cut(F.col("t"), 100)).collect()] == want
+    row = spark.sql("select map('z', 'é\"\\n', 'a', null) as m").select(X.canonical_hash(F.col("m"))).first()[0]
+    assert row == hashlib.sha256(json.dumps({"a": None, "z": 'é"\n'}, ensure_ascii=False, separators=(",", ":")).encode()).hexdigest()
 
 
 def test_feeds():
