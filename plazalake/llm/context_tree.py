@@ -399,11 +399,20 @@ def _open_grams(batches):
             yield pa.RecordBatch.from_pydict({"gram": _unpack_grams(keys).astype(np.int64), "n": _expand(counts, "<u8").astype(np.int64)})
 
 
-def _pack_logs(key: tuple, table: pa.Table) -> pa.Table:
-    """The log10 probabilities of a bucket's grams as one row."""
-    gram, value = table["gram"].to_numpy().astype(_U), table["value"].to_numpy()
+def _packed_logs(key: np.ndarray, value: np.ndarray, buckets: int) -> pa.Table:
+    """The log10 probabilities of grams, a row for each bucket."""
+    home = _bucket(key, buckets)
+    order = np.lexsort((key, home))
+    at = np.split(order, np.flatnonzero(np.diff(home[order])) + 1) if len(key) else []
+    return pa.table({"bucket": pa.array([int(home[x[0]]) for x in at], pa.int32()), "keys": pa.array([_pack_grams(key[x]) for x in at], pa.binary()), "counts": pa.array([_squeeze(value[x].astype("<f4")) for x in at], pa.binary())})
+
+
+def _join_logs(key: tuple, table: pa.Table) -> pa.Table:
+    """All rows of a bucket as one."""
+    gram = np.concatenate([_unpack_grams(x) for x in table["keys"].to_pylist()])
+    value = np.concatenate([_expand(x, "<f4") for x in table["counts"].to_pylist()])
     order = gram.argsort()
-    return pa.table({"words": [False], "bucket": pa.array([key[0].as_py()], pa.int32()), "keys": [_pack_grams(gram[order])], "counts": [_squeeze(value[order].astype("<f4"))]})
+    return pa.table({"words": [False], "bucket": pa.array([key[0].as_py()], pa.int32()), "keys": [_pack_grams(gram[order])], "counts": [_squeeze(value[order])]})
 
 
 def _give_back(rows: pa.Table, found: pa.Table) -> pa.Table:
@@ -497,9 +506,10 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     shared = docs.sparkSession.sparkContext.broadcast(upper)
 
     def logs(k, n):
-        return pa.table({"gram": k.astype(np.int64), "value": gram_logs(k, n, shared.value), "bucket": _bucket(k, buckets)})
+        return _packed_logs(k, gram_logs(k, n, shared.value), buckets)
 
-    values = _by_branch(grams, logs, "gram long, value double, bucket int").groupBy("bucket").applyInArrow(_pack_logs, "words boolean, bucket int, keys binary, counts binary")
+    values = _by_branch(grams, logs, "bucket int, keys binary, counts binary")
+    values = values.groupBy("bucket").applyInArrow(_join_logs, "words boolean, bucket int, keys binary, counts binary")
     values = sums.where("words").select("words", "bucket", "keys", "counts").union(values)
     values = values.withColumn("chunks", F.explode(F.sequence(F.lit(0), F.lit((chunks - 1) // FAN))))
     at = ["words", "bucket", "chunks"]
