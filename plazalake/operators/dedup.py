@@ -5,7 +5,7 @@ from __future__ import annotations
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,7 +13,8 @@ from plazalake.functions.text import normalize_url
 from plazalake.sources.shared import cut
 
 THRESHOLD = 0.85
-GRAM = 3
+#: Of the length of a title, the least length of a partner: M <= min(a, b) and 2M >= t(a + b).
+SHORTEST = THRESHOLD / (2 - THRESHOLD)
 
 
 @F.pandas_udf(T.DoubleType())
@@ -26,40 +27,65 @@ def title_ratio(new: pd.Series, old: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=float)
 
 
-def _grams(titles: DataFrame) -> DataFrame:
-    """id, gram, place (rarest first), n of the distinct character triples of a title."""
-    t = F.lower("title")
-    n = F.greatest(F.char_length(t) - (GRAM - 1), F.lit(1))
-    rows = titles.select("id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), n), lambda i: F.substr(t, i, F.lit(GRAM))))).alias("gram"))
-    count = rows.groupBy("gram").agg(F.count(F.lit(1)).alias("seen"))
-    w = Window.partitionBy("id")
-    return rows.join(count, "gram").withColumn("place", F.row_number().over(w.orderBy("seen", "gram"))).withColumn("n", F.count(F.lit(1)).over(w))
+# for the optimizer, which else compares titles before the cheaper conditions hold
+title_ratio = title_ratio.asNondeterministic()
+
+
+def _shared_pairs(total: Column) -> Column:
+    """The least number of character pairs that two titles of a ratio of THRESHOLD share, total being their joint length.
+
+    Matching blocks keep M characters in order, so one title becomes the other by
+    a - M deletions, of which each breaks two pairs at most, and b - M insertions,
+    of which each breaks one: 3M - a - b - 1 pairs are left.
+    """
+    return F.ceil((1.5 * THRESHOLD - 1) * total - 1 - 1e-9)
+
+
+def _pairs_of(titles: DataFrame) -> DataFrame:
+    """t, size, all (its pairs of neighbouring characters, counted: the second "an" is another than the first),
+    rare (the rarest of them, enough that two similar titles have one in common)."""
+    size = F.char_length("t")
+    cut_up = F.transform(F.sequence(F.lit(1), size - 1), lambda i: F.substr(F.col("t"), i, F.lit(2)))
+    grams = titles.where(size > 2).select("t", F.explode(cut_up).alias("gram")).groupBy("t", "gram").agg(F.count(F.lit(1)).cast("int").alias("times"))
+    rows = grams.select("t", F.explode(F.transform(F.sequence(F.lit(1), F.col("times")), lambda k: F.concat("gram", k.cast("string")))).alias("gram"))
+    seen = rows.groupBy("gram").agg(F.count(F.lit(1)).alias("seen"))
+    order = F.array_sort(F.collect_list(F.struct("seen", "gram")))
+    whole = rows.join(seen, "gram").groupBy("t").agg(F.transform(order, lambda g: g["gram"]).alias("all"))
+    least = F.greatest(_shared_pairs(size * (1 + SHORTEST)), F.lit(1))
+    return whole.select("t", size.alias("size"), "all", F.slice("all", F.lit(1), (F.size("all") - least + 1).cast("int")).alias("rare"))
+
+
+def similar_titles(titles: DataFrame) -> DataFrame:
+    """new, old: all pairs of lower-case titles t, each with itself too, with a ratio of THRESHOLD at least.
+
+    No pair is lost: titles of one or two characters are similar to themselves only; longer ones
+    meet by a rare pair of characters, lengths permitting, and are compared if they share enough pairs.
+    """
+    known = cut(_pairs_of(titles), "titles")
+    rare = known.select("t", "size", F.explode("rare").alias("gram"))
+    x, y = rare.alias("x"), rare.alias("y")
+    fits = (F.col("x.t") != F.col("y.t")) & (F.least("x.size", "y.size") >= SHORTEST * F.greatest("x.size", "y.size") - 1e-9)
+    met = x.join(y, (F.col("x.gram") == F.col("y.gram")) & fits).select(F.col("x.t").alias("new"), F.col("y.t").alias("old")).distinct()
+    a, b = known.select(F.col("t").alias("new"), F.col("all").alias("_a")), known.select(F.col("t").alias("old"), F.col("all").alias("_b"))
+    enough = F.size(F.array_intersect("_a", "_b")) >= _shared_pairs(F.char_length("new") + F.char_length("old"))
+    near = met.join(a, "new").join(b, "old").where(enough).select("new", "old")
+    return near.where(title_ratio("new", "old") >= THRESHOLD).union(titles.select("t", "t"))
 
 
 def fuzzy_pairs(items: DataFrame, others: DataFrame | None = None) -> DataFrame:
     """a, b: of items (id, ord, url, title) those that are the same as an earlier one, or as one of others.
 
-    The same normalised URL, or a title ratio of THRESHOLD at least. Equal titles
-    and titles that share one of their rarer character triples are held against each
-    other, lengths permitting: of titles this similar, all but a sixth of the
-    characters match in order, which leaves a quarter of the triples of the longer in common.
+    The same normalised URL, or a title ratio of THRESHOLD at least.
     """
-    rows = items.select("id", "ord", normalize_url(F.col("url")).alias("u"), F.coalesce("title", F.lit("")).alias("title"))
-    old = rows if others is None else others.select("id", "ord", normalize_url(F.col("url")).alias("u"), F.coalesce("title", F.lit("")).alias("title"))
+    form = lambda df: df.select("id", "ord", normalize_url(F.col("url")).alias("u"), F.lower(F.coalesce("title", F.lit(""))).alias("t"))
+    rows = form(items)
+    old = rows if others is None else form(others)
     before = F.col("x.ord") > F.col("y.ord") if others is None else F.lit(True)
     by_url = rows.alias("x").join(old.alias("y"), (F.col("x.u") == F.col("y.u")) & (F.col("x.u") != "") & before).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-    # one row for each title
-    names = rows.select("title").union(old.select("title")).where("title <> ''").distinct().withColumn("id", F.xxhash64("title"))
-    grams = _grams(names).where(F.col("place") <= F.ceil(F.col("n") * 0.75)).select("id", "gram")
-    x, y = grams.alias("x"), grams.alias("y")
-    near = x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.id") != F.col("y.id"))).select(F.col("x.id").alias("i"), F.col("y.id").alias("j")).distinct()
-    left, right = names.select(F.col("id").alias("i"), F.col("title").alias("new")), names.select(F.col("id").alias("j"), F.col("title").alias("old"))
-    near = near.join(left, "i").join(right, "j")
-    short, long = F.least(F.char_length("new"), F.char_length("old")), F.greatest(F.char_length("new"), F.char_length("old"))
-    near = near.where(2.0 * short / (short + long) >= THRESHOLD).where(title_ratio("new", "old") >= THRESHOLD).select("new", "old")
-    near = near.union(names.select("title", "title"))
-    by_title = rows.select("id", "ord", F.col("title").alias("new")).join(near, "new").alias("x").join(old.alias("y"), (F.col("x.old") == F.col("y.title")) & before)
-    return by_url.union(by_title.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))).where("a <> b").distinct()
+    near = similar_titles(rows.select("t").union(old.select("t")).where("t <> ''").distinct())
+    by_title = rows.select("id", "ord", F.col("t").alias("new")).join(near, "new").alias("x").join(old.alias("y"), (F.col("x.old") == F.col("y.t")) & before)
+    found = by_url.union(by_title.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")))
+    return (found.where("a <> b") if others is None else found).distinct()
 
 
 def components(pairs: DataFrame) -> DataFrame:
@@ -113,6 +139,24 @@ def greedy_dedup(items: DataFrame, history: DataFrame | None = None) -> DataFram
     return decided.unionByName(alone)
 
 
+def pool_upsert(items: DataFrame, pool: DataFrame, history: DataFrame, since: str) -> DataFrame:
+    """id, action of new items (id, ord, url, title) in order: refresh, drop or insert; items without a URL or title go.
+
+    A URL of the pool, however old, or of an item inserted before is refreshed; what is the same as a row
+    of the pool first seen from `since` on, of any status, or as one of history, or as an item inserted
+    before is dropped; the rest is inserted. pool and history have id, ord, url, title, the pool first_seen too.
+    """
+    whole = items.withColumn("u", normalize_url(F.col("url"))).where("u <> ''").where(F.coalesce(F.col("title").rlike(r"(?U)\S"), F.lit(False)))
+    urls = pool.select(normalize_url(F.col("url")).alias("u")).distinct()
+    known, rest = whole.join(urls, "u", "left_semi"), whole.join(urls, "u", "left_anti")
+    recent = pool.where(F.col("first_seen") >= F.expr(f"timestamp_ntz '{since}'")).select("id", F.struct(F.lit(0).alias("part"), F.col("ord").cast("long").alias("at")).alias("ord"), "url", "title")
+    older = history.select("id", F.struct(F.lit(1).alias("part"), F.col("ord").cast("long").alias("at")).alias("ord"), "url", "title")
+    found = rest.select("id", "ord", "u").join(greedy_dedup(rest.select("id", "ord", "url", "title"), recent.union(older)).select("id", "kept"), "id")
+    first = found.where("kept").groupBy("u").agg(F.min("ord").alias("_first"))
+    action = F.when(F.col("kept"), "insert").when(F.col("_first") < F.col("ord"), "refresh").otherwise("drop")
+    return known.select("id", F.lit("refresh").alias("action")).union(found.join(first, "u", "left").select("id", action.alias("action")))
+
+
 def merge_news(items: DataFrame) -> DataFrame:
     """Items over days merged with the first that is the same: id, days (occurrences), first_day, summaries in order."""
     found = greedy_dedup(items).select(F.col("id"), F.coalesce("dup_of", "id").alias("into"))

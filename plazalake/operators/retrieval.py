@@ -112,3 +112,13 @@ def strict_or_relaxed(rows: DataFrame, strict: Column) -> DataFrame:
     marked = rows.withColumn("_strict", F.coalesce(strict, F.lit(False)))
     some = marked.agg(F.coalesce(F.bool_or("_strict"), F.lit(False)).alias("_some"))
     return marked.join(F.broadcast(some), F.lit(True)).where("_strict or not _some").drop("_strict", "_some")
+
+
+def posts_per_word(posts: DataFrame, words: list[str], n: int) -> DataFrame:
+    """word, post_id, score, heat, rank: for each word the n public posts by score (title 2, body 1), heat, then id."""
+    has = lambda c, w: F.contains(F.lower(F.coalesce(c, F.lit(""))), F.lower(w)).cast("int")
+    one = lambda w: F.struct(w.alias("word"), (2 * has(F.col("title"), w) + has(F.col("body"), w)).alias("score"))
+    hits = F.filter(F.array(*[one(F.lit(w)) for w in words]), lambda h: h["score"] > 0)
+    rows = posts.where(~F.coalesce("is_private", F.lit(False))).select("post_id", F.coalesce("heat", F.lit(0.0)).alias("heat"), F.inline(hits))
+    rank = F.row_number().over(Window.partitionBy("word").orderBy(F.desc("score"), F.desc("heat"), "post_id"))
+    return rows.withColumn("rank", rank).where(F.col("rank") <= n)

@@ -4,14 +4,21 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def place(spark: SparkSession, name: str) -> str:
+    """A new path in spark.checkpoint.dir; only a local master may do without that setting."""
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir isn't set")
+    return f"{(found or 'file:///tmp/checkpoints').rstrip('/')}/plazalake-{name}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
     """df written as a table there and read again, so that its lineage ends."""
     spark = df.sparkSession
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    path = f"{(found or 'file:///tmp/checkpoints').rstrip('/')}/plazalake-{name}-{uuid.uuid4().hex}"
+    path = place(spark, name)
     df.write.parquet(path)
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)

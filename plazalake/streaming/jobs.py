@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import logging
+from collections.abc import Callable
+from time import sleep
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+log = logging.getLogger(__name__)
 LIMIT, SPAN_SECONDS = 5, 10.0
 ACCEPTED = "client string, ts double, accepted boolean"
 
@@ -21,6 +26,37 @@ def purge(points: DataFrame, private: DataFrame, key: str) -> DataFrame:
     return points.join(private.select(key).distinct(), key, "left_anti")
 
 
+def first_marks(known: DataFrame, sources: dict[str, DataFrame], time: str = "time") -> DataFrame:
+    """source, mark: marks that are known stay, so that a full sync taken up again keeps those it began with;
+    the others are the newest time of their source now, or 1970 where it is empty. Taken before anything is scanned."""
+    newest = [rows.agg(F.max(time).cast("timestamp_ntz").alias("_new")).select(F.lit(name).alias("source"), "_new") for name, rows in sources.items()]
+    marks = newest[0]
+    for more in newest[1:]:
+        marks = marks.union(more)
+    kept = known.select("source", F.col("mark").alias("_old"))
+    return marks.join(kept, "source", "left").select("source", F.coalesce("_old", "_new", F.expr("timestamp_ntz '1970-01-01 00:00:00'")).alias("mark"))
+
+
+def watch(sync: Callable[[], None], clean: Callable[[], None], cycles: int | None = None, every: int = 20, pause: float = 30.0) -> list[tuple[int, str]]:
+    """Call sync again and again, clean after every `every`th of them; a cycle that fails is told and the next one goes on.
+
+    sync starts an availableNow stream and awaits it: what a failed batch had is in its checkpoint, so the next cycle takes it up.
+    """
+    failed, cycle = [], 0
+    while cycles is None or cycle < cycles:
+        cycle += 1
+        for step in [sync, clean] if every and cycle % every == 0 else [sync]:
+            try:
+                step()
+            except Exception as error:  # noqa: BLE001  any failure belongs to its cycle alone
+                log.warning("cycle %d: %r", cycle, error)
+                failed = [*failed[-99:], (cycle, repr(error))]
+                break
+        if cycle != cycles:
+            sleep(pause)
+    return failed
+
+
 def sync_stream(spark: SparkSession, source: str, schema, index_path: str, checkpoint: str, key: str = "id"):
     """Keep an index table up to date with files that arrive in source: each id once, as it first came.
 
