@@ -171,9 +171,3 @@ def combine_decisions(producer: Column, producer_reasons: Column, gate: Column,
         .when(~F.coalesce(complete, F.lit(False)), out(error, F.concat(said, found, F.array(F.lit("malformed_ready_result")))))
         .otherwise(out(gate, F.concat(said, found)))
     )
-
-
-def mirrored(captures: Column, issues: Column, url: Column, pattern: str) -> Column:
-    """Is a capture unusable (empty, or with an issue that voids it) and its page one that a mirror has?"""
-    void = F.arrays_overlap(_list(issues), F.array(*[F.lit(i) for i in ("empty_content", "login_required", "fulltext_required")]))
-    return (_blank(captures) | void) & F.coalesce(url.rlike(pattern), F.lit(False))

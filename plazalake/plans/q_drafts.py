@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plazalake.operators import drafts as D
+from plazalake.operators import mirror as M
 from plazalake.sources.tables import table
 
 QUERIES, ORACLES = {}, {}
@@ -117,3 +118,18 @@ def _(spark, sf):
     gate = F.expr("case o_custkey % 4 when 0 then 'skip_quality' when 1 then 'maybe' else 'ready' end")
     c = D.combine_decisions(producer, F.array(F.lit("said")), gate, F.array(F.lit("found")), F.col("o_orderkey") % 7 > 0)
     return table(spark, sf, "orders").select("o_orderkey", c.alias("c")).select("o_orderkey", "c.status", F.array_join("c.reasons", ",").alias("reasons"))
+
+
+@query("mirror_articles", """WITH d AS (SELECT doc_id AS id, doc_id % 200 AS n, doc_id % 3 = 0 OR doc_id % 7 = 0 AS bad, doc_id % 2 = 0 AS known, doc_id % 5 > 0 AS ok FROM documents),
+    h AS (SELECT *, bad AND known AND ok AND 5 * n - 1 >= 500 AS hit FROM d)
+    SELECT id, CASE WHEN hit THEN 5 * n - 1 WHEN id % 3 = 0 THEN 0 ELSE 4 END AS size, CASE WHEN NOT hit THEN 'us' WHEN n % 2 = 0 AND id % 4 = 0 THEN 'them' ELSE 'one' END AS author,
+        NOT hit AND id % 7 = 0 AS issue, hit AS via_mirror FROM h""")
+def _(spark, sf):
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"))
+    captures = d.selectExpr(
+        "id", "concat('https://', if(id % 2 = 0, 'mirror', 'other'), '.example.com/articles/', id) as url", "if(id % 3 = 0, '', 'text') as text", "'us' as author",
+        "if(id % 7 = 0, array('login_required'), array('short_text')) as issues",
+    )
+    payload = """concat('{"code": ', if(id % 5 > 0, 20000, 404), ', "data": {"content": "<p>', repeat('word ', cast(id % 200 as int)), '</p>", "author": ', if(id % 4 = 0, '{"display_name": " them "}', '"one"'), '}}')"""
+    found = M.with_mirror(captures, d.selectExpr("cast(id as string) as article", f"{payload} as payload"), r"https://mirror\.example\.com/articles/(\d+)")
+    return found.select("id", F.char_length("text").alias("size"), "author", F.array_contains("issues", "login_required").alias("issue"), "via_mirror")
