@@ -14,6 +14,11 @@ WIDGETS = (
 )
 BOILERPLATE = ("Matrix 是少数派的写作社区", "文章代表作者个人观点")
 STRUCTURE = ("table", "formula", "code")
+METHOD = r"(?i)\b(?:methods?|methodology|approach|algorithm|framework|architecture|model|proof|derivation|theory)\b|方法|算法|推导|证明"
+SUPPORT = r"(?i)\b(?:results?|experiments?|evaluation|measurements?|findings|proof|derivation|theorem|analysis)\b|结果|实验|测量|评估|推导|证明"
+ABSTRACT = r"(?i)^(?:\d+[.\s]*)?(?:abstract|摘要)\b"
+TABLE_REF, FIGURE_REF = r"(?i)\btable\s+\d+|表\s*\d+", r"(?i)\b(?:figure|fig\.)\s*\d+|图\s*\d+"
+EXTRACT_CAP, SHORT = 60_000, 500
 
 
 def _plain() -> Column:
@@ -93,6 +98,50 @@ def block_issues(blocks: DataFrame, least: int) -> DataFrame:
     return blocks.groupBy("doc").agg(F.array_compact(parts).alias("issues"))
 
 
+def article_issues(articles: DataFrame, login: str) -> DataFrame:
+    """doc, issues: why the article that html_articles found (as doc) can't be used as it is; an empty list if it can.
+
+    Papers, and what has an abstract, need a method and support; a table or figure that
+    is cited needs one in text. `login` is the pattern of texts that ask to log in.
+    """
+    rows = clean_blocks(articles.select("doc", F.posexplode("blocks").alias("pos", "_b")).select("doc", "pos", "_b.kind", "_b.level", "_b.text"))
+    kind, text, size = F.col("kind"), F.col("text"), F.char_length("text")
+    bare = F.trim(F.regexp_replace(text, r"\[[^\]]*\]\([^)]*\)", ""))
+    told = {
+        "own": kind.isin(*STRUCTURE) | (kind.isin("paragraph", "list_item") & (F.char_length(bare) >= 25)),
+        "substantive": kind.isin(*STRUCTURE) | ((kind == "paragraph") & (size >= 80) & ~text.rlike(login)),
+        "abstract_head": (kind == "heading") & text.rlike(ABSTRACT),
+        "table_ref": text.rlike(TABLE_REF),
+        "figure_ref": text.rlike(FIGURE_REF),
+        "has_table": kind == "table",
+    }
+    facts = rows.groupBy("doc").agg(F.sum(size).alias("chars"), F.count(F.lit(1)).alias("n"), *[F.bool_or(c).alias(k) for k, c in told.items()])
+    has = lambda pattern, name: section_present(rows, pattern).withColumnRenamed("present", name)
+    found = articles.select("doc", "flags").join(facts, "doc", "left").join(has(METHOD, "method"), "doc", "left").join(has(SUPPORT, "support"), "doc", "left")
+    yes = lambda name: F.coalesce(F.col(name), F.lit(False))
+    flag = lambda name: F.array_contains("flags", name)
+    codes = lambda *pairs: F.array_compact(F.array(*[F.when(c, k) for c, k in pairs]))
+    abstract, full = flag("abstract") | yes("abstract_head"), F.lit("fulltext_required")
+    lacking = codes(
+        (abstract & ~yes("method") & ~yes("support"), "abstract_only"),
+        (~yes("method"), "missing_method"),
+        (~yes("support") | (yes("table_ref") & ~yes("has_table")), "missing_support"),
+        (yes("figure_ref") & ~flag("figures_told"), "critical_figure_missing"),
+    )
+    none = F.array().cast("array<string>")
+    paper = (
+        F.when(flag("pdf_link") & ~yes("own"), F.array(F.lit("pdf_fulltext_required"), full))
+        .when(~flag("paper") & ~abstract, none)
+        .otherwise(F.concat(lacking, F.when(F.size(lacking) > 0, F.array(full)).otherwise(none)))
+    )
+    gated = flag("login") & (flag("login_form") | ~yes("substantive"))
+    chars, n = F.coalesce("chars", F.lit(0)), F.when(gated, 0).otherwise(F.coalesce("n", F.lit(0)))
+    cut = (n > 0) & (chars + 2 * (n - 1) > EXTRACT_CAP) | flag("unclosed")
+    rest = codes((gated, "login_required"), (n == 0, "empty_content"), ((n > 0) & (chars < SHORT), "short_text"), (cut, "truncated"), (cut, "fulltext_required"))
+    issues = F.when(flag("pdf"), F.array(F.lit("pdf_fulltext_required"), full)).otherwise(F.array_distinct(F.concat(paper, rest)))
+    return found.select("doc", issues.alias("issues"))
+
+
 def provenance(blocks: DataFrame) -> DataFrame:
     """doc, blocks, source_hash of the joined text."""
     parts = F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"])

@@ -96,7 +96,7 @@ def _(spark, sf):
 
 @query("html_meta")
 def _(spark, sf):
-    return table(spark, sf, "pages").select("page_id", F.map_entries(H.html_meta("html")).alias("meta"))
+    return H.html_articles(table(spark, sf, "pages")).select("page_id", F.map_entries("meta").alias("meta"))
 
 
 @query("html_unescape")
@@ -108,3 +108,9 @@ def _(spark, sf):
 def _(spark, sf):
     b = H.html_blocks(table(spark, sf, "pages")).withColumnRenamed("page_id", "doc")
     return B.block_issues(B.clean_blocks(b), 500)
+
+
+@query("article_issues")
+def _(spark, sf):
+    pages = H.html_articles(table(spark, sf, "pages")).withColumnRenamed("page_id", "doc")
+    return B.article_issues(pages, H.LOGIN).select("doc", F.array_join("issues", ",").alias("issues"))
