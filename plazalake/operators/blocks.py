@@ -79,15 +79,13 @@ def evidence_budget(blocks: DataFrame, budget: int) -> DataFrame:
 
 def section_present(blocks: DataFrame, pattern: str) -> DataFrame:
     """doc, present: has a heading below level 1 that matches a body before the next heading of its level or above?"""
-    by_pos = Window.partitionBy("doc").orderBy("pos")
-    level = F.coalesce("level", F.lit(6))
-    heads = blocks.where((F.col("kind") == "heading")).select("doc", F.col("pos").alias("h"), level.alias("l"), (F.col("text").rlike(pattern) & (F.coalesce("level", F.lit(6)) != 1)).alias("hit"))
-    bodies = blocks.where(F.col("kind").isin("paragraph", "list_item", "table", "code", "formula") & (F.trim("text") != "")).select("doc", F.col("pos").alias("b"))
-    hits = heads.where("hit").select("doc", "h", "l")
-    ends = hits.join(heads.select("doc", F.col("h").alias("e"), F.col("l").alias("el")), "doc").where("e > h and el <= l").groupBy("doc", "h").agg(F.min("e").alias("e"))
-    spans = hits.join(ends, ["doc", "h"], "left")
-    found = spans.join(bodies, "doc").where("b > h and (e is null or b < e)").select("doc").distinct().withColumn("present", F.lit(True))
-    return blocks.select("doc").distinct().join(found, "doc", "left").select("doc", F.coalesce("present", F.lit(False)).alias("present"))
+    later = Window.partitionBy("doc").orderBy("pos").rowsBetween(1, Window.unboundedFollowing)
+    head, level = F.col("kind") == "heading", F.least(F.coalesce("level", F.lit(6)), F.lit(6))
+    body = F.col("kind").isin("paragraph", "list_item", *STRUCTURE) & (F.trim("text") != "")
+    ends = F.array(*[F.min(F.when(head & (level <= n), F.col("pos"))).over(later) for n in range(1, 7)])
+    end, first = F.element_at(ends, F.greatest(level, F.lit(1))), F.min(F.when(body, F.col("pos"))).over(later)
+    hit = head & (level != 1) & F.col("text").rlike(pattern) & (first < F.coalesce(end, first + 1))
+    return blocks.select("doc", hit.alias("hit")).groupBy("doc").agg(F.coalesce(F.bool_or("hit"), F.lit(False)).alias("present"))
 
 
 def block_issues(blocks: DataFrame, least: int) -> DataFrame:
