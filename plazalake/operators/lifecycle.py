@@ -17,13 +17,17 @@ def latest_wins(old: DataFrame, new: DataFrame, keys: list[str], version: str) -
     return best.select(*keys, *[F.col(f"r.{c}") for c in rest if c != "_new"])
 
 
-def issue_numbers(old: DataFrame, new: DataFrame, key: str, first: int) -> DataFrame:
+def issue_numbers(old: DataFrame, new: DataFrame, key: str, first: int, coarse: Column) -> DataFrame:
     """New keys take numbers from `first` on in order of key; known keys keep theirs, and their title if the new one is empty.
 
-    Numbers are dealt per key after the anti-join, so only keys without one are ordered.
+    coarse: a value of the key that keeps its order, such as its month. New keys of
+    one value are ordered in one task; the counts of values alone are ordered as a whole.
     """
-    fresh = new.join(old.where("issue_no is not null"), key, "left_anti")
-    dealt = fresh.withColumn("dealt", (F.row_number().over(Window.orderBy(key)) + (first - 1)).cast("long")).select(key, "dealt")
+    fresh = new.join(old.where("issue_no is not null"), key, "left_anti").select(key, coarse.alias("_coarse"))
+    before = F.sum("n").over(Window.orderBy("_coarse").rowsBetween(Window.unboundedPreceding, -1))
+    counts = fresh.groupBy("_coarse").agg(F.count(F.lit(1)).alias("n")).select("_coarse", F.coalesce(before, F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_coarse").orderBy(key))
+    dealt = fresh.join(counts, "_coarse").select(key, (place + F.col("_before") + (first - 1)).cast("long").alias("dealt"))
     o = old.select(key, F.col("issue_no").alias("_no"), F.col("title").alias("_title"))
     joined = new.join(o, key, "left").join(dealt, key, "left")
     return joined.select(key, F.coalesce("_no", "dealt").alias("issue_no"), F.coalesce(F.nullif("title", F.lit("")), "_title").alias("title"))

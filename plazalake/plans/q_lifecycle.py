@@ -39,7 +39,7 @@ def _(spark, sf):
 def _(spark, sf):
     c = table(spark, sf, "customer").withColumnRenamed("c_custkey", "day")
     old = c.where("day % 2 = 0").select("day", (F.col("day") * 2).alias("issue_no"), F.concat(F.lit("old "), "day").alias("title"))
-    return L.issue_numbers(old, c.select("day", F.expr("case when day % 4 = 0 then '' else c_name end").alias("title")), "day", 10_000_000)
+    return L.issue_numbers(old, c.select("day", F.expr("case when day % 4 = 0 then '' else c_name end").alias("title")), "day", 10_000_000, F.floor(F.col("day") / 100))
 
 
 @query("point_update", "SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN NULL WHEN c_custkey % 3 = 0 THEN 'new' ELSE c_mktsegment END AS segment FROM customer")
