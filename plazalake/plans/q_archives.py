@@ -93,10 +93,24 @@ def _(spark, sf):
     return feeds.capped(d, caps)
 
 
-@query("feed_filter", "SELECT source AS feed, CAST(count(*) FILTER (regexp_matches(text, '(?i)license|copyright')) AS BIGINT) AS skipped FROM documents WHERE text IS NOT NULL GROUP BY 1")
+_LIFE = "(?i)license|copyright"
+
+
+def _titles(spark, sf):
+    return table(spark, sf, "documents").select(F.col("source").alias("feed"), "doc_id", F.col("text").alias("title"))
+
+
+_MARKED = f"m AS (SELECT source AS feed, doc_id, coalesce(regexp_matches(text, '{_LIFE}'), false) AS hit FROM documents), k AS (SELECT feed, doc_id, row_number() OVER (PARTITION BY feed ORDER BY doc_id) AS n FROM m WHERE NOT hit)"
+
+
+@query("feed_filter", f"WITH {_MARKED}, e AS (SELECT feed, doc_id AS last FROM k WHERE n = 20) SELECT m.feed, count(*) FILTER (hit AND (last IS NULL OR doc_id < last)) AS skipped FROM m LEFT JOIN e USING (feed) GROUP BY 1")
+def _(spark, sf):
+    return feeds.filtered(_titles(spark, sf), _LIFE, 20, ("doc_id",))[1]
+
+
+@query("feed_filter_items", f"WITH {_MARKED} SELECT feed, doc_id FROM k WHERE n <= 20")
 def _(spark, sf):
-    d = table(spark, sf, "documents").where("text is not null").select(F.col("source").alias("feed"), F.col("text").alias("title"))
-    return feeds.filtered(d, "(?i)license|copyright")[1]
+    return feeds.filtered(_titles(spark, sf), _LIFE, 20, ("doc_id",))[0].select("feed", "doc_id")
 
 
 @query("excluded_posts", sql("posts", "SELECT post_id FROM posts WHERE NOT is_private AND post_id NOT IN (3, 5, 8)"))

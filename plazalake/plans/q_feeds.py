@@ -101,12 +101,50 @@ def _(spark, sf):
     return S.preference(table(spark, sf, "events").select(F.col("event_id").alias("feed"), p.alias("payload")))
 
 
-@query("feed_parse", "SELECT 'src' || (doc_id % 20) AS source, doc_id AS n, '2024-01-01T08:00:00' AS published_at FROM documents")
-def _(spark, sf):
+_CONTROL = r"[\x00-\x08\x0B\x0C\x0E-\x1F]"
+
+
+def _feed_documents(spark, sf):
+    """A feed of one document each, by doc_id % 8: RSS, RSS with content:encoded alone, Atom with two links, Atom with a summary; cut off, missing, without entries, and an item without a link before a good one."""
     d = table(spark, sf, "documents")
-    item = F.concat(F.lit("<item><title>t</title><link>https://e.com/"), "doc_id", F.lit("</link><pubDate>Mon, 1 Jan 2024 08:00:00 +0000</pubDate></item>"))
-    rows = d.select(F.concat(F.lit("src"), F.col("doc_id") % 20).alias("feed"), F.concat(F.lit("<rss><channel>"), item, F.lit("</channel></rss>")).alias("payload"))
-    return S.feed_items(rows).select("source", F.regexp_extract("url", r"(\d+)$", 1).cast("long").alias("n"), "published_at")
+    xml = lambda c: F.replace(F.replace(F.replace(F.regexp_replace(c, _CONTROL, ""), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    put = lambda *parts: F.concat(*[p if not isinstance(p, str) else F.lit(p) for p in parts])
+    text, title, link = xml("text"), put("<title>Item ", F.col("doc_id"), "</title>"), put("https://e.com/", F.col("doc_id"))
+    date, author = "<pubDate>Mon, 1 Jan 2024 08:00:00 +0000</pubDate>", put("<dc:creator>", F.col("lang"), "</dc:creator>")
+    rss = lambda *inner: put('<?xml version="1.0"?><rss xmlns:content="http://purl.org/rss/1.0/modules/content/" xmlns:dc="http://purl.org/dc/elements/1.1/"><channel><title>c</title>', *inner, "</channel></rss>")
+    item = put("<item>", title, "<link>", link, "</link>", date, author)
+    atom = put('<feed xmlns="http://www.w3.org/2005/Atom"><title>c</title><entry>', title, '<link rel="self" href="https://e.com/feed"/><link rel="alternate" href="', link, '"/><updated>2024-01-01T08:00:00Z</updated><author><name>', F.col("lang"), "</name></author>")
+    kinds = [
+        rss(item, "<description>", text, "</description><content:encoded>other</content:encoded></item>"),
+        rss(item, "<description> </description><content:encoded>", text, "</content:encoded></item>"),
+        put(atom, "<content>", text, "</content><summary>other</summary></entry></feed>"),
+        put(atom, "<summary>", text, "</summary></entry></feed>"),
+        put('<rss xmlns:dc="http://purl.org/dc/elements/1.1/"><channel>', item),
+        F.lit(None).cast("string"),
+        rss(""),
+        rss("<item><title>no link</title></item>", item, "<description>", text, "</description></item>"),
+    ]
+    payload = kinds[-1]
+    for i, k in reversed(list(enumerate(kinds[:-1]))):
+        payload = F.when(F.col("doc_id") % 8 == i, k).otherwise(payload)
+    lost = F.when(F.col("source") != "src7", payload)
+    return d.where("text is not null and lang is not null and doc_id is not null and source is not null").select("doc_id", F.col("source").alias("feed"), lost.alias("payload"))
+
+
+_FEED_ROWS = r"""f AS (SELECT source, doc_id, doc_id % 8 AS kind, lang, left(trim(regexp_replace(regexp_replace(regexp_replace(text, '[\x00-\x08\x0B\x0C\x0E-\x1F]', '', 'g'), '<[^>]+>', ' ', 'g'), '[\s\p{Z}\x85]+', ' ', 'g')), 300) AS summary,
+        CASE WHEN source = 'src7' OR doc_id % 8 = 5 THEN 'no payload' WHEN doc_id % 8 = 4 THEN 'no element found' WHEN doc_id % 8 = 6 THEN 'no entries' END AS error
+    FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL AND doc_id IS NOT NULL AND source IS NOT NULL)"""
+
+
+@query("feed_parse", f"WITH {_FEED_ROWS} SELECT source, doc_id, 'Item ' || doc_id AS title, 'https://e.com/' || doc_id AS url, lang AS author, '2024-01-01T08:00:00' AS published_at, summary FROM f WHERE error IS NULL")
+def _(spark, sf):
+    return S.feed_entries(_feed_documents(spark, sf)).where("error is null").select("source", "doc_id", "title", "url", "author", "published_at", "summary")
+
+
+@query("feed_errors", f"WITH {_FEED_ROWS} SELECT source, doc_id, error FROM f WHERE error IS NOT NULL")
+def _(spark, sf):
+    found = S.feed_entries(_feed_documents(spark, sf)).where("error is not null")
+    return found.select("source", "doc_id", F.substring_index("error", ":", 1).alias("error"))
 
 
 @query("hot_list", "SELECT s_nationkey AS feed, 'https://z.com/' || url AS url, CAST(row_number() OVER (PARTITION BY s_nationkey ORDER BY first) AS INTEGER) AS rank FROM (SELECT s_nationkey, s_suppkey % 7 AS url, min(s_suppkey) AS first FROM supplier GROUP BY ALL)")
@@ -132,11 +170,25 @@ def _(spark, sf):
     return S.trending(table(spark, sf, "supplier").select(F.col("s_suppkey").alias("feed"), page.alias("payload"))).select("feed", "rank", "full_name", "stars")
 
 
-@query("source_union_stats", sql("pool", "SELECT s AS source, count(p.id) AS fetched FROM (VALUES ('src1'), ('src2'), ('none')) n(s) LEFT JOIN pool p ON p.source = s GROUP BY 1"))
+_KEPT = 20
+
+
+def _union(spark, sf):
+    d = table(spark, sf, "documents").where("source is not null").select("source").distinct()
+    names = d.union(spark.range(1).selectExpr("'nowhere' as source"))
+    return S.union_stats(S.feed_entries(_feed_documents(spark, sf)), names, ["doc_id", "pos"], _KEPT)
+
+
+@query("source_union_items", f"WITH {_FEED_ROWS} SELECT source, doc_id, summary FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM f WHERE error IS NULL) WHERE n <= {_KEPT}")
+def _(spark, sf):
+    return _union(spark, sf)[0].select("source", "doc_id", "summary")
+
+
+@query("source_union_stats", f"""WITH {_FEED_ROWS}, n AS (SELECT DISTINCT source FROM documents WHERE source IS NOT NULL UNION ALL SELECT 'nowhere'),
+    s AS (SELECT source, count(*) FILTER (error IS NULL) AS good, count(error) AS failed, min_by(error, doc_id) FILTER (error IS NOT NULL) AS error FROM f GROUP BY 1)
+    SELECT source, least(coalesce(good, 0), {_KEPT}) AS fetched, coalesce(failed, 0) AS failed, CASE WHEN coalesce(good, 0) = 0 THEN coalesce(s.error, 'unknown source') END AS error FROM n LEFT JOIN s USING (source)""")
 def _(spark, sf):
-    p = pool(spark, sf)
-    both = S.union_sources({s: p.where(F.col("source") == s).select("id", "source") for s in ("src1", "src2")})
-    return S.source_stats(both, ["src1", "src2", "none"])
+    return _union(spark, sf)[1].withColumn("error", F.substring_index("error", ":", 1))
 
 
 @query("source_fallback", sql("pool", "SELECT id, source FROM pool WHERE source = 'src1' OR (source = 'src2' AND kind NOT IN (SELECT kind FROM pool WHERE source = 'src1'))"))

@@ -2,7 +2,7 @@
 
 An item: title, url, source, author, published_at, summary, points, rank. JSON goes
 through variants, so a payload that isn't JSON gives no rows; XML and HTML go through
-small parsers in tasks.
+small parsers in Arrow batches.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plazalake.functions.text import local_iso, parse_num
+from plazalake.sources.payloads import parse_payloads
 
 ITEM = ["title", "url", "source", "author", "published_at", "summary", "points", "rank"]
 LEAST_POINTS, MOST_HITS, MOST_ARTICLES, LEAST_ROWS = 20, 15, 20, 5
@@ -119,14 +120,20 @@ def _local(tag: str) -> str:
     return tag.rsplit("}", 1)[-1]
 
 
-def read_feed(xml: str | None) -> list[tuple]:
-    """(title, link, author, published, text) of RSS items and Atom entries; none if it isn't XML."""
-    try:
-        root = ET.fromstring(xml or "")
-    except ET.ParseError:
-        return []
+#: Fields of an entry as read_entries gives them.
+ENTRY = "title string, url string, author string, published string, summary string"
+#: Characters of a summary.
+SUMMARY = 300
+
+
+def _plain(markup: str) -> str:
+    return " ".join(unescape(re.sub(r"<[^>]+>", " ", markup)).split())[:SUMMARY]
+
+
+def read_entries(xml: str) -> list[tuple]:
+    """ENTRY of the RSS items and Atom entries that have a title and a link; fails if it isn't XML."""
     out = []
-    for el in root.iter():
+    for el in ET.fromstring(xml).iter():
         kind = _local(el.tag)
         if kind not in ("item", "entry"):
             continue
@@ -142,35 +149,67 @@ def read_feed(xml: str | None) -> list[tuple]:
             text = value("content", "summary")
         title = value("title")
         if title and link:
-            out.append((title, link, author, value("pubDate", "published", "updated"), text))
+            out.append((title, link, author, value("pubDate", "published", "updated"), _plain(text)))
     return out
 
 
-_FEED = T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("title", "url", "author", "published", "text")]))
-
-
-@F.udf(_FEED)
-def _feed(xml):
-    return read_feed(xml)
+def feed_entries(payloads: DataFrame) -> DataFrame:
+    """(feed, payload, ...) of RSS and Atom documents as items with error: one row with it for a payload that is missing, broken or empty."""
+    rows = parse_payloads(payloads, read_entries, ENTRY)
+    return rows.withColumns({"source": F.col("feed"), "published_at": local_iso(F.col("published"))}).drop("published")
 
 
 def feed_items(payloads: DataFrame) -> DataFrame:
-    """(feed, payload) of RSS and Atom documents; feed is the source's name."""
-    rows = payloads.select("feed", F.posexplode(_feed("payload")).alias("pos", "e"))
-    text = F.trim(F.regexp_replace(F.regexp_replace("e.text", "<[^>]*>", " "), r"\s+", " "))
-    return rows.select("feed", "pos", "e.title", "e.url", F.col("feed").alias("source"), "e.author", local_iso(F.col("e.published")).alias("published_at"), F.substring(text, 1, 300).alias("summary"), F.lit(None).cast("long").alias("points"), F.lit(None).cast("int").alias("rank"))
+    """The items alone, with the columns that all sources have; feed is the source's name."""
+    rows = feed_entries(payloads).where("error is null")
+    return rows.select("feed", "pos", "title", "url", "source", "author", "published_at", "summary", F.lit(None).cast("long").alias("points"), F.lit(None).cast("int").alias("rank"))
+
+
+def union_stats(rows: DataFrame, names: DataFrame, order: list[str], most: int) -> tuple[DataFrame, DataFrame]:
+    """Items and stats of several sources, each failing for itself.
+
+    rows (source, error, ...) are items and failures as feed_entries gives them; names
+    (source) are the sources that were asked for. Of each source the first `most` items in
+    this order are kept. stats: source, fetched, failed (payloads), error (the first in this
+    order; null where something was fetched, "unknown source" where nothing is known of it).
+    Reading the stats fails if no source gave anything.
+    """
+    place = F.row_number().over(Window.partitionBy("source").orderBy(*order))
+    items = rows.where("error is null").withColumn("_n", place).where(F.col("_n") <= most).drop("_n", "error")
+    bad = rows.where("error is not null").groupBy("source").agg(F.count(F.lit(1)).alias("failed"), F.min_by("error", F.struct(*order)).alias("_error"))
+    good = items.groupBy("source").agg(F.count(F.lit(1)).alias("fetched"))
+    counts = names.select("source").distinct().join(good, "source", "left").join(bad, "source", "left")
+    fetched, failed = F.coalesce("fetched", F.lit(0)), F.coalesce("failed", F.lit(0))
+    error = F.when(fetched == 0, F.coalesce("_error", F.lit("unknown source")))
+    known = counts.select("source", fetched.alias("fetched"), failed.alias("failed"), error.alias("error"))
+    whole = known.agg(F.sum("fetched").alias("_all"), F.min_by("error", "source").alias("_first"))
+    checked = F.when(F.col("_all") == 0, F.raise_error(F.concat(F.lit("all sources failed; the first: "), "_first"))).otherwise(F.col("fetched"))
+    stats = known.join(F.broadcast(whole), F.lit(True)).select("source", checked.alias("fetched"), "failed", "error")
+    return items, stats
 
 
 def capped(items: DataFrame, caps: DataFrame) -> DataFrame:
     """Items within the cap of their source (source, cap); sources without one go."""
     place = F.row_number().over(Window.partitionBy("source").orderBy("pos"))
-    return items.join(F.broadcast(caps), "source").withColumn("_n", place).where("_n <= cap").drop("_n", "cap")
+    return items.join(caps, "source").withColumn("_n", place).where("_n <= cap").drop("_n", "cap")
+
 
+def filtered(items: DataFrame, pattern: str, most: int | None = None, order: tuple[str, ...] = ("pos",)) -> tuple[DataFrame, DataFrame]:
+    """Items whose title doesn't match, the first `most` of each feed, and by feed how many do.
 
-def filtered(items: DataFrame, pattern: str) -> tuple[DataFrame, DataFrame]:
-    """Items whose title doesn't match, and by feed how many do."""
-    hit = F.col("title").rlike(pattern)
-    return items.where(~hit), items.groupBy("feed").agg(F.count_if(hit).alias("skipped"))
+    As a reader stops when it has enough, those that match after the last item kept don't count.
+    """
+    hit = F.coalesce(F.col("title").rlike(pattern), F.lit(False))
+    kept, left = items.where(~hit), items.where(hit)
+    feeds = items.select("feed").distinct()
+    if most is not None:
+        place = F.row_number().over(Window.partitionBy("feed").orderBy(*order))
+        kept = kept.withColumn("_n", place).where(F.col("_n") <= most).drop("_n")
+        end = kept.groupBy("feed").agg(F.max(F.struct(*order)).alias("_last"), F.count(F.lit(1)).alias("_n")).where(F.col("_n") == most)
+        left = left.join(end.withColumnRenamed("feed", "_feed"), F.col("feed").eqNullSafe(F.col("_feed")), "left").drop("_feed").where(F.col("_last").isNull() | (F.struct(*order) < F.col("_last")))
+    counts = left.groupBy("feed").agg(F.count(F.lit(1)).alias("skipped"))
+    found = feeds.join(counts.withColumnRenamed("feed", "_feed"), F.col("feed").eqNullSafe(F.col("_feed")), "left")
+    return kept, found.select("feed", F.coalesce("skipped", F.lit(0)).alias("skipped"))
 
 
 _ROW = re.compile(r"(?s)<article[^>]*Box-row[^>]*>(.*?)</article>")
@@ -188,14 +227,13 @@ def read_trending(html: str | None) -> list[tuple]:
     return rows if len(rows) >= LEAST_ROWS else []
 
 
-@F.udf(T.ArrayType(T.StructType([T.StructField("rank", T.IntegerType()), *[T.StructField(n, T.StringType()) for n in ("full_name", "language", "stars", "today", "desc")]])))
-def _trending(html):
-    return read_trending(html)
+TRENDING = "rank int, full_name string, language string, stars string, today string, desc string"
 
 
 def trending(payloads: DataFrame) -> DataFrame:
-    rows = payloads.select("feed", F.explode(_trending("payload")).alias("e"))
-    return rows.select("feed", "e.rank", "e.full_name", F.nullif("e.language", F.lit("")).alias("language"), parse_num(F.col("e.stars")).alias("stars"), parse_num(F.col("e.today")).alias("today_stars"), F.coalesce(F.nullif("e.desc", F.lit("")), F.lit("(无描述)")).alias("desc"))
+    """feed, rank, full_name, language, stars, today_stars, desc; pages that aren't such lists give nothing."""
+    rows = parse_payloads(payloads, read_trending, TRENDING).where("error is null")
+    return rows.select("feed", "rank", "full_name", F.nullif("language", F.lit("")).alias("language"), parse_num(F.col("stars")).alias("stars"), parse_num(F.col("today")).alias("today_stars"), F.coalesce(F.nullif("desc", F.lit("")), F.lit("(无描述)")).alias("desc"))
 
 
 def hot_list(payloads: DataFrame, pattern: str) -> DataFrame:
@@ -240,10 +278,3 @@ def union_sources(parts: dict[str, DataFrame]) -> DataFrame:
     for f in frames[1:]:
         out = out.unionByName(f, allowMissingColumns=True)
     return out
-
-
-def source_stats(items: DataFrame, names: list[str]) -> DataFrame:
-    """source, fetched: of all names, 0 where nothing came."""
-    spark = items.sparkSession
-    known = spark.createDataFrame([(n,) for n in names], "source string")
-    return known.join(items.groupBy("source").agg(F.count(F.lit(1)).alias("fetched")), "source", "left").select("source", F.coalesce("fetched", F.lit(0)).alias("fetched"))

@@ -241,14 +241,6 @@ def test_paragraph_cut_and_hash(spark):
     assert row == hashlib.sha256(json.dumps({"a": None, "z": 'é"\n'}, ensure_ascii=False, separators=(",", ":")).encode()).hexdigest()
 
 
-def test_feeds():
-    rss = "<rss xmlns:c='http://purl.org/rss/1.0/modules/content/'><channel><item><title>T</title><link>http://e.com</link><description> </description><c:encoded>body</c:encoded></item><item><title>no link</title></item></channel></rss>"
-    atom = "<feed xmlns='http://www.w3.org/2005/Atom'><entry><title>A</title><link rel='self' href='s'/><link href='http://a.com'/><updated>2024</updated><author><name>N</name></author><summary>s</summary></entry></feed>"
-    assert feeds.read_feed(rss) == [("T", "http://e.com", "", "", "body")]
-    assert feeds.read_feed(atom) == [("A", "http://a.com", "N", "2024", "s")]
-    assert feeds.read_feed("<broken") == [] and feeds.read_trending("<html/>") == []
-
-
 def test_rate_limit_counts_accepted_only():
     accepted, recent = jobs.admit([0, 1, 2, 3, 4, 5, 6, 10.5, 11.5], [])
     assert accepted == [True] * 5 + [False, False, True, True] and len(recent) == 5
