@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plazalake.functions.text import normalize_url
-from plazalake.sources.shared import cut
+from plazalake.sources.shared import cut, discard
 
 THRESHOLD = 0.85
 #: Of the length of a title, the least length of a partner: M <= min(a, b) and 2M >= t(a + b).
@@ -72,71 +72,171 @@ def similar_titles(titles: DataFrame) -> DataFrame:
     return near.where(title_ratio("new", "old") >= THRESHOLD).union(titles.select("t", "t"))
 
 
-def fuzzy_pairs(items: DataFrame, others: DataFrame | None = None) -> DataFrame:
-    """a, b: of items (id, ord, url, title) those that are the same as an earlier one, or as one of others.
+def _forms(items: DataFrame) -> DataFrame:
+    """id, ord, u, t of items (id, ord, url, title): the normalised URL and the lower-case title, empty where there is none."""
+    return items.select("id", "ord", F.coalesce(normalize_url(F.col("url")), F.lit("")).alias("u"), F.lower(F.coalesce("title", F.lit(""))).alias("t"))
 
-    The same normalised URL, or a title ratio of THRESHOLD at least.
+
+def _titles(*rows: DataFrame) -> DataFrame:
+    found = rows[0].select("t")
+    for more in rows[1:]:
+        found = found.union(more.select("t"))
+    return found.where("t <> ''").distinct()
+
+
+def _around(near: DataFrame, by_title: DataFrame) -> DataFrame:
+    """new and the columns of by_title (t, ...), each the least of all titles that new is similar to."""
+    kept = [c for c in by_title.columns if c != "t"]
+    return near.join(by_title, near["old"] == by_title["t"]).groupBy("new").agg(*[F.min(c).alias(c) for c in kept])
+
+
+def fuzzy_links(items: DataFrame) -> DataFrame:
+    """id, class_id, links of each of items (id, ord, url, title).
+
+    class_id is the first id with that normalised URL and that title; links is the number of
+    other items that this one is the same as: by the URL, or by a title ratio of THRESHOLD
+    at least. Copies are counted, never joined with each other; title_links has the pairs of
+    different titles. An item without a URL and a title is alone.
     """
-    form = lambda df: df.select("id", "ord", normalize_url(F.col("url")).alias("u"), F.lower(F.coalesce("title", F.lit(""))).alias("t"))
-    rows = form(items)
-    old = rows if others is None else form(others)
-    before = F.col("x.ord") > F.col("y.ord") if others is None else F.lit(True)
-    by_url = rows.alias("x").join(old.alias("y"), (F.col("x.u") == F.col("y.u")) & (F.col("x.u") != "") & before).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-    near = similar_titles(rows.select("t").union(old.select("t")).where("t <> ''").distinct())
-    by_title = rows.select("id", "ord", F.col("t").alias("new")).join(near, "new").alias("x").join(old.alias("y"), (F.col("x.old") == F.col("y.t")) & before)
-    found = by_url.union(by_title.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")))
-    return (found.where("a <> b") if others is None else found).distinct()
-
-
-def components(pairs: DataFrame) -> DataFrame:
-    """id, component of all ids in pairs: the least id reachable."""
-    edges = pairs.select("a", "b").union(pairs.select("b", "a")).distinct()
-    edges = cut(edges, "pairs")
-    label = edges.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("c")).withColumnRenamed("a", "id")
-    label = cut(label, "labels")
+    rows = cut(_forms(items), "forms")
+    near = cut(similar_titles(_titles(rows)), "near")
+    both = rows.groupBy("u", "t").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("ord", "id")).alias("first"))
+    by_url = both.where("u <> ''").groupBy("u").agg(F.sum("n").alias("of_url"))
+    by_title = both.where("t <> ''").groupBy("t").agg(F.sum("n").alias("n"))
+    of_title = near.join(by_title, near["old"] == by_title["t"]).groupBy(F.col("new").alias("t")).agg(F.sum("n").alias("of_title"))
+    old = both.where("u <> '' and t <> ''").select(F.col("u").alias("_u"), F.col("t").alias("_t"), "n")
+    pairs = both.where("u <> '' and t <> ''").select("u", "t").join(near, F.col("t") == F.col("new")).select("u", "t", "old")
+    twice = pairs.join(old, (F.col("u") == F.col("_u")) & (F.col("old") == F.col("_t"))).groupBy("u", "t").agg(F.sum("n").alias("twice"))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    total = zero("of_url") + zero("of_title") - zero("twice") - F.when((F.col("u") != "") | (F.col("t") != ""), 1).otherwise(0)
+    counted = both.join(by_url, "u", "left").join(of_title, "t", "left").join(twice, ["u", "t"], "left").select("u", "t", F.col("first.id").alias("_first"), total.alias("links"))
+    alone = (F.col("u") == "") & (F.col("t") == "")
+    return rows.join(counted, ["u", "t"]).select("id", F.when(alone, F.col("id")).otherwise(F.col("_first")).alias("class_id"), "links")
+
+
+def title_links(items: DataFrame) -> DataFrame:
+    """a, b: of each two different titles of a ratio of THRESHOLD at least (a's against b's) the first ids that have them."""
+    rows = _forms(items).where("t <> ''")
+    first = cut(rows.groupBy("t").agg(F.min(F.struct("ord", "id"))["id"].alias("id")), "first")
+    near = similar_titles(first.select("t")).where("new <> old")
+    return near.join(first.select(F.col("t").alias("new"), F.col("id").alias("a")), "new").join(first.select(F.col("t").alias("old"), F.col("id").alias("b")), "old").select("a", "b")
+
+
+#: Rounds over groups before what is left is decided over pairs, and pairs for each undecided item that this may take.
+GROUP_ROUNDS, PAIRS = 6, 32
+
+
+def _settle(left: DataFrame, pairs: DataFrame) -> DataFrame:
+    """id, kept of items (id) of which one goes if it has a pair (r, p) with p kept.
+
+    An item without pairs is kept; known states are put in; an item that depends on one
+    other alone is its opposite, so whoever depends on it can look to that other instead.
+    So chains halve in every round, whatever their order.
+    """
+    todo, lits, done = left.select("id"), cut(pairs.select("r", "p", F.lit(False).alias("neg")).distinct(), "pairs"), []
+    before = None
+    while True:
+        free = todo.join(lits.select(F.col("r").alias("id")).distinct(), "id", "left_anti").select("id", F.lit(True).alias("kept"))
+        torn = lits.groupBy("r", "p").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("r").alias("id"), F.lit(False).alias("kept"))
+        known = free.union(torn.distinct())
+        if before is not None:
+            known = known.union(before)
+        seen = lits.join(known.select(F.col("id").alias("p"), "kept"), "p", "left").withColumn("v", F.col("kept") != F.col("neg"))
+        hit = seen.groupBy("r").agg(F.coalesce(F.bool_or("v"), F.lit(False)).alias("hit")).where("hit").select(F.col("r").alias("id"), F.lit(False).alias("kept"))
+        now = cut(free.union(torn.distinct()).union(hit).groupBy("id").agg(F.bool_and("kept").alias("kept")), "settled")
+        done.append(now)
+        rest = seen.where("v is null").select("r", "p", "neg").join(now.select(F.col("id").alias("r")), "r", "left_anti")
+        single = rest.groupBy("r").agg(F.count(F.lit(1)).alias("n"), F.first("p").alias("q"), F.first("neg").alias("m")).where("n = 1").select(F.col("r").alias("p"), "q", "m")
+        jumped = rest.join(single, "p", "left").select("r", F.coalesce("q", "p").alias("p"), F.when(F.col("q").isNull(), F.col("neg")).otherwise(F.col("neg") == F.col("m")).alias("neg"))
+        following, todo_next = cut(jumped.distinct(), "pairs"), cut(todo.join(now, "id", "left_anti"), "todo")
+        discard(lits)
+        if len(done) > 1:
+            discard(todo)
+        lits, todo, before = following, todo_next, now
+        if not todo.take(1):
+            break
+    out = done[0]
+    for more in done[1:]:
+        out = out.union(more)
+    return out
+
+
+def _choose(reps: DataFrame, near: DataFrame) -> DataFrame:
+    """id, o, u, t of those of reps (id, o, u, t) that are kept, going by o: one goes if an earlier one that is kept is the same.
+
+    Each round decides by URL and by title, of which it needs the earliest item that is kept
+    or open: an item goes if one before it is kept, and stays if it is the earliest itself.
+    So copies, stars and cliques take two rounds. What is left after GROUP_ROUNDS, chains
+    in order, is decided over pairs, if those aren't many more than the items.
+    """
+    kept, left, rounds = reps.where(F.lit(False)), reps, 0
     while True:
-        seen = edges.join(label, edges["b"] == label["id"]).groupBy("a").agg(F.min("c").alias("n"))
-        following = cut(label.join(seen, label["id"] == seen["a"]).select("id", F.least("c", "n").alias("c")), "labels")
-        moved = following.join(label.withColumnRenamed("c", "was"), "id").where("c <> was").take(1)
-        label = following
-        if not moved:
-            return label.withColumnRenamed("c", "component")
+        rounds += 1
+        live = kept.withColumn("k", F.col("o")).unionByName(left.withColumn("k", F.lit(None).cast(reps.schema["o"].dataType)))
+        by_title = live.where("t <> ''").groupBy("t").agg(F.min("o").alias("mt"), F.min("k").alias("kt"))
+        by_url = live.where("u <> ''").groupBy("u").agg(F.min("o").alias("mu"), F.min("k").alias("ku"))
+        seen = left.join(_around(near, by_title).withColumnRenamed("new", "t"), "t", "left").join(by_url, "u", "left")
+        gone = F.coalesce(F.col("kt") < F.col("o"), F.lit(False)) | F.coalesce(F.col("ku") < F.col("o"), F.lit(False))
+        first = F.coalesce(F.col("mt") >= F.col("o"), F.lit(True)) & F.coalesce(F.col("mu") >= F.col("o"), F.lit(True))
+        state = cut(seen.select("id", "o", "u", "t", F.when(gone, "gone").when(first, "kept").otherwise("open").alias("state")), "state")
+        if rounds > GROUP_ROUNDS:
+            rest = cut(state.where("state <> 'gone'").drop("state"), "open")
+            n, x, y = rest.count(), rest.alias("x"), rest.alias("y")
+            of_title = near.join(x.groupBy("t").agg(F.count(F.lit(1)).alias("a")), F.col("new") == F.col("t")).drop("t").join(y.groupBy("t").agg(F.count(F.lit(1)).alias("b")), F.col("old") == F.col("t"))
+            of_url = rest.where("u <> ''").groupBy("u").agg(F.count(F.lit(1)).cast("double").alias("n"))
+            many = (of_title.agg(F.sum(F.col("a").cast("double") * F.col("b"))).first()[0] or 0) + (of_url.agg(F.sum(F.col("n") * F.col("n"))).first()[0] or 0)
+            if many <= PAIRS * n:
+                earlier = F.col("y.o") < F.col("x.o")
+                by_url = x.join(y, (F.col("x.u") == F.col("y.u")) & (F.col("x.u") != "") & earlier)
+                by_title = x.join(near, F.col("x.t") == F.col("new")).join(y, (F.col("old") == F.col("y.t")) & earlier)
+                pair = [F.col("x.id").alias("r"), F.col("y.id").alias("p")]
+                chosen = _settle(rest, by_url.select(*pair).union(by_title.select(*pair))).where("kept").select("id")
+                return kept.unionByName(rest.join(chosen, "id", "left_semi"))
+            discard(rest)
+        more = cut(kept.unionByName(state.where("state = 'kept'").drop("state")), "kept")
+        rest = cut(state.where("state = 'open'").drop("state"), "open")
+        discard(state)
+        if rounds > 1:
+            discard(kept)
+            discard(left)
+        kept, left = more, rest
+        if not left.take(1):
+            return kept
 
 
 def greedy_dedup(items: DataFrame, history: DataFrame | None = None) -> DataFrame:
-    """id, kept, dup_of: in order of ord an item goes if it is the same as one of history, else as one kept before.
+    """id, kept, dup_of of items (id, ord, url, title): in order of ord (then id) an item goes if it is the same
+    as one of history (the first in its order), else as one kept before (the first of those).
 
-    Decisions depend on matching pairs only, and those never cross components, so
-    each component is decided on its own, in order.
+    Items of one URL and one title share the fate of their first; between those that are left
+    the choice is made in rounds of joins, never in one task.
     """
-    pairs = cut(fuzzy_pairs(items), "fuzzy")
-    ids = items.select("id", "ord")
-    past = None
-    if history is not None:
-        hits = fuzzy_pairs(items, history).join(history.select(F.col("id").alias("b"), F.col("ord").alias("bo")), "b")
-        past = cut(hits.groupBy("a").agg(F.min_by("b", "bo").alias("past")).withColumnRenamed("a", "id"), "past")
-        ids = ids.join(past, "id", "left")
+    rows = cut(_forms(items).withColumn("o", F.struct("ord", "id")).drop("ord"), "forms")
+    past = None if history is None else cut(_forms(history), "history")
+    near = cut(similar_titles(_titles(rows) if past is None else _titles(rows, past)), "near")
+    alone = (F.col("u") == "") & (F.col("t") == "")
+    whole = rows.where(~alone)
+    reps = whole.groupBy("u", "t").agg(F.min("o").alias("o"))
+    kind = items.schema["id"].dataType
+    if past is None:
+        reps = reps.withColumn("past", F.lit(None).cast(kind))
     else:
-        ids = ids.withColumn("past", F.lit(None).cast(items.schema["id"].dataType))
-    comp = components(pairs)
-    linked = ids.join(comp, "id")
-    near = linked.join(pairs.groupBy("a").agg(F.collect_list("b").alias("near")).withColumnRenamed("a", "id"), "id", "left")
-    key = items.schema["id"].dataType.simpleString()
-
-    def decide(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ord")
-        order, kept, out = {}, set(), []
-        for at, (i, p, n) in enumerate(zip(pdf["id"], pdf["past"], pdf["near"], strict=True)):
-            order[i] = at
-            hit = p if p is not None and not pd.isna(p) else min((x for x in (n if n is not None else ()) if x in kept), key=order.get, default=None)
-            if hit is None:
-                kept.add(i)
-            out.append((i, hit is None, hit))
-        return pd.DataFrame(out, columns=["id", "kept", "dup_of"]).astype({"dup_of": "object"})
-
-    decided = near.groupBy("component").applyInPandas(lambda pdf: decide(pdf), f"id {key}, kept boolean, dup_of {key}")
-    alone = ids.join(comp, "id", "left_anti").select("id", F.col("past").isNull().alias("kept"), F.col("past").alias("dup_of"))
-    return decided.unionByName(alone)
+        order = F.struct("ord", "id")
+        by_title = _around(near, past.where("t <> ''").groupBy("t").agg(F.min(order).alias("pt"))).withColumnRenamed("new", "t")
+        by_url = past.where("u <> ''").groupBy("u").agg(F.min(order).alias("pu"))
+        reps = reps.join(by_title, "t", "left").join(by_url, "u", "left").withColumn("past", F.least("pt", "pu")["id"].cast(kind)).drop("pt", "pu")
+    reps = cut(reps.withColumn("id", F.col("o.id")), "classes")
+    kept = cut(_choose(reps.where("past is null").select("id", "o", "u", "t"), near), "kept")
+    by_title = _around(near, kept.where("t <> ''").groupBy("t").agg(F.min("o").alias("kt"))).withColumnRenamed("new", "t")
+    by_url = kept.where("u <> ''").groupBy("u").agg(F.min("o").alias("ku"))
+    into = reps.join(by_title, "t", "left").join(by_url, "u", "left").select("u", "t", F.coalesce("past", F.least("kt", "ku")["id"]).alias("into"))
+    found = whole.join(into, ["u", "t"]).select("id", (F.col("into") == F.col("id")).alias("kept"), F.when(F.col("into") != F.col("id"), F.col("into")).alias("dup_of"))
+    if past is not None:  # an id of history may be that of an item
+        hit = reps.where("past is not null").select("u", "t", F.lit(True).alias("_past"))
+        found = whole.join(into, ["u", "t"]).join(hit, ["u", "t"], "left")
+        stays = F.col("_past").isNull() & (F.col("into") == F.col("id"))
+        found = found.select("id", stays.alias("kept"), F.when(~stays, F.col("into")).alias("dup_of"))
+    return found.unionByName(rows.where(alone).select("id", F.lit(True).alias("kept"), F.lit(None).cast(kind).alias("dup_of")))
 
 
 def pool_upsert(items: DataFrame, pool: DataFrame, history: DataFrame, since: str) -> DataFrame:
@@ -158,8 +258,16 @@ def pool_upsert(items: DataFrame, pool: DataFrame, history: DataFrame, since: st
 
 
 def merge_news(items: DataFrame) -> DataFrame:
-    """Items over days merged with the first that is the same: id, days (occurrences), first_day, summaries in order."""
-    found = greedy_dedup(items).select(F.col("id"), F.coalesce("dup_of", "id").alias("into"))
-    rows = items.join(found, "id")
-    text = F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("ord", "summary"))), lambda x: x["summary"]))
-    return rows.groupBy(F.col("into").alias("id")).agg(F.count(F.lit(1)).alias("days"), F.min("day").alias("first_day"), text.alias("summaries"))
+    """Items (id, ord, url, title, day, summary) over days merged with the first that is the same, best first.
+
+    id, title, url of that first, days (occurrences), first_day, summaries: its own, empty if
+    it has none, then the others that aren't empty, each once, in order.
+    """
+    found = greedy_dedup(items).select("id", F.coalesce("dup_of", "id").alias("into"))
+    rows = items.join(found, "id").withColumns({"o": F.struct("ord", "id"), "summary": F.coalesce("summary", F.lit(""))})
+    each = rows.groupBy("into", "summary").agg(F.min("o").alias("o"), F.count(F.lit(1)).alias("n"), F.min(F.struct("o", "day")).alias("d"))
+    merged = each.groupBy("into").agg(F.sum("n").alias("days"), F.min("d")["day"].alias("first_day"), F.array_sort(F.collect_list(F.struct("o", "summary"))).alias("_all"))
+    texts = F.transform("_all", lambda x: x["summary"])
+    summaries = F.filter(texts, lambda x, i: (i == 0) | (x != ""))
+    head = items.select(F.col("id").alias("into"), "title", "url")
+    return merged.join(head, "into").select(F.col("into").alias("id"), "title", "url", "days", "first_day", summaries.alias("summaries")).orderBy(F.desc("days"), "first_day", "id")

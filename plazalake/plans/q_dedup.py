@@ -17,7 +17,8 @@ def _items(spark, sf):
     return pool(spark, sf).select("id", F.col("id").alias("ord"), "url", "title", F.to_date("first_seen").alias("day"), F.substring("title", 1, 20).alias("summary"))
 
 
-QUERIES["fuzzy_pairs"] = lambda spark, sf: D.fuzzy_pairs(_items(spark, sf))
+QUERIES["fuzzy_links"] = lambda spark, sf: D.fuzzy_links(_items(spark, sf))
+QUERIES["fuzzy_pairs"] = lambda spark, sf: D.title_links(_items(spark, sf))
 QUERIES["greedy_dedup"] = lambda spark, sf: D.greedy_dedup(_items(spark, sf))
 QUERIES["news_merge"] = lambda spark, sf: D.merge_news(_items(spark, sf))
 
