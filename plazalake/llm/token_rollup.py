@@ -10,11 +10,12 @@ committed batches; compact() folds them into one and keeps their ids.
 from __future__ import annotations
 
 import uuid
+from urllib.parse import quote, unquote
 
 import numpy as np
 import pyarrow as pa
 from pyspark import SparkFiles
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .byte_bpe import CACHE_BYTES, ENTRY_BYTES, Encoder, read_ranks, ship
@@ -24,9 +25,15 @@ KEYS = ["source", "lang", "version"]
 DELTAS = "source string, lang string, version string, n_docs long, n_tokens long"
 
 
+def _times(rows: DataFrame) -> Column:
+    """How many documents a row stands for: its column times, else one."""
+    return F.col("times").cast("long") if "times" in rows.columns else F.lit(1).cast("long")
+
+
 def inserts(counts: DataFrame) -> DataFrame:
-    """Deltas of (source, lang, version, n_tokens) rows that come to the corpus."""
-    return counts.select(*KEYS, F.lit(1).cast("long").alias("n_docs"), F.col("n_tokens").cast("long").alias("n_tokens"))
+    """Deltas of (source, lang, version, n_tokens) rows, times each, that come to the corpus."""
+    n = _times(counts)
+    return counts.select(*KEYS, n.alias("n_docs"), (F.col("n_tokens").cast("long") * n).alias("n_tokens"))
 
 
 def deletes(counts: DataFrame) -> DataFrame:
@@ -35,8 +42,9 @@ def deletes(counts: DataFrame) -> DataFrame:
 
 
 def revisions(changes: DataFrame) -> DataFrame:
-    """Deltas of (source, lang, version, old_tokens, new_tokens) rows: documents stay, counts change."""
-    return changes.select(*KEYS, F.lit(0).cast("long").alias("n_docs"), (F.col("new_tokens") - F.col("old_tokens")).cast("long").alias("n_tokens"))
+    """Deltas of (source, lang, version, old_tokens, new_tokens) rows, times each: documents stay, counts change."""
+    change = (F.col("new_tokens") - F.col("old_tokens")).cast("long") * _times(changes)
+    return changes.select(*KEYS, F.lit(0).cast("long").alias("n_docs"), change.alias("n_tokens"))
 
 
 class Rollup:
@@ -53,7 +61,21 @@ class Rollup:
         found = [s.getPath().getName() for s in self._fs.listStatus(self._path(self.path))] if self._fs.exists(self._path(self.path)) else []
         base = max((x for x in found if x.startswith("base=")), key=lambda x: int(x.removeprefix("base=")), default=None)
         folded = {r[0] for r in self.spark.read.schema("id string").parquet(f"{self.path}/{base}/ids").collect()} if base else set()
-        return base, folded, [x for x in sorted(y.removeprefix("batch=") for y in found if y.startswith("batch=")) if x not in folded]
+        return base, folded, [x for x in sorted(unquote(y.removeprefix("batch=")) for y in found if y.startswith("batch=")) if x not in folded]
+
+    def _at(self, batch_id: str) -> str:
+        """The folder of a batch; an id may hold any characters."""
+        return f"{self.path}/batch={quote(batch_id, safe='')}"
+
+    def has(self, batch_id: str) -> bool:
+        """Whether that id was committed; ids that were folded are looked up in their table, not gathered."""
+        if self._fs.exists(self._path(self._at(batch_id))):
+            return True
+        if not self._fs.exists(self._path(self.path)):
+            return False
+        bases = [x for x in (s.getPath().getName() for s in self._fs.listStatus(self._path(self.path))) if x.startswith("base=")]
+        newest = max(bases, key=lambda x: int(x.removeprefix("base=")), default=None)
+        return bool(newest) and bool(self.spark.read.schema("id string").parquet(f"{self.path}/{newest}/ids").where(F.col("id") == batch_id).take(1))
 
     def committed(self) -> list[str]:
         """Ids of all batches, compacted ones too."""
@@ -80,15 +102,15 @@ class Rollup:
         Written aside and renamed, so that a batch is seen whole or not at all; of two
         writers with the same id the second one's rows go.
         """
-        if batch_id in self.committed():
+        if self.has(batch_id):
             return False
         aside = f"{self.path}/_aside-{uuid.uuid4().hex}"
         sums = deltas.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
         sums.where("n_docs <> 0 or n_tokens <> 0").write.parquet(aside)
-        return self._place(aside, f"{self.path}/batch={batch_id}")
+        return self._place(aside, self._at(batch_id))
 
     def _totals(self, base: str | None, beside: list[str]) -> DataFrame:
-        paths = [f"{self.path}/batch={x}" for x in beside] + ([f"{self.path}/{base}/sums"] if base else [])
+        paths = [self._at(x) for x in beside] + ([f"{self.path}/{base}/sums"] if base else [])
         rows = self.spark.read.schema(DELTAS).parquet(*paths) if paths else self.spark.createDataFrame([], DELTAS)
         sums = rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
         return sums.where("n_docs <> 0 or n_tokens <> 0")
@@ -112,8 +134,8 @@ class Rollup:
         self.spark.createDataFrame([(x,) for x in sorted(folded.union(beside))], "id string").coalesce(1).write.parquet(f"{aside}/ids")
         if not self._place(aside, f"{self.path}/base={number}"):
             return False
-        for x in [f"batch={x}" for x in beside] + ([base] if base else []):
-            self._fs.delete(self._path(f"{self.path}/{x}"), True)
+        for x in [self._at(x) for x in beside] + ([f"{self.path}/{base}"] if base else []):
+            self._fs.delete(self._path(x), True)
         return True
 
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, slices
+from .common import cut, join_hot, slices
 from .seekable import BundleReader, BundleWriter
 
 FRAME_BYTES, BUNDLE_BYTES = 256 << 10, 4 << 20
@@ -77,15 +77,16 @@ def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     """id, url, html and refers_to: the page to revisit, null for responses.
 
     Of equal payloads of at least least_bytes, the largest id is the response. Rows
-    meet by digest with their ids alone. A page with a null id is always a response,
+    meet by digest with their ids alone, those of a very frequent payload in several tasks. A page with a null id is always a response,
     and never one that others revisit. Rows that repeat the largest id are responses.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
     # SHA-256 finds equal payloads; the records carry SHA-1, which can be forged
     digest = F.when((F.octet_length("html") >= least_bytes) & F.col("id").isNotNull(), F.unhex(F.sha2("html", 256)))
     rows = rows.withColumn("digest", digest)
-    many = rows.where("digest is not null").groupBy("digest").agg(F.max("id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    small = rows.select("id", "digest").where("digest is not null").join(many, "digest")
+    known = cut(rows.select("id", "digest").where("digest is not null"), "digests")
+    many = known.groupBy("digest").agg(F.max("id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    small = join_hot(known, many.drop("n"), "digest", many)
     small = small.where("id <> refers_to").groupBy("id", "digest").agg(F.max("refers_to").alias("refers_to"))
     return rows.join(small, ["id", "digest"], "left").select("id", "url", "html", "refers_to")
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from .common import cut, hold, slices
+from .common import cut, discard, hold, slices
 
 WINDOW = 10
 #: Benchmark text per broadcast; a larger benchmark passes over the documents block by block.
@@ -112,6 +112,15 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str):
     yield context.broadcast(block), uuid.uuid4().hex
 
 
+def _pass(rows: DataFrame, block, before: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """Run a pass: its result as a table, twice; the block that was broadcast for it goes, and so does the table it read."""
+    table = cut(rows, "searched")
+    block.destroy()
+    if before is not None:
+        discard(before)
+    return table, table
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """One row per row of docs: id, n_words, spans (word positions, merged), item_ids (sorted as text).
 
@@ -127,11 +136,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumns(
         {"n_words": F.lit(0), "spans": F.lit(None).cast(spans), "item_ids": F.lit(None).cast("array<string>")}
     )
-    blocks = 0
+    blocks, last, table = 0, None, None
     for shared, token in _blocks(benchmark, item_col, item_text_col):
-        if blocks:
-            rows = cut(rows, "searched")
-        blocks += 1
+        if last is not None:
+            rows, table = _pass(rows, last, table)
+        blocks, last = blocks + 1, shared
 
         def search(batches, shared=shared, token=token):
             matchers = hold(("wu_manber", token), lambda: build(shared.value, window))
@@ -165,7 +174,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """The rows of docs, with all their columns, in whose text no window of an item occurs."""
     at = docs.columns.index(text_col)
-    for number, (shared, token) in enumerate(_blocks(benchmark, item_col, item_text_col)):
+    last, table = None, None
+    for shared, token in _blocks(benchmark, item_col, item_text_col):
+        if last is not None:
+            docs, table = _pass(docs, last, table)
+        last = shared
 
         def run(batches, shared=shared, token=token):
             matchers = hold(("wu_manber", token), lambda: build(shared.value, window))
@@ -173,6 +186,5 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
                 hit = [any(True for m in matchers for _ in m.find(words)) for words in map(words_of, batch.column(at).to_pylist())]
                 yield batch.filter(pa.array([not x for x in hit], pa.bool_()))
 
-        rows = cut(docs, "searched") if number else docs
-        docs = rows.mapInArrow(run, StructType([StructField(f.name, f.dataType) for f in docs.schema]))
+        docs = docs.mapInArrow(run, StructType([StructField(f.name, f.dataType) for f in docs.schema]))
     return docs
