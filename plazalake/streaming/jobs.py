@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import logging
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from time import sleep
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+from plazalake.streaming.index import Index
 
 log = logging.getLogger(__name__)
 LIMIT, SPAN_SECONDS = 5, 10.0
@@ -57,24 +59,13 @@ def watch(sync: Callable[[], None], clean: Callable[[], None], cycles: int | Non
     return failed
 
 
-def sync_stream(spark: SparkSession, source: str, schema, index_path: str, checkpoint: str, key: str = "id"):
-    """Keep an index table up to date with files that arrive in source: each id once, as it first came.
-
-    A batch that is repeated after a failure writes the same folder again.
-    """
+def sync_stream(spark: SparkSession, source: str, schema, index_path: str, checkpoint: str, key: str = "id", newest: str | None = None, time: str | None = None):
+    """Keep an index up to date with files that arrive in source; a batch that is repeated after a failure changes nothing."""
+    stream = spark.readStream.schema(schema).parquet(source)
 
     def upsert(batch: DataFrame, number: int) -> None:
-        parts = [f"{index_path}/batch={i}" for i in range(number)]
-        jvm = batch.sparkSession.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path
-        fs = path(index_path).getFileSystem(batch.sparkSession.sparkContext._jsc.hadoopConfiguration())
-        parts = [p for p in parts if fs.exists(path(p))]
-        new = batch.dropDuplicates([key])
-        if parts:
-            new = new.join(batch.sparkSession.read.schema(batch.schema).parquet(*parts).select(key), key, "left_anti")
-        new.write.mode("overwrite").parquet(f"{index_path}/batch={number}")
+        Index(batch.sparkSession, index_path, schema, key, newest, time).apply(batch, number)
 
-    stream = spark.readStream.schema(schema).parquet(source)
     return stream.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
@@ -90,24 +81,110 @@ def admit(times: list[float], recent: list[float], limit: int = LIMIT, span: flo
     return out, recent
 
 
-def limit_requests(stream: DataFrame) -> DataFrame:
-    """(client, ts in seconds) with accepted: a client's last LIMIT accepted times are its state."""
+class _Limit(StatefulProcessor):
+    """Requests wait in a map by time until the watermark has passed them; a timer for each time takes them in order.
 
-    def step(key, frames, state):
-        recent = list(state.get[0]) if state.exists else []
-        times = sorted(t for f in frames for t in f["ts"].tolist())
-        accepted, recent = admit(times, recent)
-        state.update((recent,))
-        yield pd.DataFrame({"client": [key[0]] * len(times), "ts": times, "accepted": accepted})
+    The list holds the accepted times of the last span. A timer after that empties it, so
+    a client that is quiet has no state.
+    """
 
-    return stream.groupBy("client").applyInPandasWithState(step, ACCEPTED, "recent array<double>", "append", GroupStateTimeout.NoTimeout)
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "ms long", "times array<long>")
+        self.recent = handle.getListState("recent", "at long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802
+        for row in rows:
+            at = row["_at"]
+            ms = -(-at // 1000)
+            known = list(self.waiting.getValue((ms,))[0]) if self.waiting.containsKey((ms,)) else []
+            self.waiting.updateValue((ms,), ([*known, at],))
+            self.handle.registerTimer(ms)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        times = sorted(self.waiting.getValue((now,))[0]) if self.waiting.containsKey((now,)) else []
+        recent = sorted(r[0] for r in self.recent.get()) if self.recent.exists() else []
+        span = int(SPAN_SECONDS * 1_000_000)
+        if times:
+            self.waiting.removeKey((now,))
+            accepted, recent = admit(times, recent, LIMIT, span)
+        else:
+            accepted = []
+            recent = [t for t in recent if now * 1000 - t <= span]
+        if recent:
+            self.recent.put([(t,) for t in recent])
+            self.handle.registerTimer(-(-(recent[-1] + span) // 1000) + 1)
+        else:
+            self.recent.clear()
+        for t, ok in zip(times, accepted, strict=True):
+            yield Row(client=key[0], at=t, accepted=ok)
+
+    def close(self) -> None:
+        pass
+
+
+def limit_requests(stream: DataFrame, delay: str = "1 minute") -> DataFrame:
+    """(client, at timestamp) with accepted, in the order of at: LIMIT requests in SPAN_SECONDS, of which only accepted ones count.
+
+    A request is decided when nothing older than it by `delay` can come any more; later
+    ones are lost, as late rows are. Needs the RocksDB state store.
+    """
+    rows = stream.withWatermark("at", delay).select("client", "at", F.unix_micros("at").alias("_at"))
+    found = rows.groupBy("client").transformWithState(_Limit(), "client string, at long, accepted boolean", "append", "eventTime")
+    return found.withColumn("at", F.timestamp_micros("at"))
 
 
-def limit_requests_batch(rows: DataFrame) -> DataFrame:
-    """The same over a table, a client's requests in order."""
+class _Cool(StatefulProcessor):
+    """Until when a source rests; its timer ends that."""
 
-    def step(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ts")
-        return pdf.assign(accepted=admit(pdf["ts"].tolist(), [])[0])[["client", "ts", "accepted"]]
+    def __init__(self, hours: float):
+        self.ms = int(hours * 3_600_000)
 
-    return rows.select("client", "ts").groupBy("client").applyInPandas(step, ACCEPTED)
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.until = handle.getValueState("until", "ms long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802
+        last = max(row["_ms"] for row in rows) + self.ms
+        held = self.until.get()[0] if self.until.exists() else None
+        if held is None or last > held:
+            if held is not None:
+                self.handle.deleteTimer(held)
+            self.until.update((last,))
+            self.handle.registerTimer(last)
+            yield Row(source=key[0], until=last, resting=True)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802
+        last = self.until.get()[0]
+        self.until.clear()
+        yield Row(source=key[0], until=last, resting=False)
+
+    def close(self) -> None:
+        pass
+
+
+def cool_down(stream: DataFrame, hours: float = 24, codes: tuple[int, ...] = (403, 405), delay: str = "1 minute") -> DataFrame:
+    """source, until, resting of (source, at, code): a row when a refused source begins to rest or rests for longer, and one when its rest ends."""
+    refused = stream.where(F.col("code").isin(*codes)).withWatermark("at", delay).select("source", "at", F.unix_millis("at").alias("_ms"))
+    found = refused.groupBy("source").transformWithState(_Cool(hours), "source string, until long, resting boolean", "append", "eventTime")
+    return found.withColumn("until", F.timestamp_millis("until"))
+
+
+def limit_requests_batch(rows: DataFrame) -> DataFrame:
+    """The same over a table (client, ts in seconds): each task goes through its clients in order, sorted by Spark, and holds one client's accepted times."""
+
+    def run(batches):
+        held, recent = None, []
+        for batch in batches:
+            clients, times, out = batch.column(0).to_pylist(), batch.column(1).to_pylist(), []
+            for client, t in zip(clients, times, strict=True):
+                if client != held:
+                    held, recent = client, []
+                ok, recent = admit([t], recent)
+                out += ok
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.bool_())], names=["client", "ts", "accepted"])
+
+    known = rows.where("client is not null and ts is not null")
+    return known.select("client", F.col("ts").cast("double").alias("ts")).repartition("client").sortWithinPartitions("client", "ts").mapInArrow(run, ACCEPTED)

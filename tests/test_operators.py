@@ -244,23 +244,3 @@ def test_paragraph_cut_and_hash(spark):
 def test_rate_limit_counts_accepted_only():
     accepted, recent = jobs.admit([0, 1, 2, 3, 4, 5, 6, 10.5, 11.5], [])
     assert accepted == [True] * 5 + [False, False, True, True] and len(recent) == 5
-
-
-def test_rate_limit_stream_equals_batch(spark, tmp_path):
-    rows = [(f"c{i % 3}", float(i) / 2) for i in range(90)]
-    spark.createDataFrame(rows, "client string, ts double").repartition(1).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema("client string, ts double").parquet(str(tmp_path / "in"))
-    q = jobs.limit_requests(stream).writeStream.format("memory").queryName("limited").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
-    q.awaitTermination(120)
-    batch = jobs.limit_requests_batch(spark.createDataFrame(rows, "client string, ts double"))
-    assert sorted(map(tuple, spark.table("limited").collect())) == sorted(map(tuple, batch.collect()))
-
-
-def test_sync_stream_is_idempotent(spark, tmp_path):
-    put = lambda ids, name: spark.createDataFrame([(i, name) for i in ids], "id long, text string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    put([1, 2, 2], "a")
-    for _ in range(2):
-        jobs.sync_stream(spark, str(tmp_path / "in"), "id long, text string", f"file://{tmp_path}/index", str(tmp_path / "cp")).awaitTermination(120)
-        put([2, 3], "b")
-    got = {r.id: r.text for r in spark.read.parquet(f"{tmp_path}/index").collect()}
-    assert got == {1: "a", 2: "a", 3: "b"}
