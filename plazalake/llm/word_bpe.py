@@ -44,6 +44,60 @@ def byte_chars() -> list[str]:
     return [chr(rest.get(b, b)) for b in range(256)]
 
 
+def tree_size(symbols: int) -> int:
+    """Leaves of the tree of a word: a power of two, at least its pairs."""
+    return 1 << max(symbols - 2, 0).bit_length()
+
+
+def fill_rows(words: list[bytes], single: np.ndarray, size: int) -> np.ndarray:
+    """A row of symbols for each word of at most size + 1 bytes, then -1."""
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    sym = np.full((len(words), size + 2), -1, np.int64)
+    sym[np.arange(size + 2) < sizes[:, None]] = single[np.frombuffer(b"".join(words), np.uint8)]
+    return sym
+
+
+def merge_rows(sym: np.ndarray, sizes: np.ndarray, size: int, rank, made: np.ndarray) -> np.ndarray:
+    """sym with all merges done, one of each row at a time: swallowed symbols are -1.
+
+    rank gives the ranks of pairs, -1 where there is none; made the symbol that a rank leads to.
+    """
+    w, wide = sym.shape
+    nxt = np.minimum(np.arange(1, wide + 1)[None, :], sizes[:, None])
+    prv = np.broadcast_to(np.arange(-1, wide - 1), (w, wide)).copy()
+    tree = np.full((w, 2 * size), NONE, np.int64)
+    ranks = rank(sym[:, :size], sym[:, 1 : size + 1])
+    tree[:, size:] = np.where((ranks >= 0) & (sym[:, 1 : size + 1] >= 0), ranks * size + np.arange(size), NONE)
+    level = size
+    while level > 1:
+        tree[:, level // 2 : level] = tree[:, level : 2 * level].reshape(w, level // 2, 2).min(2)
+        level //= 2
+    rows = np.flatnonzero(tree[:, 1] < NONE)
+    while len(rows):
+        r, p = np.divmod(tree[rows, 1], size)
+        q = nxt[rows, p]
+        after = nxt[rows, q]
+        new = made[r]
+        sym[rows, p], sym[rows, q] = new, -1
+        nxt[rows, p], prv[rows, after] = after, p  # the place after the last symbol takes what nobody reads
+        before = prv[rows, p]
+        first = np.maximum(before, 0)
+        right = rank(new, np.where(after < sizes[rows], sym[rows, after], -1))
+        left = rank(np.where(before >= 0, sym[rows, first], -1), new)
+        inside = q < size
+        tree[rows[inside], size + q[inside]] = NONE
+        inside = p < size
+        tree[rows[inside], size + p[inside]] = np.where(right >= 0, right * size + p, NONE)[inside]
+        has = before >= 0
+        tree[rows[has], size + before[has]] = np.where(left >= 0, left * size + before, NONE)[has]
+        changed, node = np.concatenate((rows, rows, rows)), size + np.minimum(np.concatenate((q, p, first)), size - 1)
+        while node[0] > 1:
+            node >>= 1
+            tree[changed, node] = np.minimum(tree[changed, 2 * node], tree[changed, 2 * node + 1])
+        rows = rows[tree[rows, 1] < NONE]
+    return sym
+
+
 class WordBPE:
     """The tokenizer of a file: special strings, NFC, lower case, split, byte characters, merges with word ends."""
 
@@ -90,7 +144,7 @@ class WordBPE:
         """The ids of a word by a tree of its own."""
         sym = array("q", self.symbols(word).tobytes())
         n = len(sym)
-        size = 1 << max(n - 2, 0).bit_length()
+        size = tree_size(n)
         nxt, prv = array("q", range(1, n + 1)), array("q", range(-1, n - 1))
         tree = array("q", [NONE]) * (2 * size)
         rank = self.rank
@@ -132,49 +186,15 @@ class WordBPE:
         return np.where(self.keys[at] == key, self.ranks[at], -1)
 
     def _together(self, words: list[str], size: int) -> list[bytes]:
-        """The ids of words of at most size + 1 symbols, one merge of each word at a time."""
-        w, wide = len(words), size + 2
+        """The ids of words of at most size + 1 symbols."""
         data = [word.encode() for word in words]
-        raw, sizes = np.frombuffer(b"".join(data), np.uint8), np.fromiter(map(len, data), np.int64, w)
-        sym = np.full((w, wide), -1, np.int64)
-        sym[np.arange(wide) < sizes[:, None]] = self.inner[raw]
-        sym[np.arange(w), sizes - 1] = self.last[raw[sizes.cumsum() - 1]]
-        nxt = np.minimum(np.arange(1, wide + 1)[None, :], sizes[:, None])
-        prv = np.broadcast_to(np.arange(-1, wide - 1), (w, wide)).copy()
-        place = np.arange(size)
-        tree = np.full((w, 2 * size), NONE, np.int64)
-        ranks = self._rank(sym[:, :size], sym[:, 1 : size + 1])  # ids of -1 are in no pair
-        tree[:, size:] = np.where((ranks >= 0) & (sym[:, 1 : size + 1] >= 0), ranks * size + place, NONE)
-        level = size
-        while level > 1:
-            tree[:, level // 2 : level] = tree[:, level : 2 * level].reshape(w, level // 2, 2).min(2)
-            level //= 2
-        rows = np.flatnonzero(tree[:, 1] < NONE)
-        while len(rows):
-            r, p = np.divmod(tree[rows, 1], size)
-            q = nxt[rows, p]
-            after = nxt[rows, q]
-            new = self.made[r]
-            sym[rows, p], sym[rows, q] = new, -1
-            nxt[rows, p], prv[rows, after] = after, p  # the place after the last symbol takes what nobody reads
-            before = prv[rows, p]
-            first = np.maximum(before, 0)
-            right = self._rank(new, np.where(after < sizes[rows], sym[rows, after], -1))
-            left = self._rank(np.where(before >= 0, sym[rows, first], -1), new)
-            inside = q < size
-            tree[rows[inside], size + q[inside]] = NONE
-            inside = p < size
-            tree[rows[inside], size + p[inside]] = np.where(right >= 0, right * size + p, NONE)[inside]
-            has = before >= 0
-            tree[rows[has], size + before[has]] = np.where(left >= 0, left * size + before, NONE)[has]
-            all_rows, node = np.concatenate((rows, rows, rows)), size + np.minimum(np.concatenate((q, p, first)), size - 1)
-            while node[0] > 1:
-                node >>= 1
-                tree[all_rows, node] = np.minimum(tree[all_rows, 2 * node], tree[all_rows, 2 * node + 1])
-            rows = rows[tree[rows, 1] < NONE]
-        alive = sym >= 0
-        raw, ends = sym[alive].astype("<u4").tobytes(), (alive.sum(1).cumsum() * 4).tolist()
-        return [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+        sym = fill_rows(data, self.inner, size)
+        sizes = np.fromiter(map(len, data), np.int64, len(data))
+        raw = np.frombuffer(b"".join(data), np.uint8)
+        sym[np.arange(len(data)), sizes - 1] = self.last[raw[sizes.cumsum() - 1]]
+        alive = merge_rows(sym, sizes, size, self._rank, self.made) >= 0
+        flat, ends = sym[alive].astype("<u4").tobytes(), (alive.sum(1).cumsum() * 4).tolist()
+        return [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
     def merge(self, words: list[str]) -> list[bytes]:
         """The ids of each word (no empty ones) as little-endian unsigned 32-bit integers."""
@@ -182,7 +202,7 @@ class WordBPE:
         groups: dict[int, list[int]] = {}
         for i, word in enumerate(words):
             n = len(word) if word.isascii() else len(word.encode())
-            groups.setdefault(1 << max(n - 2, 0).bit_length(), []).append(i)
+            groups.setdefault(tree_size(n), []).append(i)
         for size, members in groups.items():
             if size > SMALL:
                 for i in members:
