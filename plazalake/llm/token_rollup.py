@@ -18,8 +18,9 @@ from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .byte_bpe import CACHE_BYTES, ENTRY_BYTES, Encoder, read_ranks, ship
+from .byte_bpe import CACHE_BYTES, ENTRY_BYTES, Encoder, MergeReplay, read_ranks, ship
 from .common import hold, slices
+from .word_bpe import SMALL, TOGETHER, fill_rows, merge_rows, tree_size
 
 KEYS = ["source", "lang", "version"]
 DELTAS = "source string, lang string, version string, n_docs long, n_tokens long"
@@ -139,6 +140,31 @@ class Rollup:
         return True
 
 
+def token_counts(replay: MergeReplay, words: list[bytes]) -> list[int]:
+    """How many tokens each word has: one if it is one, else by trees of words of a size, stepped together; long words by replay."""
+    byte = np.arange(256)
+    pairs = np.full((257, 257), -1)  # of bytes; the last row and column stand for the end
+    pairs[:256, :256] = replay._rank(replay.single[byte][:, None], replay.single[byte][None, :])
+    made, out, groups = np.arange(len(replay.tokens)), [1] * len(words), {}  # a pair merges to the token of its rank
+    for i, word in enumerate(words):
+        if word not in replay.ranks:
+            groups.setdefault(min(tree_size(len(word)), 2 * SMALL), []).append(i)
+    for size, members in groups.items():
+        if size > SMALL:
+            for i, ids in zip(members, replay.encode([words[i] for i in members]), strict=True):
+                out[i] = len(ids) // 4
+            continue
+        step = max(1, TOGETHER // (2 * size))
+        for at in range(0, len(members), step):
+            part = members[at : at + step]
+            data = [words[i] for i in part]
+            raw = fill_rows(data, np.arange(256), size)
+            merged = merge_rows(np.where(raw >= 0, replay.single[raw], -1), np.fromiter(map(len, data), np.int64, len(data)), size, replay._rank, made, pairs[raw[:, :size], raw[:, 1 : size + 1]])
+            for i, n in zip(part, (merged >= 0).sum(1).tolist(), strict=True):
+                out[i] = n
+    return out
+
+
 class Counter:
     """Numbers of tokens under several vocabularies; texts are split once, and a piece seen before is looked up once."""
 
@@ -163,7 +189,7 @@ class Counter:
         words = list({w for x in split.values() for w in x})
         raw, packed = [w.encode() for w in words], [0] * len(words)
         for i, encoder in enumerate(self.encoders):
-            packed = [n + (len(ids) // 4 << i * self.BITS) for n, ids in zip(packed, encoder.replay.encode(raw), strict=True)]
+            packed = [n + (k << i * self.BITS) for n, k in zip(packed, token_counts(encoder.replay, raw), strict=True)]
         sizes = dict(zip(words, packed, strict=True))
         self.known.update((p, sum(map(sizes.__getitem__, x))) for p, x in split.items())
         get, mask = self.known.__getitem__, (1 << self.BITS) - 1

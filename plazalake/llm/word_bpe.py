@@ -57,16 +57,18 @@ def fill_rows(words: list[bytes], single: np.ndarray, size: int) -> np.ndarray:
     return sym
 
 
-def merge_rows(sym: np.ndarray, sizes: np.ndarray, size: int, rank, made: np.ndarray) -> np.ndarray:
+def merge_rows(sym: np.ndarray, sizes: np.ndarray, size: int, rank, made: np.ndarray, ranks: np.ndarray | None = None) -> np.ndarray:
     """sym with all merges done, one of each row at a time: swallowed symbols are -1.
 
-    rank gives the ranks of pairs, -1 where there is none; made the symbol that a rank leads to.
+    rank gives the ranks of pairs, -1 where there is none; made the symbol that a rank leads to;
+    ranks, if known, those of the pairs that begin at each of the first `size` places.
     """
     w, wide = sym.shape
     nxt = np.minimum(np.arange(1, wide + 1)[None, :], sizes[:, None])
     prv = np.broadcast_to(np.arange(-1, wide - 1), (w, wide)).copy()
     tree = np.full((w, 2 * size), NONE, np.int64)
-    ranks = rank(sym[:, :size], sym[:, 1 : size + 1])
+    if ranks is None:
+        ranks = rank(sym[:, :size], sym[:, 1 : size + 1])
     tree[:, size:] = np.where((ranks >= 0) & (sym[:, 1 : size + 1] >= 0), ranks * size + np.arange(size), NONE)
     level = size
     while level > 1:

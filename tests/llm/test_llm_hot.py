@@ -65,3 +65,14 @@ def test_passes_leave_one_table_behind(spark, tmp_path, monkeypatch):
     hit = {r.doc_id for r in wu_manber.decontaminate(docs, items).where("size(item_ids) > 0").collect()}
     assert hit == {0, 1, 2, 3} and len([p for p in tmp_path.iterdir() if p.name.startswith("plazalake-")]) == 1
     assert {r.doc_id for r in wu_manber.keep_clean(docs, items).collect()} == set(range(4, 20))
+
+
+def test_counts_by_trees_and_by_replay_agree():
+    import random
+
+    from plazalake.llm.byte_bpe import MergeReplay, read_ranks
+
+    random.seed(3)
+    replay = MergeReplay(read_ranks(MULTI))
+    words = ["".join(random.choices("aeinrst üß日", k=random.randint(1, 90))).encode() for _ in range(2000)] + [b"a", b"aa", b" the", "日".encode()]
+    assert token_rollup.token_counts(replay, words) == [len(ids) // 4 for ids in replay.encode(words)]
