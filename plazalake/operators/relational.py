@@ -74,3 +74,12 @@ def use_fallback(primary: DataFrame, backup: DataFrame, keys: list[str] | None =
         return primary.unionByName(backup.join(primary.select(*keys).distinct(), keys, "left_anti"))
     some = primary.limit(1).select(F.lit(1).alias("_some"))
     return primary.unionByName(backup.join(F.broadcast(some), F.lit(True), "left_anti"))
+
+
+def saved_answers(rows: DataFrame, most: int = 5) -> DataFrame:
+    """rows (answer, references_json, ...) with answer (null if blank), references (none if that isn't a JSON array), used, and listed: the first `most` of them, a line each."""
+    one = "array<struct<title:string,url:string>>"
+    refs = F.coalesce(F.try_variant_get(F.try_parse_json("references_json"), "$", one), F.array().cast(one))
+    line = lambda x, i: F.concat(F.lit("  ["), (i + 1).cast("string"), F.lit("] "), F.coalesce(x["title"], F.lit("")), F.lit(" → "), F.coalesce(x["url"], F.lit("")))
+    found = rows.withColumns({"answer": F.expr("nullif(trim(answer), '')"), "references": refs})
+    return found.withColumns({"used": F.size("references").cast("long"), "listed": F.array_join(F.transform(F.slice("references", 1, most), line), "\n")})

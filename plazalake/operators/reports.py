@@ -131,13 +131,6 @@ def weekly_repos(rows: DataFrame) -> DataFrame:
     )
 
 
-def match_rules(rules: DataFrame, signals: DataFrame) -> DataFrame:
-    """Rules of which one signal contains all keywords, whatever the case; rules are a list of bounded size."""
-    low = F.lower("signal")
-    fires = F.forall("contains", lambda k: F.contains(low, F.lower(k)))
-    return signals.select("signal").distinct().join(F.broadcast(rules), fires).select("rule").distinct()
-
-
 def weighted_score(scores: dict[str, Column]) -> Column:
     """Null unless all five are numbers from 0 to 10."""
     valid, total = F.lit(True), F.lit(0.0)

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plazalake.operators.knn import nearest_by_pivots
 from plazalake.operators.relational import visible
+from plazalake.sources.shared import cut
 
 VECTOR_WEIGHT, KEYWORD_WEIGHT, HEAT_WEIGHT = 0.48, 0.27, 0.08
 KEYWORD_CAP, REPLY_CAP, SUBREPLY_CAP = 6.0, 2.0, 1.5
-#: Queries that may be broadcast in one block; more go through in several.
-QUERY_BLOCK = 1_000
 
 
 def _keywords(body: Column, words: list[str]) -> Column:
@@ -36,40 +36,18 @@ def keyword_score(posts: DataFrame, replies: DataFrame, subs: DataFrame, words:
 
 
 def keyword_posts(posts: DataFrame, words: list[str], n: int = 30) -> DataFrame:
-    """word, post_id, score, rank: of each word the n visible posts that hold it, 2 for the title and 1 for the body, then by heat, then by id."""
+    """word, post_id, score, heat, rank: of each word the n visible posts that hold it, 2 for the title and 1 for the body, then by heat, then by id."""
     title, body = F.lower("title"), F.lower("body")
     score = F.when(F.contains(title, F.col("word")), 2).otherwise(0) + F.when(F.contains(body, F.col("word")), 1).otherwise(0)
     either = F.array_distinct(F.concat(_keywords(F.coalesce(title, F.lit("")), words), _keywords(F.coalesce(body, F.lit("")), words)))
-    hits = visible(posts).select("post_id", "heat", "title", "body", F.explode(either).alias("word")).withColumn("score", score)
+    hits = visible(posts).select("post_id", F.coalesce("heat", F.lit(0.0)).alias("heat"), "title", "body", F.explode(either).alias("word")).withColumn("score", score)
     best = Window.partitionBy("word").orderBy(F.desc("score"), F.desc("heat"), "post_id")
-    return hits.select("word", "post_id", "score", "heat").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= n).drop("heat")
-
-
-def dot(a: str, b: str) -> Column:
-    return F.aggregate(F.zip_with(F.col(a), F.col(b), lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-
-
-def norm(a: str) -> Column:
-    return F.sqrt(F.aggregate(F.col(a), F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    return hits.select("word", "post_id", "score", "heat").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= n)
 
 
 def nearest(points: DataFrame, queries: DataFrame, k: int, threshold: float) -> DataFrame:
-    """query_id, vec_id, label, score: of each query the k points of the highest cosine, at least threshold.
-
-    queries (query_id, q) is a stated set that meets every point once, in blocks of
-    about QUERY_BLOCK; each task keeps k rows of a query before they are shuffled.
-    """
-    blocks = -(-queries.count() // QUERY_BLOCK) or 1
-    unit = queries.select("query_id", "q", norm("q").alias("qn"))
-    own = points.select("vec_id", "label", "embedding", norm("embedding").alias("n"))
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    out = None
-    for block in range(blocks):
-        part = unit if blocks == 1 else unit.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
-        scored = own.join(F.broadcast(part), F.lit(True)).select("query_id", "vec_id", "label", (dot("embedding", "q") / (F.col("n") * F.col("qn"))).alias("score"))
-        near = scored.where(F.col("score") >= threshold).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-        out = near if out is None else out.union(near)
-    return out
+    """query_id, vec_id, label, score, rank: of each query (query_id, q) the k points (vec_id, label, embedding) of the highest cosine, at least threshold, then of the lowest id."""
+    return nearest_by_pivots(points, queries, k, threshold)[0]
 
 
 def best_per_post(hits: DataFrame) -> DataFrame:
@@ -79,6 +57,7 @@ def best_per_post(hits: DataFrame) -> DataFrame:
 def fuse(keyword: DataFrame, vector: DataFrame, meta: DataFrame, n: int) -> DataFrame:
     """The n best of all candidates. Heat is scaled between the least and the most of candidates with metadata; of the others it is 0."""
     found = keyword.join(vector.select("post_id", "vector"), "post_id", "full_outer").join(meta.select("post_id", "title", "heat"), "post_id", "left")
+    found = cut(found, "candidates")
     span = found.agg(F.max("keyword").alias("top"), F.min("heat").alias("low"), F.max("heat").alias("high"))
     rows = found.join(F.broadcast(span), F.lit(True))
     kw = F.when(F.col("top") > 0, F.coalesce(F.col("keyword"), F.lit(0.0)) / F.col("top")).otherwise(0.0)
@@ -112,13 +91,3 @@ def strict_or_relaxed(rows: DataFrame, strict: Column) -> DataFrame:
     marked = rows.withColumn("_strict", F.coalesce(strict, F.lit(False)))
     some = marked.agg(F.coalesce(F.bool_or("_strict"), F.lit(False)).alias("_some"))
     return marked.join(F.broadcast(some), F.lit(True)).where("_strict or not _some").drop("_strict", "_some")
-
-
-def posts_per_word(posts: DataFrame, words: list[str], n: int) -> DataFrame:
-    """word, post_id, score, heat, rank: for each word the n public posts by score (title 2, body 1), heat, then id."""
-    has = lambda c, w: F.contains(F.lower(F.coalesce(c, F.lit(""))), F.lower(w)).cast("int")
-    one = lambda w: F.struct(w.alias("word"), (2 * has(F.col("title"), w) + has(F.col("body"), w)).alias("score"))
-    hits = F.filter(F.array(*[one(F.lit(w)) for w in words]), lambda h: h["score"] > 0)
-    rows = posts.where(~F.coalesce("is_private", F.lit(False))).select("post_id", F.coalesce("heat", F.lit(0.0)).alias("heat"), F.inline(hits))
-    rank = F.row_number().over(Window.partitionBy("word").orderBy(F.desc("score"), F.desc("heat"), "post_id"))
-    return rows.withColumn("rank", rank).where(F.col("rank") <= n)

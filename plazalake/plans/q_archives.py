@@ -10,7 +10,7 @@ from plazalake.plans.roles import posts, replies, sql
 from plazalake.sources import archives as A
 from plazalake.sources import feeds
 from plazalake.sources.shared import place
-from plazalake.sources.tables import json_lines, optional_table, table
+from plazalake.sources.tables import json_lines, parquet_or_empty, table
 from plazalake.streaming import jobs as J
 
 QUERIES, ORACLES = {}, {}
@@ -33,7 +33,7 @@ _WORDS = ["the", "die", "la", "data"]
     (SELECT word, post_id, coalesce(heat, 0) AS heat, 2 * CAST(contains(lower(coalesce(title, '')), word) AS INTEGER) + CAST(contains(lower(coalesce(body, '')), word) AS INTEGER) AS score
     FROM posts, (SELECT unnest(['the', 'die', 'la', 'data']) AS word) WHERE NOT is_private) WHERE score > 0) WHERE rank <= 30"""))
 def _(spark, sf):
-    return V.posts_per_word(posts(spark, sf), _WORDS, 30)
+    return V.keyword_posts(posts(spark, sf), _WORDS, 30)
 
 
 @query("append_events", "SELECT event_id, event_type, value FROM events UNION ALL SELECT event_id + 1000000000, event_type, value FROM events WHERE event_type = 'error'")
@@ -71,9 +71,14 @@ def _(spark, sf):
     return J.first_marks(known, {"posts": p, "replies": replies(spark, sf), "none": p.where("false")})
 
 
-@query("optional_table", "SELECT * FROM (SELECT 0::BIGINT AS post_id, '' AS note) WHERE false")
+@query("optional_table", "SELECT c_custkey, c_name, CASE WHEN c_custkey % 2 = 0 THEN c_acctbal END AS c_acctbal, CAST(NULL AS VARCHAR) AS note FROM customer")
 def _(spark, sf):
-    return optional_table(spark, "no_such_table_here", spark.range(0).selectExpr("id as post_id", "'' as note").schema)
+    """Parts of a table written by two versions, of which the older had no balance; a column that none has; a table that isn't there."""
+    c, path = table(spark, sf, "customer"), place(spark, "versions")
+    c.where("c_custkey % 2 = 0").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment").write.mode("append").parquet(path)
+    c.where("c_custkey % 2 = 1").select("c_custkey", "c_name").write.mode("append").parquet(path)
+    schema = "c_custkey long, c_name string, c_acctbal double, note string"
+    return parquet_or_empty(spark, path, schema).unionByName(parquet_or_empty(spark, f"{path}-none", schema))
 
 
 @query("json_lines", "SELECT event_id, event_type FROM events WHERE event_id % 5 > 0")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from plazalake.operators import relational as R
 from plazalake.plans.roles import NOW, pool, posts, replies, run_log, sql, subreplies
-from plazalake.sources.tables import table
+from plazalake.sources.tables import statement_kind, table
 
 QUERIES, ORACLES = {}, {}
 
@@ -77,11 +77,27 @@ def _(spark, sf):
     return p.select("user_id", "m.post_id")
 
 
-@query("saved_answer_lookup", sql("posts replies", """SELECT p.post_id, nullif(trim(a.body), '') AS answer
-    FROM posts p LEFT JOIN (SELECT post_id, body FROM replies WHERE reply_id % 1000 = 1) a ON a.post_id = p.post_id"""))
+@query("saved_answer_lookup", sql("posts replies", """WITH a AS (SELECT post_id, body FROM replies WHERE reply_id % 1000 = 1),
+        r AS (SELECT post_id, list(struct_pack(title := 'r' || reply_id, url := 'https://e.com/' || reply_id) ORDER BY reply_id) AS refs FROM replies WHERE post_id % 5 > 0 GROUP BY 1)
+    SELECT p.post_id, nullif(trim(a.body), '') AS answer, CASE WHEN p.post_id % 10 = 3 THEN 0 ELSE coalesce(len(refs), 0) END AS used,
+        CASE WHEN p.post_id % 10 = 3 OR refs IS NULL THEN '' ELSE array_to_string(list_transform(refs[1:5], lambda x, i: '  [' || i || '] ' || x.title || ' → ' || x.url), chr(10)) END AS listed
+    FROM posts p LEFT JOIN a USING (post_id) LEFT JOIN r USING (post_id)"""))
 def _(spark, sf):
-    a = replies(spark, sf).where("reply_id % 1000 = 1").select("post_id", "body")
-    return posts(spark, sf).join(a.withColumnRenamed("body", "answer"), "post_id", "left").select("post_id", F.expr("nullif(trim(answer), '')").alias("answer"))
+    """Answers with their references in JSON: broken in some rows, absent in others."""
+    r = replies(spark, sf)
+    ref = F.struct(F.concat(F.lit("r"), "reply_id").alias("title"), F.concat(F.lit("https://e.com/"), "reply_id").alias("url"))
+    refs = r.where("post_id % 5 > 0").groupBy("post_id").agg(F.array_sort(F.collect_list(F.struct("reply_id", ref.alias("ref")))).alias("all"))
+    text = F.when(F.col("post_id") % 10 == 3, '[{"title": ').otherwise(F.to_json(F.transform("all", lambda x: x["ref"])))
+    a = r.where("reply_id % 1000 = 1").select("post_id", F.col("body").alias("answer"))
+    saved = posts(spark, sf).select("post_id").join(a, "post_id", "left").join(refs.select("post_id", text.alias("references_json")), "post_id", "left")
+    return R.saved_answers(saved).select("post_id", "answer", "used", "listed")
+
+
+@query("statement_guard", """SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN 'read' WHEN 1 THEN 'write' WHEN 3 THEN 'read' WHEN 4 THEN 'write' ELSE 'rejected' END AS kind FROM orders""")
+def _(spark, sf):
+    text = F.expr("""case o_orderkey % 6 when 0 then concat('select ', o_orderkey) when 1 then concat('INSERT INTO Assist_Responses VALUES (', o_orderkey, ')')
+        when 2 then concat('delete from posts where id = ', o_orderkey) when 3 then concat(' \n\tSELECT * from t where k = ', o_orderkey) when 4 then 'update assist_responses set a = 1' end""")
+    return table(spark, sf, "orders").select("o_orderkey", statement_kind(text).alias("kind"))
 
 
 @query("typed_stats", "SELECT event_id, user_id FROM events WHERE user_id % 9 <> 0")

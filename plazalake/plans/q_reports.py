@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from plazalake.functions import text as X
 from plazalake.operators import gates as G
+from plazalake.operators import health as H
 from plazalake.operators import reports as R
 from plazalake.plans.roles import pool, posts, run_log, sql
 from plazalake.sources.tables import table
@@ -107,15 +108,40 @@ def _(spark, sf):
     return _slots(spark, sf).join(p, "day", "left").select("day", "task", F.coalesce("published", F.lit(0)).alias("published"))
 
 
-@query("system_health", "SELECT s_suppkey, CASE WHEN s_acctbal > 9000 THEN 'critical' WHEN s_acctbal > 7000 THEN 'warn' WHEN s_acctbal < 0 THEN 'unknown' ELSE 'ok' END AS status FROM supplier")
+_NOW = "2000-01-15 12:00:00"
+#: What a disk (percent) and a certificate (days) are worth.
+_BANDS = [("disk", None, 84.0, "ok"), ("disk", 85.0, 94.0, "warn"), ("disk", 95.0, None, "critical"), ("certificate", None, 14.0, "warn"), ("certificate", 15.0, None, "ok")]
+_HEALTH = f"""WITH d AS (SELECT s_suppkey AS host, CASE WHEN s_suppkey % 5 > 0 THEN CAST(floor(abs(s_acctbal)) % 101 AS INTEGER) END AS pct FROM supplier),
+    c AS (SELECT l_suppkey AS host, min(struct_pack(e := l_shipdate + to_hours(CAST(l_orderkey % 24 AS INTEGER)), p := '/etc/live/d' || l_orderkey % 7 || '/cert.pem')) AS c FROM lineitem WHERE l_suppkey % 6 > 0 AND l_linenumber % 2 = 1 AND l_shipdate >= TIMESTAMP '1999-12-20' GROUP BY 1),
+    k AS (SELECT host, split_part(c.p, '/', 4) AS domain, CAST(floor((epoch(c.e) - epoch(TIMESTAMP '{_NOW}')) / 86400) AS BIGINT) AS days_left FROM c),
+    t AS (SELECT l_suppkey AS host, list_sort(list_distinct(list('t' || l_linenumber))) AS dead FROM lineitem WHERE l_quantity = 50 AND l_partkey % 40 = 0 GROUP BY 1),
+    j AS (SELECT host, pct, domain, days_left, coalesce(dead, []) AS dead, len(coalesce(dead, [])) > 0 AS is_dead, pct >= 95 AS full_, pct BETWEEN 85 AND 94 AS near_, days_left <= 14 AS soon FROM d LEFT JOIN k USING (host) LEFT JOIN t USING (host))
+    SELECT host, CASE WHEN is_dead THEN 'critical' WHEN pct IS NULL AND days_left IS NULL THEN 'unknown' WHEN coalesce(full_, false) THEN 'critical' WHEN coalesce(near_, false) OR coalesce(soon, false) THEN 'warn' ELSE 'ok' END AS status,
+        pct, domain, days_left, dead, list_filter([CASE WHEN pct IS NULL THEN 'no_disk' END, CASE WHEN days_left IS NULL THEN 'no_certificate' END, CASE WHEN full_ THEN 'disk_critical' WHEN near_ THEN 'disk_warn' END,
+            CASE WHEN soon THEN 'certificate_ends' END, CASE WHEN is_dead THEN 'dead_timers' END], lambda x: x IS NOT NULL) AS notes FROM j"""
+
+
+def _health(spark, sf):
+    """Suppliers as hosts; their line items as certificates and timers."""
+    s, line = table(spark, sf, "supplier"), table(spark, sf, "lineitem").withColumnRenamed("l_suppkey", "host")
+    disks = s.select(F.col("s_suppkey").alias("host"), F.expr("case when s_suppkey % 5 > 0 then cast(floor(abs(s_acctbal)) % 101 as int) end").alias("pct"))
+    ends = F.expr("l_shipdate + make_dt_interval(0, cast(l_orderkey % 24 as int))").alias("ends")
+    path = F.concat(F.lit("/etc/live/d"), F.col("l_orderkey") % 7, F.lit("/cert.pem")).alias("path")
+    certificates = line.where("host % 6 > 0 and l_linenumber % 2 = 1 and l_shipdate >= timestamp_ntz '1999-12-20 00:00:00'").select("host", path, ends)
+    timers = line.select("host", F.concat(F.lit("t"), "l_linenumber").alias("unit"), F.expr("case when l_quantity = 50 and l_partkey % 40 = 0 then if(l_linenumber % 2 = 0, 'failed', null) else 'active' end").alias("state"))
+    bands = spark.createDataFrame(_BANDS, "metric string, low double, high double, status string")
+    return H.host_health(disks.select("host"), disks, certificates, timers, bands, _NOW)
+
+
+@query("system_health", _HEALTH)
 def _(spark, sf):
-    b = F.col("s_acctbal")
-    return table(spark, sf, "supplier").select("s_suppkey", F.when(b > 9000, "critical").when(b > 7000, "warn").when(b < 0, "unknown").otherwise("ok").alias("status"))
+    return _health(spark, sf)
 
 
-@query("overall_status", "SELECT s_nationkey, (['ok', 'unknown', 'warn', 'critical'])[max(CASE WHEN s_acctbal > 9000 THEN 4 WHEN s_acctbal > 7000 THEN 3 WHEN s_acctbal < 0 THEN 2 ELSE 1 END)] AS status FROM supplier GROUP BY 1")
+@query("overall_status", f"SELECT s_nationkey, (['ok', 'unknown', 'warn', 'critical'])[max(CASE status WHEN 'critical' THEN 4 WHEN 'warn' THEN 3 WHEN 'unknown' THEN 2 ELSE 1 END)] AS status FROM ({_HEALTH}) h JOIN supplier ON s_suppkey = host GROUP BY 1")
 def _(spark, sf):
-    return QUERIES["system_health"](spark, sf).join(table(spark, sf, "supplier").select("s_suppkey", "s_nationkey"), "s_suppkey").groupBy("s_nationkey").agg(R.worst("status").alias("status"))
+    nations = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("host"), "s_nationkey")
+    return _health(spark, sf).join(nations, "host").groupBy("s_nationkey").agg(R.worst("status").alias("status"))
 
 
 def _samples(spark, sf):
@@ -179,7 +205,7 @@ def _(spark, sf):
 @query("rule_match", sql("run_log", "SELECT DISTINCT rule FROM (SELECT 'task ' || task || ' ' || status AS s FROM run_log), (VALUES ('a', ['DAILY', 'degraded']), ('b', ['weekly', 'nothing']), ('c', ['star'])) r(rule, ks) WHERE len(list_filter(ks, lambda k: contains(lower(s), lower(k)))) = len(ks)"))
 def _(spark, sf):
     rules = spark.createDataFrame([("a", ["DAILY", "degraded"]), ("b", ["weekly", "nothing"]), ("c", ["star"])], "rule string, contains array<string>")
-    return R.match_rules(rules, run_log(spark, sf).select(F.concat(F.lit("task "), "task", F.lit(" "), "status").alias("signal")))
+    return H.match_rules(rules, run_log(spark, sf).select(F.concat(F.lit("task "), "task", F.lit(" "), "status").alias("signal")))
 
 
 @query("metadata_latest", sql("run_log", "SELECT user_id, max_by(tag, id) FILTER (tag IS NOT NULL) AS tag, max_by(detail, id) FILTER (id % 3 = 0) AS detail FROM run_log GROUP BY 1"))
@@ -196,10 +222,25 @@ def _(spark, sf):
     return G.bind_evidence(quotes, blocks).select("doc_id", "issue")
 
 
-@query("advice_routing", "SELECT o_orderkey, CASE WHEN o_orderpriority = '1-URGENT' THEN 'digest' WHEN o_orderpriority = '2-HIGH' THEN 'assist' WHEN o_orderstatus <> 'O' THEN 'system' ELSE 'none' END AS section FROM orders")
+@query("rule_match_documents", """WITH r AS (SELECT item_id AS rule, list_distinct(regexp_extract_all(lower(text), '[a-z]{4,}')[1:3]) AS ks FROM benchmark)
+    SELECT rule FROM r WHERE EXISTS (SELECT 1 FROM documents WHERE text IS NOT NULL AND len(list_filter(ks, lambda k: contains(lower(text), k))) = len(ks))""")
 def _(spark, sf):
-    route = F.when(F.contains(F.lower("o_orderpriority"), F.lit("urgent")), "digest").when(F.contains(F.lower("o_orderpriority"), F.lit("high")), "assist").when(F.col("o_orderstatus") != "O", "system").otherwise("none")
-    return table(spark, sf, "orders").select("o_orderkey", route.alias("section"))
+    """A rule of the first three long words of each benchmark item; documents as signals."""
+    words = F.slice(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), F.lit(0)), 1, 3)
+    rules = table(spark, sf, "benchmark").select(F.col("item_id").alias("rule"), words.alias("contains"))
+    return H.match_rules(rules, table(spark, sf, "documents").select(F.col("text").alias("signal")))
+
+
+@query("advice_routing", """WITH s AS (SELECT r_name AS section, r_regionkey AS pos, CASE WHEN r_regionkey < 2 THEN 'ok' ELSE 'warn' END AS status FROM region),
+    k(section, word) AS (VALUES ('AFRICA', 'license'), ('AMERICA', 'copyright'), ('EUROPE', '@'), ('ASIA', 'the '), ('ASIA', 'und ')),
+    f AS (SELECT doc_id, min(pos) AS pos FROM documents, k JOIN s USING (section) WHERE contains(lower(text), word) GROUP BY 1),
+    p AS (SELECT doc_id AS id, coalesce(f.pos, (SELECT coalesce(min(pos) FILTER (status <> 'ok'), min(pos)) FROM s)) AS pos FROM (SELECT DISTINCT doc_id FROM documents) LEFT JOIN f USING (doc_id))
+    SELECT id, section FROM p LEFT JOIN s USING (pos)""")
+def _(spark, sf):
+    """Documents as advice, regions as the sections of a report."""
+    sections = table(spark, sf, "region").select(F.col("r_name").alias("section"), F.col("r_regionkey").alias("pos"), F.when(F.col("r_regionkey") < 2, "ok").otherwise("warn").alias("status"))
+    routes = spark.createDataFrame([("AFRICA", "License"), ("AMERICA", "copyright"), ("EUROPE", "@"), ("ASIA", "the "), ("ASIA", "und ")], "section string, keyword string")
+    return H.route_advice(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"), sections, routes)
 
 
 @query("verdict_gate", "SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 'unscored' WHEN event_type = 'error' THEN 'vetoed' WHEN trunc(least(10, value / 20)) >= 7 OR user_id % 11 >= 7 THEN 'featured' ELSE 'below' END AS gate FROM events")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from plazalake.operators import relational as R
 from plazalake.operators import retrieval as V
-from plazalake.plans.roles import posts, replies, sql, subreplies
+from plazalake.plans.roles import pool, posts, replies, sql, subreplies
 from plazalake.sources.tables import table
 
 QUERIES, ORACLES = {}, {}
@@ -154,10 +154,13 @@ def _(spark, sf):
     return asked.join(hits, "query_id", "left").select("query_id", (F.coalesce("top", F.lit(0.0)) < 0.5).alias("weak"))
 
 
-@query("pool_or_live", sql("posts", "SELECT post_id, partition FROM posts WHERE partition <> 'none'"))
+@query("pool_or_live", sql("pool", f"""WITH p AS (SELECT id, source, kind FROM pool WHERE status = 'reserved' AND first_seen >= TIMESTAMP '2024-01-20'), l AS (SELECT id, source, kind FROM pool WHERE kind = 'news' OR id % 3 = 0)
+    SELECT * FROM p UNION ALL SELECT l.* FROM l WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.source = l.source)"""))
 def _(spark, sf):
-    p = posts(spark, sf).select("post_id", "partition")
-    return R.use_fallback(p.where("partition = 'none'"), p)
+    """What is reserved since a day; for sources without any, what was fetched."""
+    p = pool(spark, sf)
+    kept = p.where("status = 'reserved' and first_seen >= timestamp_ntz '2024-01-20 00:00:00'").select("id", "source", "kind")
+    return R.use_fallback(kept, p.where("kind = 'news' or id % 3 = 0").select("id", "source", "kind"), ["source"])
 
 
 @query("keyword_posts", sql("posts", f"""WITH k(word) AS (VALUES {_VALUES}),

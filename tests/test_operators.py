@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from plazalake.functions import python as Y
 from plazalake.functions import text as X
-from plazalake.operators import blocks, dedup, gates, html, lifecycle, pool, relational, reports, retrieval
+from plazalake.operators import blocks, dedup, gates, health, html, lifecycle, pool, relational, reports, retrieval
 from plazalake.sources import feeds
 from plazalake.streaming import jobs
 
@@ -163,7 +163,7 @@ def test_relaxed_filter(spark):
 
 def test_rules_need_one_signal(spark):
     rules = spark.createDataFrame([("a", ["X", "y"])], "rule string, contains array<string>")
-    hit = lambda *s: reports.match_rules(rules, spark.createDataFrame([(x,) for x in s], "signal string")).count()
+    hit = lambda *s: health.match_rules(rules, spark.createDataFrame([(x,) for x in s], "signal string")).count()
     assert hit("x", "y") == 0 and hit("a y and x") == 1
 
 
