@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, join_hot
+from .common import cut, discard, join_hot
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -27,7 +27,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         low = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
         small = join_hot(large, low.drop("n"), "u", low).select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         small = cut(small, "small-star")
+        discard(large)
         same = small.count() == pairs.count() and not small.join(pairs, ["u", "v"], "left_anti").take(1)
+        discard(pairs)
         pairs = small
         if same:
             break

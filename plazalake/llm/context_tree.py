@@ -13,8 +13,9 @@ and words, so rows grow with the chunks alone. They are summed in a tree, FAN ch
 at a time. A branch of the tree of contexts, all with the same BRANCH newest bytes,
 holds 2^24 grams at the very most and is weighted in one group with others; the
 nodes above the branches are summed from theirs. The code lengths of grams then go
-back, FAN chunks at a time, to those in which the grams occur, so no task holds the
-model, and the driver only the nodes of contexts shorter than BRANCH.
+back to the chunks in which the grams occur, as many chunks at a time as need about
+NEEDS times what a bucket holds: no task holds the model, what is copied of it is a share
+of what the chunks hold, and the driver has only the nodes of contexts shorter than BRANCH.
 """
 
 from __future__ import annotations
@@ -44,6 +45,8 @@ CHUNK_BYTES, STEP_BYTES = 16 << 20, 2 << 20
 BUCKET_GRAMS, BUCKET_WORDS, LOWEST = 1 << 18, 1 << 17, 256
 #: Chunks whose rows for a bucket meet in one group.
 FAN = 32
+#: Keys of a group of chunks for each key of the bucket that they are looked up in.
+NEEDS = 4
 _U = np.uint64
 
 _LN_PI = math.log(math.pi)
@@ -442,11 +445,12 @@ def _score_chunk(docs: pa.Table, model: pa.Table, tokens: int, distinct: int) ->
             values.append(_expand(value, "<f4").astype(np.float64))
     table = GramTable(np.concatenate(keys), np.concatenate(values))
     texts = docs["text"].to_pylist()
-    n_tokens, n_known, base_score, score = [], [], [], []
+    n_tokens, n_known, base_score, score, n_bytes = [], [], [], [], []
     for begin, end in _steps(texts):
         parts = [words_of(t) for t in texts[begin:end]]
         key, sizes = grams_of(parts)
         score += np.add.reduceat(table.get(key), sizes.cumsum() - sizes).tolist()
+        n_bytes += sizes.tolist()
         for p in parts:
             found = [base[w] for w in (*p, b"")]
             n_tokens.append(len(found))
@@ -461,6 +465,7 @@ def _score_chunk(docs: pa.Table, model: pa.Table, tokens: int, distinct: int) ->
         "train_tokens": pa.array([tokens] * len(texts), pa.int64()),
         "base_score": pa.array(base_score, pa.float64()),
         "score": pa.array(score, pa.float64()),
+        "bits_per_byte": pa.array([-s * math.log2(10) / n for s, n in zip(score, n_bytes, strict=True)], pa.float64()),
     }
     return pa.table(columns)
 
@@ -475,7 +480,9 @@ def _by_branch(counts: DataFrame, run, schema: str) -> DataFrame:
 
 
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = FOLDS, held_out: int = HELD_OUT, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """One row per row of docs: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
+    """One row per row of docs: id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte.
+
+    bits_per_byte is the code length of the text by the model, over the bytes that are coded.
 
     Learns from rows whose crc32 of the id, modulo folds, isn't held_out. A null text
     is empty: its only token is the end. Rows that repeat count as often as they
@@ -511,10 +518,14 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     values = _by_branch(grams, logs, "bucket int, keys binary, counts binary")
     values = values.groupBy("bucket").applyInArrow(_join_logs, "words boolean, bucket int, keys binary, counts binary")
     values = sums.where("words").select("words", "bucket", "keys", "counts").union(values)
-    values = values.withColumn("chunks", F.explode(F.sequence(F.lit(0), F.lit((chunks - 1) // FAN))))
+    # a group of chunks needs about NEEDS times a whole bucket, so what is copied stays a share of what it meets
+    size_of = lambda rows: rows.where("not words").agg(F.sum(F.octet_length("keys"))).first()[0] or 1
+    groups = min(chunks, max(1, math.ceil(size_of(packed) / (NEEDS * size_of(sums)))))
+    fan = -(-chunks // groups)
+    values = values.withColumn("chunks", F.explode(F.sequence(F.lit(0), F.lit((chunks - 1) // fan))))
     at = ["words", "bucket", "chunks"]
-    mine = packed.withColumn("chunks", F.floor(F.col("chunk") / FAN).cast("int"))
+    mine = packed.withColumn("chunks", F.floor(F.col("chunk") / fan).cast("int"))
     back = mine.groupBy(*at).cogroup(values.groupBy(*at)).applyInArrow(_give_back, "chunk int, words boolean, keys binary, values binary")
-    schema = f"id {key}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    schema = f"id {key}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
     scored = rows.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(lambda d, m: _score_chunk(d, m, tokens, distinct), schema)
     return scored.withColumnRenamed("id", id_col)

@@ -28,6 +28,8 @@ FOLDS = 4
 UNKNOWN = "und"
 PRIOR = 8.0
 FIRST_ROUNDS, NEXT_ROUNDS = 12, 6
+#: Distinct languages that may be learned; a column with more isn't one of languages, and learning from it fails.
+MOST_LANGS = 2_000
 #: Words times languages of a matrix, and of the likelihoods that a worker remembers.
 CELLS, KNOWN_CELLS = 1 << 20, 1_200_000
 LETTER = re.compile(r"[^\W\d_]")
@@ -82,6 +84,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     packed = found.groupBy("lang").agg(F.collect_list(F.struct("gram", "n")).alias("c"))
     model = {}
     for lang, pairs in packed.toLocalIterator():
+        if len(model) == MOST_LANGS:
+            raise ValueError(f"more than {MOST_LANGS} languages: {lang_col} doesn't hold languages")
         table = np.array(sorted((r[0], r[1]) for r in pairs), np.int64).reshape(-1, 2)
         model[lang] = table[:, 0], table[:, 1]
     return model

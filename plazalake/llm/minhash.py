@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, cut, hold, join_hot, slices
+from .common import LOWER, cut, discard, hold, join_hot, slices
 from .components import connected_components
 
 SHINGLE = 5
@@ -263,7 +263,9 @@ def _across(members: DataFrame, classes: DataFrame, sets: DataFrame, least: floa
     rows = members.join(classes.select("node", "signature"), "node").select("bucket", "i", "j", "small", "node", "component", "signature")
     flagged = cut(rows.groupBy("bucket", "i", "j").applyInArrow(flag, rows.schema), "flagged")
     with_sets = flagged.join(sets, "node").select(*rows.columns, "shingles")
-    return with_sets.groupBy("bucket", "i", "j").applyInArrow(link, "a long, b long").distinct()
+    links = cut(with_sets.groupBy("bucket", "i", "j").applyInArrow(link, "a long, b long").distinct(), "across")
+    discard(flagged)
+    return links
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -307,12 +309,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     meets = F.transform(every, lambda k: place(F.col("own"), k, False))
     meets = F.when(F.col("component") == F.col("largest"), meets).otherwise(F.concat(meets, F.transform(every, lambda k: place(k, F.col("own"), True))))
     members = members.select("bucket", "node", "component", F.explode(meets).alias("at")).select("bucket", "at.*", "node", "component")
-    more = cut(_across(members, classes, sets, threshold, percent, n), "across")
+    more = _across(members, classes, sets, threshold, percent, n)
+    for done in (placed, sizes, stars, sets):
+        discard(done)
     if more.take(1):
+        discard(found)
         found = connected_components(edges.union(more))
+    for done in (edges, more):
+        discard(done)
     # from components to classes, then to the rows of a class run by run, as one class may be that of most rows
     roots = classes.join(found, "node", "left").select("same", "id", F.coalesce("component", "node").alias("component"))
     roots = cut(join_hot(roots.drop("id"), roots.groupBy("component").agg(F.min("id").alias("component_id")), "component"), "roots")
+    for done in (classes, found):
+        discard(done)
     by_run = rows.select("run", "same").distinct().join(roots, "same")
     linked = rows.select("run", "same", "id", "hash", "n_shingles").join(by_run, ["run", "same"])
     alone = all_rows.where("same is null").select("id", "hash", "n_shingles", F.lit(None).cast("long").alias("component"), F.col("id").alias("component_id"))

@@ -76,3 +76,40 @@ def test_counts_by_trees_and_by_replay_agree():
     replay = MergeReplay(read_ranks(MULTI))
     words = ["".join(random.choices("aeinrst üß日", k=random.randint(1, 90))).encode() for _ in range(2000)] + [b"a", b"aa", b" the", "日".encode()]
     assert token_rollup.token_counts(replay, words) == [len(ids) // 4 for ids in replay.encode(words)]
+
+
+def test_near_duplicates_leave_two_tables(spark, tmp_path, monkeypatch):
+    import random
+
+    from plazalake.llm import minhash
+
+    random.seed(7)
+    monkeypatch.setattr(common, "shared_dir", lambda spark: f"file://{tmp_path}")
+    base = [f"w{random.randint(0, 900)}" for _ in range(80)]
+    rows = [(i, " ".join(base[: 80 - i % 3] + [f"x{i}"])) for i in range(40)] + [(100 + i, f"alone {i} " * 3) for i in range(20)]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 60 and sum(r.kept for r in got) == 21
+    assert sorted(p.name.split("-")[1] for p in tmp_path.iterdir() if p.name.startswith("plazalake-")) == ["roots", "sketches"]
+
+
+def test_code_length_per_byte(spark):
+    from plazalake.llm import context_tree
+
+    docs = spark.createDataFrame([(i, "the cat and the hat " * 20) for i in range(12)] + [(50, None), (51, "Zq")], "doc_id long, text string")
+    got = {r.doc_id: r for r in context_tree.score_texts(docs).collect()}
+    import math
+
+    n = len(("the cat and the hat " * 20).strip()) + 1
+    assert abs(got[0].bits_per_byte + got[0].score * math.log2(10) / n) < 1e-9 and got[0].bits_per_byte < 1
+    assert abs(got[50].bits_per_byte + got[50].score * math.log2(10)) < 1e-9 and got[51].bits_per_byte > got[0].bits_per_byte
+
+
+def test_a_column_that_holds_no_languages(spark, monkeypatch):
+    import pytest
+
+    from plazalake.llm import lang_mixture
+
+    monkeypatch.setattr(lang_mixture, "MOST_LANGS", 3)
+    docs = spark.createDataFrame([(i, "some words here", f"l{i}") for i in range(20)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError, match="more than 3 languages"):
+        lang_mixture.train(docs)
