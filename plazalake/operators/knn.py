@@ -144,7 +144,7 @@ class PivotIndex:
         self.parts = spark.createDataFrame([(int(b), -(-int(s) // POINTS)) for b, s in zip(self.ids, self.blocks.size, strict=True)], "block int, parts int")
 
     def plan(self, queries: DataFrame, threshold: float, first: bool) -> DataFrame:
-        """block, query_id, u of the blocks that a query (query_id, u, least) visits: the FIRST best ones, or all the others that its bounds leave.
+        """block, query_id, u, beat (the score that counts) of the blocks that a query (query_id, u, least) visits: the FIRST best ones, or all the others that its bounds leave.
 
         least is the score to beat, null where there is none but the threshold.
         """
@@ -162,25 +162,24 @@ class PivotIndex:
                     reach = least <= _angles(beat)[:, None] + SLACK
                     q, b = np.nonzero(reach & ((rank < FIRST) if first else (rank >= FIRST)))
                     take = pa.array(q)
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[b].astype(np.int32)), piece.column(0).take(take), piece.column(1).take(take)], names=["block", "query_id", "u"])
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[b].astype(np.int32)), piece.column(0).take(take), piece.column(1).take(take), pa.array(beat[q])], names=["block", "query_id", "u", "beat"])
 
-        return queries.select("query_id", "u", "least").mapInArrow(run, T.StructType([T.StructField("block", T.IntegerType()), T.StructField("query_id", kind), T.StructField("u", T.BinaryType())]))
+        return queries.select("query_id", "u", "least").mapInArrow(run, T.StructType([T.StructField("block", T.IntegerType()), T.StructField("query_id", kind), T.StructField("u", T.BinaryType()), T.StructField("beat", T.DoubleType())]))
 
-    def visit(self, planned: DataFrame, k: int, threshold: float) -> DataFrame:
-        """query_id, vec_id, label, score: of each block and query the k best, score at least threshold."""
-        planned = cut(planned, "planned")
+    def visit(self, planned: DataFrame, k: int) -> DataFrame:
+        """query_id, vec_id, label, score: of each block and query the k best with the score that the query has to beat, or a higher one."""
         chunks = planned.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("chunks"))
         sizes = self.parts.join(chunks, "block")
         part = lambda c, n: F.pmod(F.xxhash64(*c), F.col(n)).cast("int")
         spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-        asked = planned.join(F.broadcast(sizes), "block").withColumn("chunk", part(["query_id", "u"], "chunks")).withColumn("part", spread("parts")).select("block", "part", "chunk", "query_id", "u")
+        asked = planned.join(F.broadcast(sizes), "block").withColumn("chunk", part(["query_id", "u"], "chunks")).withColumn("part", spread("parts")).select("block", "part", "chunk", "query_id", "u", "beat")
         held = self.points.join(F.broadcast(sizes), "block").withColumn("part", part(["vec_id", "u"], "parts")).withColumn("chunk", spread("chunks")).select("block", "part", "chunk", "vec_id", "label", "u")
         out = T.StructType([asked.schema["query_id"], held.schema["vec_id"], held.schema["label"], T.StructField("score", T.DoubleType())])
 
         def meet(asked, held):
             if not asked.num_rows or not held.num_rows:
                 return pa.table({f.name: pa.array([], t) for f, t in zip(out, (asked.schema.field("query_id").type, held.schema.field("vec_id").type, held.schema.field("label").type, pa.float64()), strict=True)})
-            q, x = _rows(asked.column("u")), _rows(held.column("u"))
+            q, x, beat = _rows(asked.column("u")), _rows(held.column("u")), asked.column("beat").to_pylist()
             ids = held.column("vec_id").to_pylist()
             order = np.array(sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i])))
             x = x[order]
@@ -189,13 +188,13 @@ class PivotIndex:
                 near = q[at : at + PIECE] @ x.T
                 for i in range(len(near)):
                     row = near[i]
-                    floor = threshold - 1e-9
+                    floor = beat[at + i] - 1e-9
                     if len(row) > k:  # all that may be among the k best, rounding aside
                         floor = max(floor, np.partition(row, len(row) - k)[len(row) - k] - 1e-9)
                     cand = np.flatnonzero(row >= floor)
                     exact = (x[cand] * q[at + i]).sum(1)  # the same sum for equal vectors, wherever they stand
                     keep = np.argsort(-exact, kind="stable")[:k]
-                    keep = keep[exact[keep] >= threshold]
+                    keep = keep[exact[keep] >= beat[at + i]]
                     first += [at + i] * len(keep)
                     second += order[cand[keep]].tolist()
                     scores += exact[keep].tolist()
@@ -220,10 +219,10 @@ def nearest_by_pivots(points: DataFrame, queries: DataFrame, k: int, threshold:
         return none.select("query_id", "vec_id", "label", F.lit(0.0).alias("score"), F.lit(0).alias("rank")), asked.select("query_id", F.lit(0).cast("long").alias("pairs"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     first = cut(index.plan(asked.withColumn("least", F.lit(None).cast("double")), threshold, True), "first")
-    hits = cut(index.visit(first, k, threshold), "hits")
+    hits = cut(index.visit(first, k), "hits")
     beat = hits.withColumn("_n", F.row_number().over(best)).where(F.col("_n") == k).select("query_id", F.col("score").alias("least"))
     rest = cut(index.plan(asked.join(beat, "query_id", "left").select("query_id", "u", "least"), threshold, False), "rest")
-    found = hits.unionByName(index.visit(rest, k, threshold))
+    found = hits.unionByName(index.visit(rest, k))
     ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     sizes = index.points.groupBy("block").agg(F.count(F.lit(1)).alias("n"))
     visits = first.select("block", "query_id").union(rest.select("block", "query_id")).join(F.broadcast(sizes), "block").groupBy("query_id").agg(F.sum("n").alias("pairs"))
