@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plazalake.sources.payloads import by_bytes
+
 # Tags and names that hold no article text.
 SKIP = frozenset(("head", "script", "style", "nav", "footer", "header", "aside", "noscript", "form", "button", "svg", "iframe", "select", "template"))
 JUNK_CLASS = re.compile(
@@ -212,8 +214,8 @@ def html_articles(pages: DataFrame, id_col: str = "page_id", html_col: str = "ht
     types = [pa.string(), pa.list_(pa.string()), pa.map_(pa.string(), pa.string()), pa.list_(block)]
 
     def run(batches):
-        for batch in batches:
-            method, flags, meta, blocks = zip(*map(article, batch.column(1).to_pylist()), strict=True) if batch.num_rows else ((),) * 4
+        for batch in by_bytes(batches, 1):
+            method, flags, meta, blocks = zip(*map(article, batch.column(1).to_pylist()), strict=True)
             columns = method, flags, [list(m.items()) for m in meta], [[dict(zip(("kind", "level", "text", "links"), b, strict=True)) for b in bs] for bs in blocks]
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(columns, types, strict=True)]], names=[id_col, "method", "flags", "meta", "blocks"])
 

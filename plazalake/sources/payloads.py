@@ -17,6 +17,19 @@ PIECE = 8 << 20
 ERROR = 200
 
 
+def by_bytes(batches, index: int, most: int = PIECE):
+    """Arrow batches cut so that the texts of a piece, in column index, take about `most` bytes; a longer text stands alone."""
+    for batch in batches:
+        begin, held = 0, 0
+        for i, size in enumerate(pa.compute.binary_length(batch.column(index)).to_pylist()):
+            if i > begin and held + (size or 0) > most:
+                yield batch.slice(begin, i - begin)
+                begin, held = i, 0
+            held += size or 0
+        if batch.num_rows > begin:
+            yield batch.slice(begin)
+
+
 class Empty(ValueError):
     """A payload that was read and holds nothing."""
 
@@ -45,22 +58,13 @@ def parse_payloads(payloads: DataFrame, read: Callable[[str], list[tuple]], fiel
         except Exception as e:  # noqa: BLE001  any failure belongs to its payload alone
             return [(None, *nothing, str(e)[:ERROR] or type(e).__name__)]
 
-    def rows(batch, first, texts):
-        found = [one(t) for t in texts]
-        at = pa.array([first + i for i, x in enumerate(found) for _ in x], pa.int64())
-        flat = [r for x in found for r in x]
-        columns = [pa.array([r[j] for r in flat], f.type) for j, f in enumerate(arrow[len(kept) :])] if flat else [pa.array([], f.type) for f in arrow[len(kept) :]]
-        return pa.RecordBatch.from_arrays([*(batch.column(i).take(at) for i in range(len(kept))), *columns], schema=pa.schema([*(batch.schema.field(i) for i in range(len(kept))), *arrow[len(kept) :]]))
-
     def run(batches):
-        for batch in batches:
-            texts, begin, held = batch.column(len(kept)), 0, 0
-            for i, size in enumerate(pa.compute.binary_length(texts).to_pylist()):
-                if i > begin and held + (size or 0) > PIECE:
-                    yield rows(batch, begin, texts.slice(begin, i - begin).to_pylist())
-                    begin, held = i, 0
-                held += size or 0
-            if batch.num_rows > begin:
-                yield rows(batch, begin, texts.slice(begin).to_pylist())
+        for batch in by_bytes(batches, len(kept)):
+            found = [one(t) for t in batch.column(len(kept)).to_pylist()]
+            at = pa.array([i for i, x in enumerate(found) for _ in x], pa.int64())
+            flat = [r for x in found for r in x]
+            own_fields = arrow[len(kept) :]
+            columns = [pa.array([r[j] for r in flat], f.type) for j, f in enumerate(own_fields)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(at) for i in range(len(kept))), *columns], schema=pa.schema([*(batch.schema.field(i) for i in range(len(kept))), *own_fields]))
 
     return payloads.select(*[f.name for f in kept], F.col(column).cast("string").alias("_payload")).mapInArrow(run, out)

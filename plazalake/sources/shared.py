@@ -8,11 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def place(spark: SparkSession, name: str) -> str:
-    """A new path in spark.checkpoint.dir; only a local master may do without that setting."""
+    """A new path in spark.checkpoint.dir, deleted when the session's file system closes; only a local master may do without that setting."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found and not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir isn't set")
-    return f"{(found or 'file:///tmp/checkpoints').rstrip('/')}/plazalake-{name}-{uuid.uuid4().hex}"
+    path = f"{(found or 'file:///tmp/checkpoints').rstrip('/')}/plazalake-{name}-{uuid.uuid4().hex}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
@@ -20,8 +23,6 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = place(spark, name)
     df.write.parquet(path)
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
 
 
