@@ -193,10 +193,11 @@ def _(spark, sf):
     return _union(spark, sf)[1].withColumn("error", F.substring_index("error", ":", 1))
 
 
-@query("source_fallback", sql("pool", "SELECT id, source FROM pool WHERE source = 'src1' OR (source = 'src2' AND kind NOT IN (SELECT kind FROM pool WHERE source = 'src1'))"))
+@query("source_fallback", sql("pool", "SELECT id, source FROM pool p WHERE points >= 400 OR (coalesce(points, 0) < 400 AND source NOT IN (SELECT source FROM pool WHERE points >= 400 AND source IS NOT NULL))"))
 def _(spark, sf):
-    p = pool(spark, sf).select("id", "source", "kind")
-    return R.use_fallback(p.where("source = 'src1'"), p.where("source = 'src2'"), ["kind"]).select("id", "source")
+    """Of each source the rows that its primary service gave, else those of the other."""
+    p = pool(spark, sf).select("id", "source", "points")
+    return R.use_fallback(p.where("points >= 400"), p.where("coalesce(points, 0) < 400"), ["source"]).select("id", "source")
 
 
 @query("incremental_sync", sql("replies", "SELECT reply_id, post_id, body, time FROM (SELECT *, row_number() OVER (PARTITION BY reply_id ORDER BY time DESC) AS n FROM replies) WHERE n = 1"))

@@ -82,6 +82,7 @@ def _(spark, sf):
 
 @query("vector_best_per_post", f"WITH {_VECTOR} SELECT post_id, round(vector, 9) AS vector, hits FROM vb")
 def _(spark, sf):
+    """One question in three wordings, the vectors of the lowest ids, against all points."""
     return V.best_per_post(_vector(spark, sf).withColumnRenamed("vec_id", "post_id")).select("post_id", F.round("vector", 9).alias("vector"), "hits")
 
 
@@ -93,6 +94,7 @@ def _(spark, sf):
         + 0.08 * CASE WHEN high > low THEN (coalesce(heat, 0) - low) / (high - low) ELSE 0 END AS score FROM m, b)
     SELECT post_id, title, heat, round(score, 9) AS score FROM s ORDER BY s.score DESC, post_id LIMIT 50"""))
 def _(spark, sf):
+    """One question in three wordings, the vectors of the lowest ids, against all points and all posts."""
     vector = V.best_per_post(_vector(spark, sf).withColumnRenamed("vec_id", "post_id"))
     found = V.fuse(_keyword(spark, sf), vector, R.visible(posts(spark, sf)), 50)
     return found.withColumn("score", F.round("score", 9))

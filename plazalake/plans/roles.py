@@ -1,5 +1,6 @@
 """The driver's tables in the roles of forum, feed and log tables.
 
+A document has no title: its first 40 characters stand for one, its whole text is the body.
 Each role is a projection of a whole table: a function here, and the same as a
 DuckDB common table expression in CTE for the oracles.
 """
