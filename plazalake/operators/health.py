@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plazalake.operators.reports import worst
+from plazalake.sources.shared import cut
 
 #: Bytes of keywords that one automaton holds; more go through in several passes.
 KEYWORD_BYTES = 8 << 20
@@ -77,13 +78,15 @@ def match_rules(rules: DataFrame, signals: DataFrame) -> DataFrame:
     asked = F.array_sort(F.array_distinct(F.transform(F.filter(F.coalesce("contains", F.array().cast("array<string>")), lambda k: F.coalesce(k, F.lit("")) != ""), lambda k: F.lower(k))))
     own = rules.select("rule", asked.alias("need")).distinct()
     words = own.select(F.explode("need").alias("word"))
-    known = signals.where("signal is not null").select("signal").distinct()
+    known = signals.where("signal is not null").select("signal")
     hits = keyword_hits(known, words, "signal").select("hits").where("size(hits) > 0").distinct()
-    seen = hits.select(F.explode("hits").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    sets = cut(hits.withColumn("id", F.monotonically_increasing_id()), "hits")
+    each = sets.select("id", F.explode("hits").alias("word"))
+    seen = each.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     posted = own.select("rule", "need", F.explode("need").alias("word")).join(seen, "word").groupBy("rule", "need").agg(F.count(F.lit(1)).alias("found"), F.min_by("word", F.struct("n", "word")).alias("word"))
     posted = posted.where(F.col("found") == F.size("need")).select("rule", "need", "word")
-    met = hits.select("hits", F.explode("hits").alias("word")).join(posted, "word")
-    fired = met.where(F.size(F.array_except("need", "hits")) == 0).select("rule")
+    met = each.join(posted, "word").select("id", "rule", "need")
+    fired = met.join(sets, "id").where(F.size(F.array_except("need", "hits")) == 0).select("rule")
     any_signal = known.limit(1).select(F.lit(1).alias("_one"))
     bare = own.where("size(need) = 0").join(F.broadcast(any_signal), F.lit(True), "left_semi").select("rule")
     return fired.union(bare).distinct()
