@@ -22,7 +22,7 @@ from .vectors import common_length, matrix, scaled, usable
 
 #: Entries become floor(SCALE * c) + SHIFT.
 SCALE, SHIFT = 64, 1_000_000
-#: Entries in a packed block of the fit list, 4 or 8 bytes each.
+#: Entries in a packed block of the fit list, of 2, 4 or 8 bytes each.
 BLOCK = 1 << 19
 #: Relative size of what counts as nothing: rounding of sums of products.
 TINY = 1e-12
@@ -35,8 +35,8 @@ def _sums(blocks: DataFrame, task, most: int) -> np.ndarray:
     def run(batches):
         total = None
         for batch in batches:
-            for kind, raw in zip(batch.column("wide").to_pylist(), batch.column("x").to_pylist(), strict=True):
-                part = task(np.frombuffer(raw, "<i8" if kind else "<i4"))
+            for wide, raw in zip(batch.column("wide").to_pylist(), batch.column("x").to_pylist(), strict=True):
+                part = task(np.frombuffer(raw, f"<i{wide}").astype(np.int64))
                 total = part if total is None else total + part
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array(range(most), pa.int32()), pa.array(total, pa.float64())], names=["i", "v"])
@@ -48,7 +48,7 @@ def _sums(blocks: DataFrame, task, most: int) -> np.ndarray:
 
 
 def _pack(vectors: DataFrame, d: int) -> DataFrame:
-    """Blocks of x - SHIFT: n, wide (8-byte entries, else 4), x."""
+    """Blocks of x - SHIFT: n, wide (bytes of an entry: 2, 4 or 8), x."""
 
     def run(batches):
         for batch in batches:
@@ -56,10 +56,11 @@ def _pack(vectors: DataFrame, d: int) -> DataFrame:
             step = max(1, BLOCK // d)
             for at in range(0, len(x), step):
                 part = x[at : at + step]
-                wide = bool(len(part)) and int(np.abs(part).max()) >= 1 << 31
-                yield pa.RecordBatch.from_arrays([pa.array([len(part)], pa.int64()), pa.array([wide]), pa.array([part.astype("<i8" if wide else "<i4").tobytes()], pa.binary())], names=["n", "wide", "x"])
+                most = int(np.abs(part).max())
+                wide = next(w for w in (2, 4, 8) if most < 1 << 8 * w - 1)
+                yield pa.RecordBatch.from_arrays([pa.array([len(part)], pa.int64()), pa.array([wide], pa.int32()), pa.array([part.astype(f"<i{wide}").tobytes()], pa.binary())], names=["n", "wide", "x"])
 
-    return vectors.mapInArrow(run, "n long, wide boolean, x binary")
+    return vectors.mapInArrow(run, "n long, wide int, x binary")
 
 
 class Fit:
@@ -89,8 +90,8 @@ def _exact_sums(blocks: DataFrame, d: int) -> tuple[int, list[int]]:
     def run(batches):
         n, total = 0, [0] * d
         for batch in batches:
-            for size, kind, raw in zip(batch.column("n").to_pylist(), batch.column("wide").to_pylist(), batch.column("x").to_pylist(), strict=True):
-                x = np.frombuffer(raw, "<i8" if kind else "<i4").reshape(-1, d)
+            for size, wide, raw in zip(batch.column("n").to_pylist(), batch.column("wide").to_pylist(), batch.column("x").to_pylist(), strict=True):
+                x = np.frombuffer(raw, f"<i{wide}").astype(np.int64).reshape(-1, d)
                 # halves of 26 bits: 2^37 rows of a block would be needed to overflow a sum
                 low, high = (x & ((1 << 26) - 1)).sum(0, dtype=np.int64), (x >> 26).sum(0, dtype=np.int64)
                 n, total = n + size, [t + (int(h) << 26) + int(w) for t, h, w in zip(total, high, low, strict=True)]
