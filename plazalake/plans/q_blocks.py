@@ -99,7 +99,7 @@ def _(spark, sf):
     return H.html_articles(table(spark, sf, "pages")).select("page_id", F.map_entries("meta").alias("meta"))
 
 
-@query("html_unescape")
+@query("html_unescape", r"""SELECT page_id, left(trim(regexp_replace(regexp_replace(replace(replace(replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '&middot;', '·'), '&copy;', '©'), '&quot;', '"'), '&amp;?', '&', 'g'), '\s+', ' ', 'g')), 300) AS summary FROM pages""")
 def _(spark, sf):
     return table(spark, sf, "pages").select("page_id", H.clean_html(F.col("html"), 300).alias("summary"))
 

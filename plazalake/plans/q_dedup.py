@@ -42,5 +42,10 @@ ORACLES["paragraph_cut"] = r"""
         WHEN (length(head) - length(replace(head, '```', ''))) // 3 % 2 = 1 THEN regexp_replace(regexp_extract(head, '(?s)\A(.*)```', 1), '\s+\z', '')
         ELSE head END AS text FROM c"""
 QUERIES["markdown_lint"] = lambda spark, sf: table(spark, sf, "pages").select("page_id", Y.markdown_issues("html").alias("issues"))
+#: For pages without backticks and tildes in a row: nothing in them is code.
+ORACLES["markdown_lint"] = r"""
+    SELECT page_id, CASE WHEN html IS NULL OR NOT regexp_matches(html, '\S') THEN ['empty_markdown'] ELSE list_filter([
+        CASE WHEN regexp_matches(html, '</?[A-Za-z][\w:-]*(?:\s[^<>]*)?/?>|(?i:\]\(\s*(?:javascript|data|file):)') THEN 'unsupported_markup' END,
+        CASE WHEN regexp_matches(html, '(?i)\b(?:TODO|TBD)\b|\[待填[^\]]*\]|\[占位[^\]]*\]') THEN 'editorial_placeholder' END], lambda x: x IS NOT NULL) END AS issues FROM pages"""
 QUERIES["metadata_hash"] = lambda spark, sf: table(spark, sf, "events").select("event_id", X.canonical_hash(F.map_from_arrays(F.array(F.lit("type"), F.lit("props")), F.array("event_type", "props"))).alias("digest"))
 ORACLES["metadata_hash"] = """SELECT event_id, sha256('{"props":' || coalesce(CAST(to_json(props) AS VARCHAR), 'null') || ',"type":' || coalesce(CAST(to_json(event_type) AS VARCHAR), 'null') || '}') AS digest FROM events"""
