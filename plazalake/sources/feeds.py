@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from plazalake.functions.text import local_iso, parse_num
 from plazalake.sources.payloads import parse_payloads
+from plazalake.sources.shared import cut
 
 ITEM = ["title", "url", "source", "author", "published_at", "summary", "points", "rank"]
 LEAST_POINTS, MOST_HITS, MOST_ARTICLES, LEAST_ROWS = 20, 15, 20, 5
@@ -172,8 +173,9 @@ def union_stats(rows: DataFrame, names: DataFrame, order: list[str], most: int)
     (source) are the sources that were asked for. Of each source the first `most` items in
     this order are kept. stats: source, fetched, failed (payloads), error (the first in this
     order; null where something was fetched, "unknown source" where nothing is known of it).
-    Reading the stats fails if no source gave anything.
+    Reading the stats fails if no source gave anything. Rows are made once, as a table.
     """
+    rows = cut(rows, "feed-rows")
     place = F.row_number().over(Window.partitionBy("source").orderBy(*order))
     items = rows.where("error is null").withColumn("_n", place).where(F.col("_n") <= most).drop("_n", "error")
     bad = rows.where("error is not null").groupBy("source").agg(F.count(F.lit(1)).alias("failed"), F.min_by("error", F.struct(*order)).alias("_error"))
