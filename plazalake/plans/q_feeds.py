@@ -202,14 +202,17 @@ def _(spark, sf):
 
 @query("incremental_sync", sql("replies", "SELECT reply_id, post_id, body, time FROM (SELECT *, row_number() OVER (PARTITION BY reply_id ORDER BY time DESC) AS n FROM replies) WHERE n = 1"))
 def _(spark, sf):
-    """Three rounds of a poll: the first half, again the same batch, then what has come since the mark."""
+    """Four cycles of a poll: the first half, one in which the service is away, the first half again, then what has come since the mark."""
     r = replies(spark, sf).select("reply_id", "post_id", "body", "time")
     middle = r.agg((F.min(F.unix_seconds(F.col("time").cast("timestamp"))) / 2 + F.max(F.unix_seconds(F.col("time").cast("timestamp"))) / 2).alias("s"))
     first = r.join(F.broadcast(middle), F.unix_seconds(F.col("time").cast("timestamp")) <= F.col("s")).drop("s")
     index = Index(spark, place(spark, "index"), r.schema, "reply_id", newest="time", time="time")
-    index.apply(first, 0)
-    index.apply(first, 0)
-    index.apply(index.since(r), 1)
+
+    def away():
+        raise ConnectionError("the service is away")
+
+    cycles = iter([lambda: index.apply(first, 0), away, lambda: index.apply(first, 0), lambda: index.apply(index.since(r), 1)])
+    J.watch(lambda: next(cycles)(), index.state, cycles=4, every=2, pause=0)
     return index.rows()
 
 
