@@ -20,7 +20,7 @@ def test_pipeline_by_its_stages(spark):
 
 
 def test_all_numbered_queries_are_registered():
-    assert {n.split("_")[0] for n in queries()} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in queries()} == {f"op{i}" for i in range(1, 14)}
 
 
 @pytest.mark.parametrize("rows", [[], [(1, None, None, None, None), (2, "", "en", "s", 0), (3, "a b", "en", "s", 3), (3, "a b", "en", "s", 3), (None, "c d", None, "s", 3)]])
