@@ -2,75 +2,13 @@
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from plazalake.functions.text import normalize_url
+from plazalake.operators.similar import THRESHOLD, similar_titles  # noqa: F401  the threshold is part of this interface
 from plazalake.sources.shared import cut, discard
 
-THRESHOLD = 0.85
-#: Of the length of a title, the least length of a partner: M <= min(a, b) and 2M >= t(a + b).
-SHORTEST = THRESHOLD / (2 - THRESHOLD)
-
-
-@F.pandas_udf(T.DoubleType())
-def title_ratio(new: pd.Series, old: pd.Series) -> pd.Series:
-    """Matching-blocks ratio of lower-case titles, in this order; 0 where an upper bound is below the threshold."""
-    out = []
-    for a, b in zip(new, old, strict=True):
-        m = SequenceMatcher(None, a.lower(), b.lower())
-        out.append(m.ratio() if m.real_quick_ratio() >= THRESHOLD and m.quick_ratio() >= THRESHOLD else 0.0)
-    return pd.Series(out, dtype=float)
-
-
-# for the optimizer, which else compares titles before the cheaper conditions hold
-title_ratio = title_ratio.asNondeterministic()
-
-
-def _shared_pairs(total: Column) -> Column:
-    """The least number of character pairs that two titles of a ratio of THRESHOLD share, total being their joint length.
-
-    Matching blocks keep M characters in order, so one title becomes the other by
-    a - M deletions, of which each breaks two pairs at most, and b - M insertions,
-    of which each breaks one: 3M - a - b - 1 pairs are left.
-    """
-    return F.ceil((1.5 * THRESHOLD - 1) * total - 1 - 1e-9)
-
-
-def _pairs_of(titles: DataFrame) -> DataFrame:
-    """t, size, all (its pairs of neighbouring characters, counted: the second "an" is another than the first),
-    rare (the rarest of them, enough that two similar titles have one in common)."""
-    size = F.char_length("t")
-    cut_up = F.transform(F.sequence(F.lit(1), size - 1), lambda i: F.substr(F.col("t"), i, F.lit(2)))
-    grams = titles.where(size > 2).select("t", F.explode(cut_up).alias("gram")).groupBy("t", "gram").agg(F.count(F.lit(1)).cast("int").alias("times"))
-    rows = grams.select("t", F.explode(F.transform(F.sequence(F.lit(1), F.col("times")), lambda k: F.concat("gram", k.cast("string")))).alias("gram"))
-    seen = rows.groupBy("gram").agg(F.count(F.lit(1)).alias("seen"))
-    order = F.array_sort(F.collect_list(F.struct("seen", "gram")))
-    whole = rows.join(seen, "gram").groupBy("t").agg(F.transform(order, lambda g: g["gram"]).alias("all"))
-    least = F.greatest(_shared_pairs(size * (1 + SHORTEST)), F.lit(1))
-    return whole.select("t", size.alias("size"), "all", F.slice("all", F.lit(1), (F.size("all") - least + 1).cast("int")).alias("rare"))
-
-
-def similar_titles(titles: DataFrame) -> DataFrame:
-    """new, old: all pairs of lower-case titles t, each with itself too, with a ratio of THRESHOLD at least.
-
-    No pair is lost: titles of one or two characters are similar to themselves only; longer ones
-    meet by a rare pair of characters, lengths permitting, and are compared if they share enough pairs.
-    """
-    known = cut(_pairs_of(titles), "titles")
-    rare = known.select("t", "size", F.explode("rare").alias("gram"))
-    x, y = rare.alias("x"), rare.alias("y")
-    fits = (F.col("x.t") != F.col("y.t")) & (F.least("x.size", "y.size") >= SHORTEST * F.greatest("x.size", "y.size") - 1e-9)
-    met = x.join(y, (F.col("x.gram") == F.col("y.gram")) & fits).select(F.col("x.t").alias("new"), F.col("y.t").alias("old")).distinct()
-    a, b = known.select(F.col("t").alias("new"), F.col("all").alias("_a")), known.select(F.col("t").alias("old"), F.col("all").alias("_b"))
-    enough = F.size(F.array_intersect("_a", "_b")) >= _shared_pairs(F.char_length("new") + F.char_length("old"))
-    near = met.join(a, "new").join(b, "old").where(enough).select("new", "old")
-    return near.where(title_ratio("new", "old") >= THRESHOLD).union(titles.select("t", "t"))
-
 
 def _forms(items: DataFrame) -> DataFrame:
     """id, ord, u, t of items (id, ord, url, title): the normalised URL and the lower-case title, empty where there is none."""
