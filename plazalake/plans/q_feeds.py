@@ -92,7 +92,8 @@ def _(spark, sf):
 @query("embedding_shapes", "SELECT vec_id AS feed, 0 AS pos, list_transform(embedding, lambda x: round(x::DOUBLE, 5)) AS vector FROM embeddings")
 def _(spark, sf):
     e = table(spark, sf, "embeddings")
-    v = F.transform("embedding", lambda x: F.round(x.cast("double"), 5))
+    rounded = lambda x: F.round(x.cast("double"), 5)  # noqa: E731  of what is a little below zero it would be a positive one
+    v = F.transform("embedding", lambda x: F.when((x < 0) & (rounded(x) == 0), F.lit(-0.0)).otherwise(rounded(x)))
     shapes = F.when(F.col("vec_id") % 3 == 0, F.to_json(F.array(v))).when(F.col("vec_id") % 3 == 1, F.to_json(F.struct(F.array(v).alias("embeddings")))).otherwise(F.to_json(F.struct(F.array(F.struct(v.alias("embedding"))).alias("data"))))
     return S.vectors(e.select(F.col("vec_id").alias("feed"), shapes.alias("payload")))
 

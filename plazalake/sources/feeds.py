@@ -99,9 +99,13 @@ def repositories(payloads: DataFrame, seen: DataFrame) -> DataFrame:
     return rows.withColumn("_n", place).where("_n = 1").drop("_n").withColumn("url", F.coalesce("url", F.concat(F.lit("https://github.com/"), "full_name")))
 
 
+#: A negative zero as JSON writes it; read as a decimal it would lose its sign, with an exponent it doesn't.
+NEGATIVE_ZERO = r"(?<=[\[,\s])-0(?:\.0+)?(?=[\],\s])"
+
+
 def vectors(payloads: DataFrame) -> DataFrame:
     """feed, pos, vector of any known shape of an embedding response."""
-    v = F.try_parse_json("payload")
+    v = F.try_parse_json(F.regexp_replace("payload", NEGATIVE_ZERO, "-0e0"))
     read = lambda path: F.try_variant_get(v, path, "array<array<double>>")
     nested = F.transform(F.try_variant_get(v, "$.data", "array<variant>"), lambda x: F.try_variant_get(x, "$.embedding", "array<double>"))
     found = F.coalesce(read("$"), read("$.embeddings"), read("$.vectors"), nested, read("$.result"))

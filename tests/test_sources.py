@@ -93,3 +93,21 @@ def test_feeds_as_a_data_source(spark, tmp_path):
     names = spark.createDataFrame([("rss",), ("gone",)], "source string")
     stats = feeds.union_stats(rows.withColumnRenamed("feed", "source"), names, ["pos"], 20)[1]
     assert {r.source: r.fetched for r in stats.collect()} == {"rss": 2, "gone": 0}
+
+
+def test_vectors_keep_the_sign_of_zero(spark):
+    import math
+
+    from pyspark.sql import functions as F
+
+    from plazalake.plans import registry
+    from plazalake.sources import feeds
+
+    rows = spark.createDataFrame([(1, "[[-0.0, -0, 0.0, -0.5, 10.0]]"), (2, '{"data": [{"embedding": [1.0, -0.00]}]}')], "feed long, payload string")
+    got = {r.feed: [math.copysign(1, x) for x in r.vector] for r in feeds.vectors(rows).collect()}
+    assert got == {1: [-1, -1, 1, -1, 1], 2: [1, -1]}
+    sf = "/root/testdata/sf0.1"
+    tiny = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", F.expr("size(filter(embedding, x -> x < 0 and x > -0.000005f))").alias("n")).where("n > 0")
+    want = {r.vec_id: r.n for r in tiny.collect()}
+    found = registry.queries()["embedding_shapes"](spark, sf).where(F.col("feed").isin(list(want))).collect()
+    assert want and {r.feed: sum(x == 0 and math.copysign(1, x) < 0 for x in r.vector) for r in found} == want
