@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 from difflib import SequenceMatcher
+from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,8 @@ COUNTED, PLACED = (24, 8), (96, 31)
 MOST, SHARE = 32, 90
 #: Titles of a tile, at either side; pairs that are held against each other in order at once.
 TILE, PAIRS = (512, 2048), 1 << 14
+#: Length from which SequenceMatcher ignores popular characters.
+POPULAR = 200
 #: Length up to which positions fit into a word.
 WORD = 64
 
@@ -40,6 +43,21 @@ def ratio(new: str, old: str) -> float:
     return m.ratio() if m.real_quick_ratio() >= THRESHOLD and m.quick_ratio() >= THRESHOLD else 0.0
 
 
+def similar(new: str, old: str) -> bool:
+    """ratio(new, old) >= THRESHOLD, of texts that have that many characters in common in order.
+
+    A common beginning that is the longest common block is the first matching block, so only what
+    follows is left to compare. Not for texts of which SequenceMatcher ignores popular characters.
+    """
+    if max(len(new), len(old)) >= POPULAR:
+        return ratio(new, old) >= THRESHOLD
+    n = len(commonprefix((new, old)))
+    if n and not any(new[i : i + n + 1] in old for i in range(len(new) - n)):
+        rest = sum(block.size for block in SequenceMatcher(None, new[n:], old[n:]).get_matching_blocks())
+        return 2.0 * (n + rest) / (len(new) + len(old)) >= THRESHOLD
+    return SequenceMatcher(None, new, old).ratio() >= THRESHOLD
+
+
 def _in_order(a: str, b: str) -> int:
     """The most characters that two texts of any length have in common in order."""
     at: dict[str, int] = {}
@@ -192,7 +210,7 @@ def similar_titles(titles: DataFrame) -> DataFrame:
             other = x if one else y
             for i, j in near_pairs(x, None if one else y):
                 for s, t in zip(map(x.__getitem__, i.tolist()), map(other.__getitem__, j.tolist()), strict=True):
-                    found += [(new, old) for new, old in ((s, t), (t, s)) if ratio(new.lower(), old.lower()) >= THRESHOLD]
+                    found += [(new, old) for new, old in ((s, t), (t, s)) if similar(new.lower(), old.lower())]
         return pa.table({"new": pa.array([s for s, _ in found], pa.string()), "old": pa.array([t for _, t in found], pa.string())})
 
     a, b = (side.repartition(min(pairs, PARTS), *keys).groupBy(*keys) for side, keys in ((a, "ij"), (b, "km")))

@@ -38,6 +38,14 @@ def test_bounds_lose_no_pair():
     assert sum(len(p) for p, _ in S.near_pairs(other)) < 80  # of 79,800
 
 
+def test_a_common_beginning_is_the_first_block():
+    r = random.Random(4)
+    for _ in range(4000):
+        head = "".join(r.choice("ab c") for _ in range(r.randint(0, 24)))
+        s, t = (head + "".join(r.choice("ab c") for _ in range(r.randint(0, 9))) for _ in range(2))
+        assert S.similar(s, t) == (S.SequenceMatcher(None, s, t).ratio() >= S.THRESHOLD)
+
+
 @pytest.mark.parametrize("most", [20, 2048])
 def test_blocks_lose_no_pair(spark, monkeypatch, most):
     titles = some_titles(2)
@@ -51,3 +59,8 @@ def test_titles_meet_a_block_not_each_other():
     rows, groups = S._meetings({11: 100_000, 12: 30_000, 20: 5})
     assert [r[0] for r in rows] == [11, 12, 20] and [r[2] for r in rows] == [10, 3, 1]
     assert rows[0][3:] == (0, 13) and rows[1][3:] == (0, 13) and rows[2][3:] == (13, 14) and groups == 55 + 30 + 6 + 1
+
+
+def test_a_longer_block_after_the_beginning_goes_first():
+    s, t = "abX" + "c" * 9, "abYabX" + "c" * 9
+    assert S.similar(s, t) == (S.SequenceMatcher(None, s, t).ratio() >= S.THRESHOLD)
