@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plazalake.functions.text import normalize_url
@@ -62,6 +63,8 @@ def title_links(items: DataFrame) -> DataFrame:
 
 #: Rounds over groups before what is left is decided over pairs, and pairs for each undecided item that this may take.
 GROUP_ROUNDS, PAIRS = 6, 32
+#: Open items and pairs of their titles, together, that one task decides.
+LAST = 1 << 16
 
 
 def _settle(left: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -99,27 +102,68 @@ def _settle(left: DataFrame, pairs: DataFrame) -> DataFrame:
     return out
 
 
+def _in_turn(left: DataFrame, near: DataFrame) -> DataFrame:
+    """Those of left (id, o, u, t) that are kept, decided one after the other in one task: for a bounded rest."""
+
+    def decide(items, pairs):
+        like, where, known = {}, {}, {}
+        for new, old in zip(pairs.column("new").to_pylist(), pairs.column("old").to_pylist(), strict=True):
+            like.setdefault(new, []).append(old)
+        turn, urls, titles = (items.column(c).to_pylist() for c in ("_turn", "u", "t"))
+        kept = []
+        for at in sorted(range(len(turn)), key=turn.__getitem__):
+            o, u, t = turn[at], urls[at], titles[at]
+            if (u and where.get(u, o) < o) or any(known.get(old, o) < o for old in like.get(t, ())):
+                continue
+            kept.append(at)
+            where.setdefault(u, o)
+            known.setdefault(t, o)
+        return items.take(pa.array(kept, pa.int64())).drop_columns(["_turn"])
+
+    one = F.lit(0).alias("_one")
+    turns = left.withColumn("_turn", F.rank().over(Window.orderBy("o")))
+    return turns.groupBy(one).cogroup(near.groupBy(one)).applyInArrow(decide, left.schema)
+
+
 def _choose(reps: DataFrame, near: DataFrame) -> DataFrame:
     """id, o, u, t of those of reps (id, o, u, t) that are kept, going by o: one goes if an earlier one that is kept is the same.
 
-    Each round decides by URL and by title, of which it needs the earliest item that is kept
-    or open: an item goes if one before it is kept, and stays if it is the earliest itself.
-    So copies, stars and cliques take two rounds. What is left after GROUP_ROUNDS, chains
-    in order, is decided over pairs, if those aren't many more than the items.
+    Each round works on what is open by URL and by title, never on pairs of items: the
+    earliest among all that are the same as it stays, and who has one that stays before it
+    goes. So copies, stars and cliques take one round, and only open items and the pairs of
+    their titles are read again. At most LAST of these are decided in order by one task; of
+    more, what is left after GROUP_ROUNDS, chains in order, is decided over pairs, if those
+    aren't many more than the items.
     """
-    kept, left, rounds = reps.where(F.lit(False)), reps, 0
+    found, left, rounds = None, reps, 0
+    before = lambda c: F.coalesce(F.col(c) < F.col("o"), F.lit(False))
+    least = lambda rows: (
+        _around(near, rows.where("t <> ''").groupBy("t").agg(F.min("o").alias("mt"))).withColumnRenamed("new", "t"),
+        rows.where("u <> ''").groupBy("u").agg(F.min("o").alias("mu")),
+    )
     while True:
         rounds += 1
-        live = kept.withColumn("k", F.col("o")).unionByName(left.withColumn("k", F.lit(None).cast(reps.schema["o"].dataType)))
-        by_title = live.where("t <> ''").groupBy("t").agg(F.min("o").alias("mt"), F.min("k").alias("kt"))
-        by_url = live.where("u <> ''").groupBy("u").agg(F.min("o").alias("mu"), F.min("k").alias("ku"))
-        seen = left.join(_around(near, by_title).withColumnRenamed("new", "t"), "t", "left").join(by_url, "u", "left")
-        gone = F.coalesce(F.col("kt") < F.col("o"), F.lit(False)) | F.coalesce(F.col("ku") < F.col("o"), F.lit(False))
-        first = F.coalesce(F.col("mt") >= F.col("o"), F.lit(True)) & F.coalesce(F.col("mu") >= F.col("o"), F.lit(True))
-        state = cut(seen.select("id", "o", "u", "t", F.when(gone, "gone").when(first, "kept").otherwise("open").alias("state")), "state")
-        if rounds > GROUP_ROUNDS:
-            rest = cut(state.where("state <> 'gone'").drop("state"), "open")
-            n, x, y = rest.count(), rest.alias("x"), rest.alias("y")
+        by_title, by_url = least(left)
+        first = ~before("mt") & ~before("mu")
+        state = cut(left.join(by_title, "t", "left").join(by_url, "u", "left").select("id", "o", "u", "t", first.alias("kept")), "state")
+        kept, rest = state.where("kept").drop("kept"), state.where("not kept").drop("kept")
+        by_title, by_url = least(kept)
+        rest = cut(rest.join(by_title, "t", "left").join(by_url, "u", "left").where(~before("mt") & ~before("mu")).select("id", "o", "u", "t"), "open")
+        found = kept if found is None else found.unionByName(kept)
+        if rounds > 1:
+            discard(left)
+        n = rest.count()
+        if not n:
+            return found
+        titles = rest.where("t <> ''").select("t").distinct()
+        of_open = cut(near.join(titles.withColumnRenamed("t", "new"), "new", "left_semi").join(titles.withColumnRenamed("t", "old"), "old", "left_semi").select("new", "old"), "near")
+        if rounds > 1:
+            discard(near)
+        near = of_open
+        if n + near.count() <= LAST:
+            return found.unionByName(_in_turn(rest, near))
+        if rounds >= GROUP_ROUNDS:
+            x, y = rest.alias("x"), rest.alias("y")
             of_title = near.join(x.groupBy("t").agg(F.count(F.lit(1)).alias("a")), F.col("new") == F.col("t")).drop("t").join(y.groupBy("t").agg(F.count(F.lit(1)).alias("b")), F.col("old") == F.col("t"))
             of_url = rest.where("u <> ''").groupBy("u").agg(F.count(F.lit(1)).cast("double").alias("n"))
             many = (of_title.agg(F.sum(F.col("a").cast("double") * F.col("b"))).first()[0] or 0) + (of_url.agg(F.sum(F.col("n") * F.col("n"))).first()[0] or 0)
@@ -129,17 +173,8 @@ def _choose(reps: DataFrame, near: DataFrame) -> DataFrame:
                 by_title = x.join(near, F.col("x.t") == F.col("new")).join(y, (F.col("old") == F.col("y.t")) & earlier)
                 pair = [F.col("x.id").alias("r"), F.col("y.id").alias("p")]
                 chosen = _settle(rest, by_url.select(*pair).union(by_title.select(*pair))).where("kept").select("id")
-                return kept.unionByName(rest.join(chosen, "id", "left_semi"))
-            discard(rest)
-        more = cut(kept.unionByName(state.where("state = 'kept'").drop("state")), "kept")
-        rest = cut(state.where("state = 'open'").drop("state"), "open")
-        discard(state)
-        if rounds > 1:
-            discard(kept)
-            discard(left)
-        kept, left = more, rest
-        if not left.take(1):
-            return kept
+                return found.unionByName(rest.join(chosen, "id", "left_semi"))
+        left = rest
 
 
 def greedy_dedup(items: DataFrame, history: DataFrame | None = None) -> DataFrame:

@@ -81,6 +81,24 @@ def test_stars_and_cliques(spark):
     assert chosen(spark, last).where("id = 2000").count() == 0
 
 
+def test_a_short_rest_takes_no_more_rounds(spark, monkeypatch):
+    made, cut = [], D.cut
+    monkeypatch.setattr(D, "cut", lambda df, name: made.append(name) or cut(df, name))
+    chain = spark.range(40).selectExpr("id", "id as ord", "concat('u', id div 2) as u", "concat('t', (id + 1) div 2) as t")
+    assert sorted(r.id for r in chosen(spark, chain).collect()) == list(range(0, 40, 2)) and len(made) <= 3
+    # only URLs are shared: no pairs of titles are left
+    only = spark.range(3).selectExpr("id", "id as ord", "'u' as u", "'' as t")
+    assert [r.id for r in D._in_turn(only.selectExpr("id", "struct(ord, id) as o", "u", "t"), spark.createDataFrame([], "new string, old string")).collect()] == [0]
+
+
+def test_a_long_rest_takes_rounds_and_pairs(spark, monkeypatch):
+    monkeypatch.setattr(D, "LAST", 0)
+    items = some_items(3, 110, 45)
+    for rounds in (1, 6):
+        monkeypatch.setattr(D, "GROUP_ROUNDS", rounds)
+        assert {r.id: r.dup_of for r in D.greedy_dedup(frame(spark, items)).collect()} == greedy(items)
+
+
 def test_pairs_that_depend_on_each_other(spark):
     random.seed(9)
     n = 300
