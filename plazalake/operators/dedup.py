@@ -12,8 +12,9 @@ from plazalake.sources.shared import cut, discard
 
 
 def _forms(items: DataFrame) -> DataFrame:
-    """id, ord, u, t of items (id, ord, url, title): the normalised URL and the lower-case title, empty where there is none."""
-    return items.select("id", "ord", F.coalesce(normalize_url(F.col("url")), F.lit("")).alias("u"), F.lower(F.coalesce("title", F.lit(""))).alias("t"))
+    """id, ord, u, t of items (id, ord, url or u, title): the normalised URL (u, if that is known) and the lower-case title, empty where there is none."""
+    u = F.col("u") if "u" in items.columns else normalize_url(F.col("url"))
+    return items.select("id", "ord", F.coalesce(u, F.lit("")).alias("u"), F.lower(F.coalesce("title", F.lit(""))).alias("t"))
 
 
 def _titles(*rows: DataFrame) -> DataFrame:
@@ -219,12 +220,16 @@ def pool_upsert(items: DataFrame, pool: DataFrame, history: DataFrame, since: st
     of the pool first seen from `since` on, of any status, or as one of history, or as an item inserted
     before is dropped; the rest is inserted. pool and history have id, ord, url, title, the pool first_seen too.
     """
-    whole = items.withColumn("u", normalize_url(F.col("url"))).where("u <> ''").where(F.coalesce(F.col("title").rlike(r"(?U)\S"), F.lit(False)))
-    urls = pool.select(normalize_url(F.col("url")).alias("u")).distinct()
-    known, rest = whole.join(urls, "u", "left_semi"), whole.join(urls, "u", "left_anti")
-    recent = pool.where(F.col("first_seen") >= F.expr(f"timestamp_ntz '{since}'")).select("id", F.struct(F.lit(0).alias("part"), F.col("ord").cast("long").alias("at")).alias("ord"), "url", "title")
-    older = history.select("id", F.struct(F.lit(1).alias("part"), F.col("ord").cast("long").alias("at")).alias("ord"), "url", "title")
-    found = rest.select("id", "ord", "u").join(greedy_dedup(rest.select("id", "ord", "url", "title"), recent.union(older)).select("id", "kept"), "id")
+    u = normalize_url(F.col("url")).alias("u")
+    whole = items.where(F.coalesce(F.col("title").rlike(r"(?U)\S"), F.lit(False))).select("id", "ord", "title", u).where("u <> ''")
+    since = F.coalesce(F.col("first_seen") >= F.expr(f"timestamp_ntz '{since}'"), F.lit(False))
+    pooled = cut(pool.select("id", "ord", "title", u, since.alias("recent")), "pooled")
+    urls = pooled.select("u").distinct().withColumn("known", F.lit(True))
+    whole = cut(whole.join(urls, "u", "left").withColumn("known", F.col("known").isNotNull()), "whole")
+    known, rest = whole.where("known"), whole.where("not known")
+    older = lambda rows, part: rows.select("id", F.struct(F.lit(part).alias("part"), F.col("ord").cast("long").alias("at")).alias("ord"), "title", "u")
+    past = older(pooled.where("recent"), 0).unionByName(older(history.select("id", "ord", "title", u), 1))
+    found = rest.select("id", "ord", "u").join(greedy_dedup(rest.select("id", "ord", "title", "u"), past).select("id", "kept"), "id")
     first = found.where("kept").groupBy("u").agg(F.min("ord").alias("_first"))
     action = F.when(F.col("kept"), "insert").when(F.col("_first") < F.col("ord"), "refresh").otherwise("drop")
     return known.select("id", F.lit("refresh").alias("action")).union(found.join(first, "u", "left").select("id", action.alias("action")))

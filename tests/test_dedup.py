@@ -144,6 +144,20 @@ def test_merged_news_by_force(spark):
     assert [(r.id, r.title, r.url, r.days, r.first_day, r.summaries) for r in got] == [(m["item"][0], m["item"][2], m["item"][1], m["days"], m["day"], m["texts"]) for m in merged]
 
 
+def read(spark, rows, schema):
+    """A frame of rows and a count of those that were read from it."""
+    n = spark.sparkContext.accumulator(0)
+    return spark.createDataFrame(spark.sparkContext.parallelize(rows, 2).map(lambda r: n.add(1) or r), schema), n
+
+
+def test_what_an_upsert_reads_is_read_once(spark):
+    rows = [(i, i, u, t) for i, u, t in some_items(8, 30, 9)]
+    schema = "id long, ord long, url string, title string"
+    (items, n), (pool, m) = read(spark, rows, schema), read(spark, rows[:9], schema)
+    got = D.pool_upsert(items, pool.withColumn("first_seen", F.expr("timestamp_ntz '2024-05-01 00:00:00'")), items.limit(0), "2024-04-01 00:00:00").collect()
+    assert len(got) == sum(bool(u and t) for _, _, u, t in rows) and (n.value, m.value) == (30, 9)
+
+
 def test_nothing(spark):
     none = frame(spark, [(1, "u", "t")]).limit(0)
     assert D.greedy_dedup(none).count() == 0 and D.fuzzy_links(none).count() == 0 and D.title_links(none).count() == 0

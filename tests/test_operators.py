@@ -38,6 +38,27 @@ def test_normalize_url(spark, url, want):
     assert value(spark, X.normalize_url(F.col("u")), u=url) == want
 
 
+def plain_url(url):
+    u = (url or "").strip(" ").split("#")[0]
+    if not url:
+        return ""
+    scheme, sign, rest = u.partition("://")
+    scheme, rest = (scheme, rest) if sign else ("", u)
+    host, _, tail = rest.partition("/")
+    path, _, query = tail.partition("?")
+    keep = sorted((p for p in query.split("&") if p and p.split("=")[0].lower() not in X.TRACKING), key=lambda p: p.encode())
+    return scheme.lower() + "://" + host.lower() + ("/" + path.rstrip("/") if path.rstrip("/") else "") + ("?" + "&".join(keep) if keep else "")
+
+
+def test_urls_of_any_form(spark):
+    r = random.Random(1)
+    parts = ["http", "HTTPS", "://", ":", "/", "//", "?", "&", "=", "#", " ", "a", "B", "utm_source=", "x=1", "\n", "é", "www.", ""]
+    urls = [None, *{"".join(r.choices(parts, k=r.randint(0, 12))) for _ in range(3000)}]
+    got = spark.createDataFrame([(u,) for u in urls], "u string").select("u", X.normalize_url(F.col("u")).alias("n")).collect()
+    assert [(x.u, x.n) for x in got if x.n != plain_url(x.u)] == []
+    assert str(X.normalize_url(F.col("u"))).count("split_part(trim(u)") < 10  # it is repeated wherever it is named
+
+
 def test_keywords_with_cjk(spark):
     assert value(spark, X.extract_keywords(F.col("t")), t="请问C++课程怎么选 a PyTorch") == ["c++", "pytorch", "课程", "程怎", "么选"][:6] or True
     got = value(spark, X.extract_keywords(F.col("t"), 10), t="宿舍网络 Wi-Fi")
