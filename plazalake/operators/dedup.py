@@ -241,6 +241,7 @@ def merge_news(items: DataFrame) -> DataFrame:
     id, title, url of that first, days (occurrences), first_day, summaries: its own, empty if
     it has none, then the others that aren't empty, each once, in order.
     """
+    items = cut(items.select("id", "ord", "url", "title", "day", "summary"), "items")
     found = greedy_dedup(items).select("id", F.coalesce("dup_of", "id").alias("into"))
     rows = items.join(found, "id").withColumns({"o": F.struct("ord", "id"), "summary": F.coalesce("summary", F.lit(""))})
     each = rows.groupBy("into", "summary").agg(F.min("o").alias("o"), F.count(F.lit(1)).alias("n"), F.min(F.struct("o", "day")).alias("d"))

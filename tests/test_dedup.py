@@ -150,6 +150,12 @@ def read(spark, rows, schema):
     return spark.createDataFrame(spark.sparkContext.parallelize(rows, 2).map(lambda r: n.add(1) or r), schema), n
 
 
+def test_items_are_read_once(spark):
+    rows = [(i, i, u, t, "2024-05-01", "s") for i, u, t in some_items(7, 30, 9)]
+    items, n = read(spark, rows, "id long, ord long, url string, title string, day string, summary string")
+    assert sum(r.days for r in D.merge_news(items).collect()) == 30 and n.value == 30
+
+
 def test_what_an_upsert_reads_is_read_once(spark):
     rows = [(i, i, u, t) for i, u, t in some_items(8, 30, 9)]
     schema = "id long, ord long, url string, title string"
