@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 import pytest
 
 from plazalake.operators import blocks, html
@@ -128,3 +129,20 @@ def test_issues_of_every_cleaned_page(spark):
             want[doc] = [c for c, on in (("too_short", n < 500), ("no_heading", all(k != "heading" for k, _ in kept)), ("unclosed_fence", fences % 2 == 1)) if on]
     got = {r.doc: r.issues for r in registry.queries()["html_clean_issues"](spark, SF).collect()}
     assert got == want and want
+
+
+def test_pages_are_parsed_in_small_pieces(spark):
+    seen = {}
+
+    class Pages:
+        schema = spark.range(0).withColumnRenamed("id", "page_id").schema
+
+        def select(self, *names):
+            return self
+
+        def mapInArrow(self, run, schema):
+            seen["run"] = run
+
+    html.html_articles(Pages())
+    batch = pa.RecordBatch.from_pydict({"page_id": list(range(64)), "html": ["<p>" + "word " * 13_000] * 64})
+    assert max(b.num_rows for b in seen["run"]([batch])) <= 16  # of 65 kB each
