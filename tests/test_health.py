@@ -78,6 +78,11 @@ def test_title_ladder(spark):
     assert got == [w for *_, w in cases]
 
 
+def test_title_ladder_between_ideographic_spaces(spark):
+    rows = spark.createDataFrame([(["\u3000" + "长" * 30],)], "c array<string>")
+    assert rows.select(X.title_ladder(F.col("c"), F.array().cast("array<string>"), F.lit("x"))).first()[0] == "长" * 30
+
+
 def test_saved_answers_list_five_references(spark):
     refs = "[" + ",".join(f'{{"title": "t{i}", "url": "u{i}", "more": 1}}' for i in range(7)) + "]"
     rows = spark.createDataFrame([(1, " ", refs), (2, "yes", "[broken"), (3, "yes", None), (4, "yes", '{"a": 1}'), (5, "yes", '[{"title": "only"}]')], "id int, answer string, references_json string")
