@@ -58,8 +58,7 @@ def title_links(items: DataFrame) -> DataFrame:
     """a, b: of each two different titles of a ratio of THRESHOLD at least (a's against b's) the first ids that have them."""
     rows = _forms(items).where("t <> ''")
     first = cut(rows.groupBy("t").agg(F.min(F.struct("ord", "id"))["id"].alias("id")), "first")
-    near = similar_titles(first.select("t")).where("new <> old")
-    return near.join(first.select(F.col("t").alias("new"), F.col("id").alias("a")), "new").join(first.select(F.col("t").alias("old"), F.col("id").alias("b")), "old").select("a", "b")
+    return similar_titles(first, "id", itself=False).toDF("a", "b")
 
 
 #: Rounds over groups before what is left is decided over pairs, and pairs for each undecided item that this may take.
