@@ -17,6 +17,17 @@ def _forms(items: DataFrame) -> DataFrame:
     return items.select("id", "ord", F.coalesce(u, F.lit("")).alias("u"), F.lower(F.coalesce("title", F.lit(""))).alias("t"))
 
 
+def _numbered(*rows: DataFrame) -> tuple[DataFrame, ...]:
+    """Each of rows (t, ...) with numbers of titles as t, 0 where there is none, and the similar pairs (new, old) of these."""
+    found = rows[0].select("t")
+    for more in rows[1:]:
+        found = found.union(more.select("t"))
+    number = (F.monotonically_increasing_id() + 1).alias("n")
+    titles = cut(found.where("t <> ''").distinct().select("t", number), "numbers")
+    known = [cut(r.join(titles, "t", "left").withColumn("t", F.coalesce("n", F.lit(0))).drop("n"), "forms") for r in rows]
+    return (*known, cut(similar_titles(titles, "n"), "near"))
+
+
 def _titles(*rows: DataFrame) -> DataFrame:
     found = rows[0].select("t")
     for more in rows[1:]:
@@ -126,7 +137,7 @@ def _in_turn(left: DataFrame, near: DataFrame) -> DataFrame:
 
 
 def _choose(reps: DataFrame, near: DataFrame) -> DataFrame:
-    """id, o, u, t of those of reps (id, o, u, t) that are kept, going by o: one goes if an earlier one that is kept is the same.
+    """id, o, u, t of those of reps (id, o, u, t: any key of a title; one of none isn't in near) that are kept, going by o: one goes if an earlier one that is kept is the same.
 
     Each round works on what is open by URL and by title, never on pairs of items: the
     earliest among all that are the same as it stays, and who has one that stays before it
@@ -138,7 +149,7 @@ def _choose(reps: DataFrame, near: DataFrame) -> DataFrame:
     found, left, rounds = None, reps, 0
     before = lambda c: F.coalesce(F.col(c) < F.col("o"), F.lit(False))
     least = lambda rows: (
-        _around(near, rows.where("t <> ''").groupBy("t").agg(F.min("o").alias("mt"))).withColumnRenamed("new", "t"),
+        _around(near, rows.groupBy("t").agg(F.min("o").alias("mt"))).withColumnRenamed("new", "t"),
         rows.where("u <> ''").groupBy("u").agg(F.min("o").alias("mu")),
     )
     while True:
@@ -155,7 +166,7 @@ def _choose(reps: DataFrame, near: DataFrame) -> DataFrame:
         n = rest.count()
         if not n:
             return found
-        titles = rest.where("t <> ''").select("t").distinct()
+        titles = rest.select("t").distinct()
         of_open = cut(near.join(titles.withColumnRenamed("t", "new"), "new", "left_semi").join(titles.withColumnRenamed("t", "old"), "old", "left_semi").select("new", "old"), "near")
         if rounds > 1:
             discard(near)
@@ -186,8 +197,11 @@ def greedy_dedup(items: DataFrame, history: DataFrame | None = None) -> DataFram
     """
     rows = cut(_forms(items).withColumn("o", F.struct("ord", "id")).drop("ord"), "forms")
     past = None if history is None else cut(_forms(history), "history")
-    near = cut(similar_titles(_titles(rows) if past is None else _titles(rows, past)), "near")
-    alone = (F.col("u") == "") & (F.col("t") == "")
+    if past is None:
+        rows, near = _numbered(rows)
+    else:
+        rows, past, near = _numbered(rows, past)
+    alone = (F.col("u") == "") & (F.col("t") == 0)
     whole = rows.where(~alone)
     reps = whole.groupBy("u", "t").agg(F.min("o").alias("o"))
     kind = items.schema["id"].dataType
@@ -195,12 +209,12 @@ def greedy_dedup(items: DataFrame, history: DataFrame | None = None) -> DataFram
         reps = reps.withColumn("past", F.lit(None).cast(kind))
     else:
         order = F.struct("ord", "id")
-        by_title = _around(near, past.where("t <> ''").groupBy("t").agg(F.min(order).alias("pt"))).withColumnRenamed("new", "t")
+        by_title = _around(near, past.where("t <> 0").groupBy("t").agg(F.min(order).alias("pt"))).withColumnRenamed("new", "t")
         by_url = past.where("u <> ''").groupBy("u").agg(F.min(order).alias("pu"))
         reps = reps.join(by_title, "t", "left").join(by_url, "u", "left").withColumn("past", F.least("pt", "pu")["id"].cast(kind)).drop("pt", "pu")
     reps = cut(reps.withColumn("id", F.col("o.id")), "classes")
     kept = cut(_choose(reps.where("past is null").select("id", "o", "u", "t"), near), "kept")
-    by_title = _around(near, kept.where("t <> ''").groupBy("t").agg(F.min("o").alias("kt"))).withColumnRenamed("new", "t")
+    by_title = _around(near, kept.where("t <> 0").groupBy("t").agg(F.min("o").alias("kt"))).withColumnRenamed("new", "t")
     by_url = kept.where("u <> ''").groupBy("u").agg(F.min("o").alias("ku"))
     into = reps.join(by_title, "t", "left").join(by_url, "u", "left").select("u", "t", F.coalesce("past", F.least("kt", "ku")["id"]).alias("into"))
     found = whole.join(into, ["u", "t"]).select("id", (F.col("into") == F.col("id")).alias("kept"), F.when(F.col("into") != F.col("id"), F.col("into")).alias("dup_of"))

@@ -168,3 +168,15 @@ def test_nothing(spark):
     none = frame(spark, [(1, "u", "t")]).limit(0)
     assert D.greedy_dedup(none).count() == 0 and D.fuzzy_links(none).count() == 0 and D.title_links(none).count() == 0
     assert [tuple(r) for r in D.greedy_dedup(frame(spark, [(1, None, None), (2, None, None)])).orderBy("id").collect()] == [(1, True, None), (2, True, None)]
+
+
+def test_pairs_carry_numbers_of_titles(spark):
+    from plazalake.operators import dedup
+
+    a = spark.createDataFrame([(1, "one title here"), (2, ""), (3, "one title her")], "id long, t string")
+    b = spark.createDataFrame([(4, "one title here"), (5, "other")], "id long, t string")
+    *rows, near = dedup._numbered(a, b)
+    found = {r.id: r.t for side in rows for r in side.collect()}
+    assert found[1] == found[4] and found[2] == 0 and len(set(found.values())) == 4
+    like = {(found[1], found[3]), (found[3], found[1])}
+    assert {tuple(r) for r in near.collect()} == like | {(n, n) for n in found.values() if n}
