@@ -28,13 +28,6 @@ def _numbered(*rows: DataFrame) -> tuple[DataFrame, ...]:
     return (*known, cut(similar_titles(titles, "n"), "near"))
 
 
-def _titles(*rows: DataFrame) -> DataFrame:
-    found = rows[0].select("t")
-    for more in rows[1:]:
-        found = found.union(more.select("t"))
-    return found.where("t <> ''").distinct()
-
-
 def _around(near: DataFrame, by_title: DataFrame) -> DataFrame:
     """new and the columns of by_title (t, ...), each the least of all titles that new is similar to."""
     kept = [c for c in by_title.columns if c != "t"]
@@ -49,19 +42,18 @@ def fuzzy_links(items: DataFrame) -> DataFrame:
     at least. Copies are counted, never joined with each other; title_links has the pairs of
     different titles. An item without a URL and a title is alone.
     """
-    rows = cut(_forms(items), "forms")
-    near = cut(similar_titles(_titles(rows)), "near")
+    rows, near = _numbered(cut(_forms(items), "forms"))
     both = rows.groupBy("u", "t").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("ord", "id")).alias("first"))
     by_url = both.where("u <> ''").groupBy("u").agg(F.sum("n").alias("of_url"))
-    by_title = both.where("t <> ''").groupBy("t").agg(F.sum("n").alias("n"))
+    by_title = both.where("t <> 0").groupBy("t").agg(F.sum("n").alias("n"))
     of_title = near.join(by_title, near["old"] == by_title["t"]).groupBy(F.col("new").alias("t")).agg(F.sum("n").alias("of_title"))
-    old = both.where("u <> '' and t <> ''").select(F.col("u").alias("_u"), F.col("t").alias("_t"), "n")
-    pairs = both.where("u <> '' and t <> ''").select("u", "t").join(near, F.col("t") == F.col("new")).select("u", "t", "old")
+    old = both.where("u <> '' and t <> 0").select(F.col("u").alias("_u"), F.col("t").alias("_t"), "n")
+    pairs = both.where("u <> '' and t <> 0").select("u", "t").join(near, F.col("t") == F.col("new")).select("u", "t", "old")
     twice = pairs.join(old, (F.col("u") == F.col("_u")) & (F.col("old") == F.col("_t"))).groupBy("u", "t").agg(F.sum("n").alias("twice"))
     zero = lambda c: F.coalesce(c, F.lit(0))
-    total = zero("of_url") + zero("of_title") - zero("twice") - F.when((F.col("u") != "") | (F.col("t") != ""), 1).otherwise(0)
+    total = zero("of_url") + zero("of_title") - zero("twice") - F.when((F.col("u") != "") | (F.col("t") != 0), 1).otherwise(0)
     counted = both.join(by_url, "u", "left").join(of_title, "t", "left").join(twice, ["u", "t"], "left").select("u", "t", F.col("first.id").alias("_first"), total.alias("links"))
-    alone = (F.col("u") == "") & (F.col("t") == "")
+    alone = (F.col("u") == "") & (F.col("t") == 0)
     return rows.join(counted, ["u", "t"]).select("id", F.when(alone, F.col("id")).otherwise(F.col("_first")).alias("class_id"), "links")
 
 
