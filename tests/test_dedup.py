@@ -171,11 +171,9 @@ def test_nothing(spark):
 
 
 def test_pairs_carry_numbers_of_titles(spark):
-    from plazalake.operators import dedup
-
     a = spark.createDataFrame([(1, "one title here"), (2, ""), (3, "one title her")], "id long, t string")
     b = spark.createDataFrame([(4, "one title here"), (5, "other")], "id long, t string")
-    *rows, near = dedup._numbered(a, b)
+    *rows, near = D._numbered(a, b)
     found = {r.id: r.t for side in rows for r in side.collect()}
     assert found[1] == found[4] and found[2] == 0 and len(set(found.values())) == 4
     like = {(found[1], found[3]), (found[3], found[1])}
